@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,12 +195,9 @@ def feed_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
         F.sum("__bytes").cast("bigint").alias("n_bytes"),
         F.count_if(F.col("__v").isNull()).alias("n_invalid"),
     )
-    keys = F.json_object_keys(body)
-    fields = records.select(*by, F.col(body), F.explode(keys).alias("field"))
-    value = F.try_variant_get(
-        F.try_parse_json(body), F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant"
-    )
-    kinds = fields.select(*by, "field", F.schema_of_variant(value).alias("kind"))
+    members = F.try_variant_get("__v", "$", "map<string,variant>")
+    fields = typed.select(*by, F.explode(members).alias("field", "value"))
+    kinds = fields.select(*by, "field", F.schema_of_variant("value").alias("kind"))
     counted = kinds.groupBy(*by, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     per_field = counted.groupBy(*by, "field").agg(
         F.sum("n").alias("n_with_field"),
@@ -212,7 +209,3 @@ def feed_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
 def schema_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
     """The merged schema of each feed's payloads as one type text."""
     return records.groupBy(*by).agg(F.schema_of_variant_agg(F.try_parse_json(body)).alias("schema"))
-
-
-def type_names(rules: Mapping[str, Column] | Sequence[tuple[str, Column]]) -> list[str]:
-    return [name for name, _ in (rules.items() if isinstance(rules, Mapping) else rules)]
