@@ -9,6 +9,7 @@ to Python as a null.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -122,9 +123,15 @@ def _without_markup(c: Column) -> Column:
     return F.regexp_replace(c, _MARKUP, " ")
 
 
+@functools.lru_cache(maxsize=None)
+def _literal(value: str) -> Column:
+    # Text expressions repeat the same few constants; each costs a round trip.
+    return F.lit(value)
+
+
 def _decoded(c: Column) -> Column:
     for ref, char in ENTITIES:
-        c = F.replace(c, F.lit(ref), F.lit(char))
+        c = F.replace(c, _literal(ref), _literal(char))
     return c
 
 

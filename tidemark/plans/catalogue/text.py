@@ -174,19 +174,19 @@ def storage_ids(spark, sf_dir):
     r"""select event_id,
           case when try_cast(regexp_replace(props, '[^0-9.+-]', '', 'g') as double) >= 0
             then try_cast(regexp_replace(props, '[^0-9.+-]', '', 'g') as double) end as number,
-          regexp_replace(cast(user_id * 100000 as varchar), '^(.*?)((\d\d)*)(\d{3})$', '\1') as head,
+          case when length(g) <= 3 then g else concat(ltrim(reverse(regexp_replace(
+            reverse(left(g, length(g) - 3)), '(\d\d)', '\1,', 'g')), ','), ',', right(g, 3)) end as grouped,
           strftime(to_timestamp(1704067200 + event_id) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as shown,
           round(100.0 * (event_id % 7) / nullif(event_id % 7 + event_id % 3, 0), 1) as raw_rate
-        from events""",
+        from (select *, cast(user_id * 100003 as varchar) as g from events)""",
 )
 def event_values(spark, sf_dir):
     events = views.load(spark, sf_dir, "events")
     misses, hits = F.col("event_id") % 3, F.col("event_id") % 7
-    grouped = tx.grouped_number(F.col("user_id") * 100000)
     return events.select(
         "event_id",
         number_or_none("props").alias("number"),
-        F.regexp_extract(F.replace(grouped, F.lit(","), F.lit("")), r"^(.*?)((\d\d)*)(\d{3})$", 1).alias("head"),
+        tx.grouped_number(F.col("user_id") * 100003).alias("grouped"),
         shown_time(F.lit(1704067200) + F.col("event_id")).alias("shown"),
         F.when(hits + misses > 0, hit_rate(hits, misses)).alias("raw_rate"),
     )
