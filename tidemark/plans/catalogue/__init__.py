@@ -27,4 +27,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tidemark.plans.catalogue import quality, sources, sync, text  # noqa: F401
+    from tidemark.plans.catalogue import (  # noqa: F401
+        browse,
+        feeds,
+        metrics,
+        quality,
+        sources,
+        sync,
+        text,
+    )
