@@ -33,6 +33,7 @@ def load_all() -> None:
         metrics,
         quality,
         sources,
+        streams,
         sync,
         text,
     )

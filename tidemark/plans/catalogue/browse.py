@@ -29,8 +29,8 @@ _HAYSTACK = "lower(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif
 @query(
     "faceted_search",
     f"""with v as ({views.duck(views.TEXT_JOBS_SQL)}) select doc_id, title, source from v
-        where source = 'src7' and contains({_HAYSTACK}, 'the') and contains(lower(location), 'nation')
-          and {q.employment('employment_type')} in ('FULL_TIME')
+        where source = 'src7' and contains({_HAYSTACK}, 'the') and contains(lower(location), 'a')
+          and {q.employment('employment_type')} in ('PART_TIME')
           and not regexp_matches(lower(concat_ws(' ', location, description, title)), 'remote|work from home|work-from-home|fully distributed|hybrid|flexible location|partial remote')""",
 )
 def faceted_search(spark, sf_dir):
@@ -38,19 +38,19 @@ def faceted_search(spark, sf_dir):
         views.text_jobs(spark, sf_dir),
         query="THE",
         source="src7",
-        location=" Nation ",
+        location=" A ",
         work_mode="On-site",
-        employment_type="FULL_TIME",
+        employment_type="PART_TIME",
     )
     return found.select("doc_id", "title", "source")
 
 
 @query(
     "text_search",
-    f"with v as ({views.duck(views.TEXT_JOBS_SQL)}) select doc_id, source, employment_type from v where contains({_HAYSTACK}, 'tion')",
+    f"with v as ({views.duck(views.TEXT_JOBS_SQL)}) select doc_id, source, employment_type from v where contains({_HAYSTACK}, 'fre')",
 )
 def text_search(spark, sf_dir):
-    found = ct.search(views.text_jobs(spark, sf_dir), query="Tion")
+    found = ct.search(views.text_jobs(spark, sf_dir), query="Fre")
     return found.select("doc_id", "source", "employment_type")
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import clean_value, get_path, number_at
-from tidemark.functions.text import employment_type
+from tidemark.functions.paths import as_text, get_path, number_at
+from tidemark.functions.text import clean_text, employment_type
 from tidemark.functions.values import MONEY, first_filled
 from tidemark.sources.landed import (
     MAX_PREVIEW_BYTES,
@@ -88,26 +88,28 @@ def readable_pages(pages: DataFrame) -> DataFrame:
 def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
     """Posting rows of the valid records: objects with a title and a company."""
     records = pages.select(
-        "source_id", "page_no", "fields", F.posexplode("records").alias("pos", "record")
+        "source_id", "page_no", "fields", F.posexplode_outer("records").alias("pos", "record")
     ).filter(is_object("record"))
 
-    def at(name: str) -> Column:
-        return get_path(F.col("record"), F.col("fields")[name])
-
-    text = {
-        name: clean_value(at(name), exact)
-        for name in FIELDS
-        if name not in ("salary_min", "salary_max", "source_id")
-    }
-    rows = records.select(
+    # Extracted, read as text and cleaned in three projections: each step uses
+    # its input several times, and a projection keeps it from being repeated.
+    values = records.select(
         F.col("source_id").alias("source"),
         "page_no",
         "pos",
-        clean_value(at("source_id"), exact).alias("source_id"),
-        *[c.alias(name) for name, c in text.items()],
-        number_at(at("salary_min")).cast(MONEY).alias("salary_min"),
-        number_at(at("salary_max")).cast(MONEY).alias("salary_max"),
-    ).filter((F.col("title") != "") & (F.col("company") != ""))
+        *[get_path(F.col("record"), F.col("fields")[name]).alias(name) for name in FIELDS],
+    )
+    salaries = ("salary_min", "salary_max")
+    texts = [name for name in FIELDS if name not in salaries]
+    read = values.withColumns(
+        {
+            **{name: as_text(F.col(name)) for name in texts},
+            **{name: number_at(F.col(name)).cast(MONEY) for name in salaries},
+        }
+    )
+    rows = read.withColumns({name: clean_text(name, exact) for name in texts}).filter(
+        (F.col("title") != "") & (F.col("company") != "")
+    )
     fallback = F.concat_ws("|", "company", "title", "location")
     return rows.withColumn("source_id", F.coalesce(first_filled("source_id", "apply_url"), fallback))
 

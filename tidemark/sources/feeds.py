@@ -16,7 +16,7 @@ from tidemark.functions.identity import finalize
 from tidemark.functions.paths import as_text, text_at
 from tidemark.functions.values import MONEY
 from tidemark.sources import custom
-from tidemark.sources.landed import explode_records, is_object, parse_bodies, record_list
+from tidemark.sources.landed import explode_records, parse_bodies, record_list
 
 Adapter = Callable[[DataFrame, bool], DataFrame]
 
@@ -73,18 +73,16 @@ def _money(path: str) -> Column:
     return F.try_variant_get("record", path, "double").cast(MONEY)
 
 
-def _posting(records: DataFrame, columns: Mapping[str, Column], exact: bool) -> DataFrame:
-    cleaned = {
-        name: tx.clean_text(columns[name], exact) if name in columns else F.lit("")
-        for name in ("title", "company", "location", "description")
-    }
-    out = {**columns, **cleaned}
-    return records.select(
-        F.col("source_id").alias("source"),
-        "page_no",
-        "pos",
-        *[out[c].alias(c) for c in POSTING[3:]],
+def _posting(
+    records: DataFrame, columns: Mapping[str, Column], exact: bool, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Posting rows; the values are extracted first and cleaned in a second
+    projection, so an extraction is not repeated inside the cleaning."""
+    raw = records.select(
+        F.col("source_id").alias("source"), "page_no", "pos", *[columns[c].alias(c) for c in POSTING[3:]]
     )
+    texts = ("title", "company", "location", "description", *also)
+    return raw.withColumns({name: tx.clean_text(name, exact) for name in texts})
 
 
 def adapt_himalayas(landed: DataFrame, exact: bool = True) -> DataFrame:
@@ -97,41 +95,41 @@ def adapt_himalayas(landed: DataFrame, exact: bool = True) -> DataFrame:
         "title": _text("$.title"),
         "company": _text("$.companyName"),
         "location": F.coalesce(places, _text("$.locationRestrictions")),
-        "employment_type": tx.clean_text(_text("$.employmentType"), exact),
+        "employment_type": _text("$.employmentType"),
         "salary_min": _money("$.minSalary"),
         "salary_max": _money("$.maxSalary"),
         "description": _text("$.description"),
         "apply_url": _or_empty(link),
         "published_at": _or_empty(_text("$.pubDate")),
     }
-    return _posting(records, columns, exact)
+    return _posting(records, columns, exact, also=("employment_type",))
 
 
 def adapt_jobicy(landed: DataFrame, exact: bool = True) -> DataFrame:
     """``jobs[]`` objects; job types are cleaned one by one, salaries are absent."""
     records = explode_records(parse_bodies(landed), record_list(F.col("body"), "jobs"))
-    listed = _list("$.jobType")
-    # A Python UDF cannot run inside a lambda; the elements stay in the native tier.
-    types = F.array_join(F.transform(listed, lambda t: tx.clean_text(as_text(t))), ", ")
+    # The elements are cleaned natively here; the joined text passes the exact
+    # tier afterwards, which settles what the native chain left.
+    types = F.array_join(F.transform(_list("$.jobType"), lambda t: tx.clean_text(as_text(t))), ", ")
     columns = {
         "source_id": _or_empty(_text("$.id")),
         "title": _text("$.jobTitle"),
         "company": _text("$.companyName"),
         "location": _text("$.jobGeo"),
-        "employment_type": F.coalesce(types, tx.clean_text(_text("$.jobType"), exact)),
+        "employment_type": F.coalesce(types, _text("$.jobType")),
         "salary_min": F.lit(None).cast(MONEY),
         "salary_max": F.lit(None).cast(MONEY),
         "description": _text("$.jobDescription"),
         "apply_url": _or_empty(_text("$.url")),
         "published_at": _or_empty(_text("$.pubDate")),
     }
-    return _posting(records, columns, exact)
+    return _posting(records, columns, exact, also=("employment_type",))
 
 
 def adapt_remoteok(landed: DataFrame, exact: bool = True) -> DataFrame:
     """Top-level array; metadata items and non-objects are dropped."""
     records = explode_records(parse_bodies(landed), record_list(F.col("body"), "$"))
-    records = records.filter(is_object("record") & _value("$.position").isNotNull())
+    records = records.filter(_value("$.position").isNotNull())
     tags = F.transform(_list("$.tags"), lambda t: F.lower(tx.clean_text(as_text(t))))
     kept = F.array_join(F.filter(tags, lambda t: t.isin(*EMPLOYMENT_TAGS)), ", ")
     columns = {

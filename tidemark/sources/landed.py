@@ -42,9 +42,14 @@ def record_list(body: Column, path: Column | str) -> Column:
 
 
 def explode_records(bodies: DataFrame, records: Column) -> DataFrame:
-    """One row per record with its position ``pos``."""
+    """One row per object in the array with its position ``pos``.
+
+    The outer form is used on purpose: for the inner one the optimizer adds a
+    filter on the array's size, which would parse every body a second time.
+    """
     rest = [c for c in bodies.columns if c not in ("payload", "body", "reject")]
-    return bodies.select(*rest, F.posexplode(records).alias("pos", "record"))
+    exploded = bodies.select(*rest, F.posexplode_outer(records).alias("pos", "record"))
+    return exploded.filter(is_object("record"))
 
 
 def is_object(record: Column | str) -> Column:
