@@ -13,9 +13,6 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
-        spark__sql__streaming__stateStore__providerClass=(
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

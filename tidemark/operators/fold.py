@@ -39,7 +39,8 @@ class FoldSpec:
     ``hash`` is evaluated on stored rows as well as on landed rows, so a stored
     row that was edited in place is compared by its present values.  ``at`` is
     the epoch second of a landed row.  ``slice_by`` must be monotone in
-    ``order``; by default it is derived from the first order column.
+    ``order``; by default it is derived from the first order column.  ``keep``
+    names narrow landed columns that verdicts carry along.
     """
 
     key: Sequence[str]
@@ -49,6 +50,7 @@ class FoldSpec:
     at: Column
     slice_by: Column | None = None
     hot_rows: int | None = HOT_ROWS
+    keep: Sequence[str] = ()
 
 
 def touched(state: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -80,6 +82,7 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
         "__hot",
         slice_column(slice_by if hot is not None else None).alias(SLICE),
         *order,
+        *[F.col(c).alias(f"__keep_{c}") for c in spec.keep],
         F.lit(True).alias("__landed"),
         spec.hash.alias("__hash"),
         _marks(batch, spec.tracked).alias("__marks"),
@@ -97,6 +100,7 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
             "__hot",
             F.lit(WHOLE).cast("bigint").alias(SLICE),
             *[F.lit(None).cast(kinds[c]).alias(c) for c in order],
+            *[F.lit(None).cast(kinds[c]).alias(f"__keep_{c}") for c in spec.keep],
             F.lit(False).alias("__landed"),
             spec.hash.alias("__hash"),
             _marks(kept, spec.tracked).alias("__marks"),
@@ -240,6 +244,7 @@ def _verdicts(passed: DataFrame, spec: FoldSpec) -> DataFrame:
     return rows.select(
         *spec.key,
         *spec.order,
+        *[F.col(f"__keep_{c}").alias(c) for c in spec.keep],
         "change_type",
         (F.col("change_type") != "UNCHANGED").alias("written"),
         F.when(changed, differing).otherwise(F.array().cast("array<string>")).alias("changed_fields"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import _col
-from tidemark.sources.custom import FIELDS
+from tidemark.sources.custom import FIELDS, MAX_PAGES
 
 # ---------------------------------------------------------------- fixed values
 
@@ -41,7 +41,6 @@ OPEN_V6 = r"2001:0{0,3}3:|2001:0{0,3}4:0?112:|2001:0{0,2}[23][0-9a-f]:"
 
 REQUIRED_FIELDS = ("title", "company")
 MAX_PATH = 250
-MAX_PAGES = 10
 INTERVAL_RANGE = (900, 86_400)
 MAX_NAME = 80
 PAGE_PARAMETER = r"^[A-Za-z][A-Za-z0-9_]{0,63}$"
@@ -197,7 +196,9 @@ def feed_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
     )
     members = F.try_variant_get("__v", "$", "map<string,variant>")
     fields = typed.select(*by, F.explode(members).alias("field", "value"))
-    kinds = fields.select(*by, "field", F.schema_of_variant("value").alias("kind"))
+    # The outermost type only: nested shapes may differ without end.
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    kinds = fields.select(*by, "field", kind.alias("kind"))
     counted = kinds.groupBy(*by, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     per_field = counted.groupBy(*by, "field").agg(
         F.sum("n").alias("n_with_field"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.changes import IMAGE
 from tidemark.operators.source_state import counters
@@ -18,12 +20,12 @@ from tidemark.plans.catalogue.sync import postings, spec
 from tidemark.session import checkpoint_dir
 from tidemark.sources.snapshots import StateTable
 from tidemark.streaming.requests import MAX_RECEIVES, RequestQueue, request_stream
-from tidemark.streaming.stateful import stateful_fold
+from tidemark.streaming.stateful import ROCKSDB, stateful_fold
 from tidemark.streaming.sync import sync_stream
 from tidemark.streaming.watch import read_feed, run_until, watch_key
 
-#: Files a table is landed in; each becomes one micro-batch.
-N_FILES = 4
+#: Parts a table is landed in; each becomes one micro-batch.
+N_PARTS = 3
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -33,36 +35,40 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(rows: DataFrame, order: str, path: str, n_files: int = N_FILES) -> None:
-    """Writes rows as folders of rising ``order``, oldest first."""
+def in_parts(
+    rows: DataFrame,
+    order: str,
+    path: str,
+    run: Callable[[DataFrame], StreamingQuery],
+    n_parts: int = N_PARTS,
+) -> None:
+    """Lands rows in parts of rising ``order``; after each the stream takes what is new.
+
+    A part is written by many tasks and becomes one micro-batch, whatever its
+    number of files, so micro-batches arrive in order at any size.
+    """
+    spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    width = (high - low) // n_files + 1
-    for i in range(n_files):
+    width = (high - low) // n_parts + 1
+    for i in range(n_parts):
         start = low + i * width
         part = rows.filter((F.col(order) >= start) & (F.col(order) < start + width))
         part.write.mode("append").parquet(f"{path}/part={i}")
-
-
-def landed_stream(spark: SparkSession, rows: DataFrame, order: str, path: str) -> DataFrame:
-    land(rows, order, path)
-    # A folder holds one file per write task; all of a folder arrive together.
-    schema = rows.schema
-    return (
-        spark.readStream.schema(schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(path)
-    )
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
+        run(stream.parquet(path)).awaitTermination()
 
 
 def synced(spark: SparkSession, sf_dir: str) -> tuple[StateTable, str]:
     """Runs the postings as a stream into a state table."""
     root = work_dir(spark, "sync")
     rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
-    stream = landed_stream(spark, rows.coalesce(1), "seq", f"{root}/in")
     table = StateTable(spark, f"{root}/state", spec().key)
-    run = sync_stream(stream, spec(), table, root, f"{root}/checkpoint", IMAGE)
-    run.awaitTermination()
+    in_parts(
+        rows,
+        "seq",
+        f"{root}/in",
+        lambda s: sync_stream(s, spec(), table, root, f"{root}/checkpoint", IMAGE),
+    )
     return table, root
 
 
@@ -132,10 +138,9 @@ def stream_requests_done(spark, sf_dir):
 def _served(spark, sf_dir) -> RequestQueue:
     root = work_dir(spark, "requests")
     rows = src.messages(spark, sf_dir).withColumn("n", F.col("message_id").cast("bigint"))
-    stream = landed_stream(spark, rows.coalesce(1), "n", f"{root}/in")
     queue = RequestQueue(spark, root, views.registry(spark, sf_dir))
-    request_stream(stream, queue, f"{root}/checkpoint").awaitTermination()
-    queue.drain(N_FILES)
+    in_parts(rows, "n", f"{root}/in", lambda s: request_stream(s, queue, f"{root}/checkpoint"))
+    queue.drain(N_PARTS)
     return queue
 
 
@@ -147,20 +152,15 @@ def stream_counters(spark, sf_dir):
     """Running counters as a streaming aggregation in complete mode."""
     root = work_dir(spark, "counters")
     log = views.crawl_log(spark, sf_dir)
-    stream = landed_stream(spark, log.coalesce(1), "seq", f"{root}/in")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
 
-    run = (
-        counters(stream)
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(keep)
-        .start()
-    )
-    run.awaitTermination()
+    def run(stream: DataFrame) -> StreamingQuery:
+        counted = counters(stream).writeStream.outputMode("complete").foreachBatch(keep)
+        return counted.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    in_parts(log, "seq", f"{root}/in", run)
     out = spark.read.parquet(f"{root}/out")
     newest = out.agg(F.max("v")).first()[0]
     return out.filter(F.col("v") == newest).select(
@@ -178,13 +178,17 @@ def stream_state_store(spark, sf_dir):
     rows = postings(spark, sf_dir).select(
         F.col("canonical_job_id").alias("key"), "seq", spec().hash.alias("hash"), F.col("seq").alias("at")
     )
-    stream = landed_stream(spark, rows.coalesce(1), "seq", f"{root}/in")
-    run = (
-        stateful_fold(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{root}/out")
-    )
-    run.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        folded = stateful_fold(stream).writeStream.format("parquet")
+        folded = folded.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        return folded.start(f"{root}/out")
+
+    try:
+        in_parts(rows, "seq", f"{root}/in", run)
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out")

@@ -25,13 +25,14 @@ def postings(spark, sf_dir):
 
 
 def classified(spark, sf_dir):
-    """Postings, their verdicts, and the verdicts with the feed name."""
+    """Postings and their verdicts."""
     rows = postings(spark, sf_dir)
     return rows, fd.fold(rows, spec())
 
 
-def with_source(rows, verdicts):
-    return verdicts.join(rows.select("seq", "source"), "seq")
+def by_source(spark, sf_dir):
+    """Verdicts with the feed each row came from."""
+    return fd.fold(postings(spark, sf_dir), spec(keep=["source"]))
 
 
 @query("sync_classify", f"{_CTE} select seq, canonical_job_id, change_type from f")
@@ -70,8 +71,7 @@ _FIGURES = """n_unchanged as cache_hits, n_new + n_changed as cache_misses,
     f"{_CTE}, s as (select source, {_COUNTS} from f group by source) select *, {_FIGURES} from s",
 )
 def sync_summary(spark, sf_dir):
-    rows, verdicts = classified(spark, sf_dir)
-    return fd.summary(with_source(rows, verdicts), ["source"])
+    return fd.summary(by_source(spark, sf_dir), ["source"])
 
 
 _STATE = "canonical_job_id, seq, source, title, company, location, employment_type, description, apply_url"
@@ -102,15 +102,14 @@ def final_postings(spark, sf_dir):
 @query(
     "sync_incremental",
     f"""{_CTE} select seq, case when seq < (select (max(doc_id) + 1) // 2 from documents) then 1 else 2 end as batch_no,
-          change_type, array_to_string([changed_fields], ',') as changed_fields, first_seen, last_changed, change_count from f""",
+          change_type, changed_fields, first_seen, last_changed, change_count from f""",
 )
 def sync_incremental(spark, sf_dir):
     """Two batches in turn: the second is folded against what the first stored."""
     docs = views.load(spark, sf_dir, "documents")
-    cut = docs.agg(F.floor((F.max("doc_id") + 1) / 2).alias("__cut"))
-    rows = postings(spark, sf_dir).join(cut)
-    first = rows.filter(F.col("seq") < F.col("__cut")).drop("__cut")
-    second = rows.filter(F.col("seq") >= F.col("__cut")).drop("__cut")
+    cut = docs.agg(F.floor((F.max("doc_id") + 1) / 2)).first()[0]
+    rows = postings(spark, sf_dir)
+    first, second = rows.filter(F.col("seq") < cut), rows.filter(F.col("seq") >= cut)
     one = fd.fold(first, spec())
     two = fd.fold(second, spec(), fd.final_state(first, one, spec()))
     both = one.withColumn("batch_no", F.lit(1)).unionByName(two.withColumn("batch_no", F.lit(2)))
@@ -230,8 +229,7 @@ def event_messages(spark, sf_dir):
         from f group by rollup (source, change_type)""",
 )
 def rollup(spark, sf_dir):
-    rows, verdicts = classified(spark, sf_dir)
-    return sync_rollup(with_source(rows, verdicts))
+    return sync_rollup(by_source(spark, sf_dir))
 
 
 @query(
@@ -242,8 +240,7 @@ def rollup(spark, sf_dir):
         from f""",
 )
 def run_listing(spark, sf_dir):
-    rows, verdicts = classified(spark, sf_dir)
-    listed = numbered_listing(with_source(rows, verdicts), ["seq"])
+    listed = numbered_listing(by_source(spark, sf_dir), ["seq"])
     return listed.select("seq", "source", "change_type", "label", "progress")
 
 
@@ -258,7 +255,6 @@ def run_listing(spark, sf_dir):
         from s""",
 )
 def metrics_of_a_run(spark, sf_dir):
-    rows, verdicts = classified(spark, sf_dir)
-    return run_metrics(with_source(rows, verdicts), ["source"], duration=F.count(F.lit(1)) / 8)
+    return run_metrics(by_source(spark, sf_dir), ["source"], duration=F.count(F.lit(1)) / 8)
 
 

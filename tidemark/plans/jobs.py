@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,10 @@ from tidemark.streaming.sync import sync_batch
 
 
 def posting_spec(
-    at: Column | None = None, hot_rows: int | None = HOT_ROWS, exact: bool = False
+    at: Column | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    exact: bool = False,
+    keep: Sequence[str] = (),
 ) -> FoldSpec:
     """Fold of postings: canonical id, landing sequence, eight tracked columns."""
     return FoldSpec(
@@ -27,6 +32,7 @@ def posting_spec(
         hash=comparison_hash(exact),
         at=at if at is not None else F.unix_timestamp(),
         hot_rows=hot_rows,
+        keep=keep,
     )
 
 

@@ -38,6 +38,8 @@ FIELDS = (
     "published_at",
 )
 MAX_RECORDS = 500
+#: Pages read per feed and run; with the size limit of a body this bounds a feed.
+MAX_PAGES = 10
 DEFAULT_PAGES = 3
 PREVIEW_ROWS = 3
 
@@ -57,7 +59,9 @@ def with_records(landed: DataFrame, configs: DataFrame, max_bytes: int | None =
         F.trim(F.coalesce("api_config.records_path", F.lit("jobs"))).alias("records_path"),
         F.upper(F.coalesce("api_config.pagination.type", F.lit("NONE"))).alias("__paging"),
         F.coalesce("api_config.pagination.start_page", F.lit(1)).alias("__start"),
-        F.coalesce("api_config.pagination.max_pages", F.lit(DEFAULT_PAGES)).alias("__pages"),
+        F.least(
+            F.coalesce("api_config.pagination.max_pages", F.lit(DEFAULT_PAGES)), F.lit(MAX_PAGES)
+        ).alias("__pages"),
     )
     joined = parsed.join(settings, "source_id").withColumn(
         "records", record_list(F.col("body"), F.col("records_path"))
@@ -117,8 +121,8 @@ def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
 def capped(postings: DataFrame, limit: int = MAX_RECORDS) -> DataFrame:
     """The first ``limit`` valid records of each source (the feed's own run limit).
 
-    The rank filter becomes a per-partition group limit before the shuffle, so at
-    most ``limit`` rows per source and task move.
+    The landed pages of a feed are bounded per run (``MAX_PAGES`` bodies of
+    limited size), and the rank filter becomes a group limit before the shuffle.
     """
     order = Window.partitionBy("source").orderBy("page_no", "pos")
     ranked = postings.withColumn("__rank", F.row_number().over(order))

@@ -3,7 +3,7 @@
 Layout under ``root``::
 
     base/v=N/p=<key prefix>/    whole table as of version N
-    delta/v=N/p=<key prefix>/   rows written by version N (upserts, tombstones)
+    delta/v=N/                  rows written by version N (upserts, tombstones)
     commit/v=N/                 one row: the base and the first delta to read
 
 A version exists once its commit directory has a ``_SUCCESS`` marker: data is
@@ -73,7 +73,8 @@ class StateTable:
         """Writes the merged table as a new base; older deltas are no longer read."""
         if self.committed(version):
             return False
-        merged = self.read().withColumn("p", self._prefix())
+        # Rebalancing sizes the files of each prefix and splits large prefixes.
+        merged = self.read().withColumn("p", self._prefix()).hint("rebalance", "p")
         merged.write.mode("overwrite").partitionBy("p").parquet(f"{self.root}/base/v={version}")
         self._commit(version, base=version, first_delta=version + 1)
         return True
@@ -89,9 +90,7 @@ class StateTable:
             last = self.spark.read.parquet(f"{self.root}/commit/v={versions[-1]}").first()
             base, first = last.base, min(last.first_delta, version)
         # Only this uncommitted version is overwritten, when a run is repeated.
-        rows.withColumn("p", self._prefix()).write.mode("overwrite").partitionBy("p").parquet(
-            f"{self.root}/delta/v={version}"
-        )
+        rows.write.mode("overwrite").parquet(f"{self.root}/delta/v={version}")
         self._commit(version, base, first)
         return True
 
@@ -107,7 +106,7 @@ class StateTable:
         """The current table, or None before the first version.
 
         ``keys`` is a short list of key values to look up: their prefixes prune
-        the partitions that are read.
+        the partitions of the base.
         """
         base_version, delta_versions = self._parts()
         base = None if base_version is None else self._load("base", base_version, keys)
@@ -133,8 +132,9 @@ class StateTable:
     def _load(self, part: str, version: int, keys: Sequence[str] | None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{part}/v={version}")
         if keys is not None:
-            prefixes = sorted({"k" + str(k)[: self.prefix] for k in keys})
-            df = df.filter(F.col("p").isin(*prefixes) & F.col(self.key[0]).isin(*list(keys)))
+            df = df.filter(F.col(self.key[0]).isin(*list(keys)))
+            if part == "base":
+                df = df.filter(F.col("p").isin(*sorted({"k" + str(k)[: self.prefix] for k in keys})))
         return df.drop("p")
 
     def _prefix(self) -> Column:

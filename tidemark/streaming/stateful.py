@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+#: State store the operator needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _STATE = StructType(
     [StructField("hash", StringType()), StructField("first_seen", LongType()), StructField("changes", LongType())]
 )
