@@ -54,6 +54,7 @@ def test_stable_class_is_stable():
         ch = chr(code)
         if 0xD800 <= code < 0xE000 or not stable.match(ch):
             continue
+        assert code > 0x7F
         assert unicodedata.normalize("NFKC", ch) == ch
         assert unicodedata.category(ch)[0] != "M"
 
@@ -128,3 +129,12 @@ def test_values(spark):
     assert one(spark, 1700000000123, vx.epoch_ms, "v bigint") == 1700000000123
     assert one(spark, 12000000.0, vx.decimal_text, "v double") == "12000000"
     assert one(spark, 0.5, vx.decimal_text, "v double") == "0.5"
+
+
+def test_space_characters_match_python(spark):
+    import sys
+
+    spaces = {chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()}
+    assert set(tx.SPACE_CHARACTERS) == spaces
+    text = "a".join(sorted(spaces))
+    assert one(spark, f"x{text}y", tx.collapse_space) == " ".join(f"x{text}y".split())

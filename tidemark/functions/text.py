@@ -23,12 +23,17 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- fixed values
 
-#: White space as Python's ``str`` understands it (Java's ``\s`` is ASCII only).
-WHITESPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as Python's ``str`` understands it (Java's ``\\s`` is ASCII only).
+ASCII_SPACE = r"\t-\r\x1c-\x20"
+OTHER_SPACE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
-#: Characters NFKC leaves alone and which never combine with a neighbour.
+#: Characters beyond ASCII that NFKC leaves alone and that never combine.
 NFKC_STABLE = (
-    r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131"
+    r"\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131"
     r"\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03c9"
     r"\u0400-\u0481\u048a-\u04ff\u2010\u2012-\u2015\u2018-\u201f\u2022\u20ac"
     r"\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
@@ -105,18 +110,30 @@ VOLATILE_PATTERNS = {
 
 # -------------------------------------------------------------------- cleaning
 
+# Every alternative starts at ``<``, so plain characters are passed over quickly.
 _MARKUP = (
-    r"(?is)<!--.*?-->|<!(?!\[|--)[^>]*>|<\?[^>]*>|"
-    + "|".join(rf"<{name}\b[^>]*>.*?</{name}\s*>" for name in HIDDEN_ELEMENTS)
-    + r"""|</?[a-z](?>[^>"']+|"[^"]*"|'[^']*')*+>"""
+    r"(?is)<(?:!--.*?-->|!(?!\[|--)[^>]*>|\?[^>]*>|"
+    + "|".join(rf"{name}\b[^>]*>.*?</{name}\s*>" for name in HIDDEN_ELEMENTS)
+    + r"""|/?[a-z](?>[^>"']+|"[^"]*"|'[^']*')*+>)"""
 )
 _KNOWN_REFS = "|".join(re.escape(ref[1:-1]) for ref, _ in ENTITIES)
-_UNSETTLED = rf"<[a-zA-Z/!?]|&(?!(?:{_KNOWN_REFS});)[a-zA-Z#]|[^{NFKC_STABLE}{WHITESPACE}]"
+# The large class is looked at for characters beyond ASCII only.
+_OTHER_SPACE = rf"[^\x00-\x7f](?<=[{OTHER_SPACE}])"
+_UNSTABLE = rf"[^\x00-\x7f](?<=[^{NFKC_STABLE}{OTHER_SPACE}])"
+_UNSETTLED = rf"<[a-zA-Z/!?]|&(?!(?:{_KNOWN_REFS});)[a-zA-Z#]|{_UNSTABLE}"
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
+def _collapse_ascii(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"[{ASCII_SPACE}]+", " "))
 
 
 def collapse_space(c: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"[{WHITESPACE}]+", " "))
+    return _collapse_ascii(F.regexp_replace(c, _OTHER_SPACE, " "))
 
 
 def _without_markup(c: Column) -> Column:
@@ -197,12 +214,16 @@ def _exact_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def clean_text(c: Column | str, exact: bool = False) -> Column:
     """Visible text of a possibly marked-up value; null becomes ``''``."""
     c = _col(c).cast("string")
-    plain = ~c.rlike("[<&]")
-    native = F.when(plain, collapse_space(c)).otherwise(
-        collapse_space(_decoded(_without_markup(c)))
+    plain = ~(c.contains("<") | c.contains("&"))
+    native = (
+        F.when(plain & _is_ascii(c), _collapse_ascii(c))
+        .when(plain, collapse_space(c))
+        .otherwise(collapse_space(_decoded(_without_markup(c))))
     )
     if exact:
-        odd = c.rlike(rf"[<&]|[^{NFKC_STABLE}{WHITESPACE}]") & _without_markup(c).rlike(_UNSETTLED)
+        odd = F.when(plain, ~_is_ascii(c) & c.rlike(_UNSTABLE)).otherwise(
+            _without_markup(c).rlike(_UNSETTLED)
+        )
         native = F.coalesce(_exact_text(F.when(odd, c)), native)
     return F.coalesce(native, F.lit(""))
 
@@ -244,7 +265,7 @@ def normalize_title(
 def employment_type(c: Column | str, clean: bool = True, exact: bool = False) -> Column:
     """One of the fixed employment types; tests run in order, first hit wins."""
     base = clean_text(c, exact) if clean else F.coalesce(_col(c).cast("string"), F.lit(""))
-    text = F.regexp_replace(F.translate(F.lower(base), "-_", "  "), f"[{WHITESPACE}]+", " ")
+    text = F.regexp_replace(F.translate(F.lower(base), "-_", "  "), f"[{ASCII_SPACE}]+", " ")
     out = F.lit("OTHER")
     for value, pattern in reversed(EMPLOYMENT_RULES):
         out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
@@ -265,7 +286,7 @@ def strip_volatile(
     out = text
     for name, pattern in patterns.items():
         out = F.when(_col(source) == name, F.regexp_replace(text, pattern, "")).otherwise(out)
-    return F.regexp_replace(out, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(out, F.lit(SPACE_CHARACTERS))
 
 
 # --------------------------------------------------------------------- display
