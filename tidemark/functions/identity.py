@@ -37,30 +37,38 @@ def canonical_id(
     exact: bool = False,
 ) -> Column:
     """Sixteen hex digits shared by all postings of one job."""
-    return F.substring(
-        digest(
-            [
-                tx.normalize_company(company, exact),
-                tx.normalize_title(title, exact),
-                tx.normalize_location(location, exact),
-            ]
-        ),
-        1,
-        16,
+    return _canonical(
+        tx.normalize_company(company, exact),
+        tx.normalize_title(title, exact),
+        tx.normalize_location(location, exact),
     )
 
 
+def _canonical(company: Column, title: Column, location: Column) -> Column:
+    return F.substring(digest([company, title, location]), 1, 16)
+
+
 def content_hash(exact: bool = False) -> Column:
     """Hash of the seven content columns of a posting, as ``name=value`` pairs."""
-    absent = F.lit("None")
-    values: Mapping[str, Column] = {
+    return _content(_words(exact), tx.employment_type("employment_type", exact=exact))
+
+
+def _words(exact: bool) -> dict[str, Column]:
+    return {
         "title": tx.normalize_title("title", exact),
         "company": tx.normalize_company("company", exact),
         "location": tx.normalize_location("location", exact),
-        "employment_type": tx.employment_type("employment_type", exact=exact),
+        "description": tx.normalize_text("description", exact),
+    }
+
+
+def _content(words: Mapping[str, Column], employment: Column) -> Column:
+    absent = F.lit("None")
+    values = {
+        **words,
+        "employment_type": employment,
         "salary_min": F.coalesce(decimal_text("salary_min"), absent),
         "salary_max": F.coalesce(decimal_text("salary_max"), absent),
-        "description": tx.normalize_text("description", exact),
     }
     return digest([F.concat(F.lit(f"{name}="), values[name]) for name in sorted(values)])
 
@@ -126,7 +134,19 @@ def finalize(jobs: DataFrame, exact: bool = True) -> DataFrame:
     The identity columns of ``jobs`` must already be cleaned text; the second
     cleaning inside the hashes only matters for doubly escaped markup.
     """
-    typed = jobs.withColumn("employment_type", tx.employment_type("employment_type", exact=exact))
-    return typed.withColumns(
-        {KEY: canonical_id(exact=exact), "content_hash": content_hash(exact)}
+    words = _words(exact)
+    # Both hashes share the normalised words, so they are one projection below.
+    staged = jobs.withColumns(
+        {
+            **{f"__{name}": c for name, c in words.items()},
+            "employment_type": tx.employment_type("employment_type", exact=exact),
+        }
+    )
+    shared = {name: F.col(f"__{name}") for name in words}
+    derived = staged.withColumns(
+        {
+            KEY: _canonical(shared["company"], shared["title"], shared["location"]),
+            "content_hash": _content(shared, F.col("employment_type")),
+        }
     )
+    return derived.drop(*[f"__{name}" for name in words])
