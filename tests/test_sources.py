@@ -161,4 +161,4 @@ def test_state_table(spark, tmp_path):
     assert now() == [("02", 21), ("03", 30), ("ff", 3)]
     assert now(keys=["02", "ff"]) == [("02", 21), ("ff", 3)]
     with pytest.raises(ValueError):
-        table.upsert(rows(("x", 1)), 3 - 2 + 100 - 200)
+        table.upsert(rows(("x", 1)), -1)

@@ -11,10 +11,17 @@ def one(spark, value, fn, schema="v string"):
     return spark.createDataFrame([(value,)], schema).select(fn(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize("exact", [False, True])
-@pytest.mark.parametrize(
-    "raw,want",
-    [
+def each(spark, cases, *fns):
+    """Applies every function to the inputs of ``cases`` in one job each."""
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, v string")
+    for fn in fns:
+        got = {r.i: r.out for r in df.select("i", fn(F.col("v")).alias("out")).collect()}
+        for i, (raw, want) in enumerate(cases):
+            assert got[i] == want, raw
+
+
+def test_clean_text(spark):
+    cases = [
         (None, ""),
         ("  a \t b\n", "a b"),
         ("<p>One<br>two</p>", "One two"),
@@ -25,25 +32,20 @@ def one(spark, value, fn, schema="v string"):
         ("Tom &amp;lt; Jerry&nbsp;!", "Tom &lt; Jerry !"),
         ("3 < 4 and 5 > 2", "3 < 4 and 5 > 2"),
         ("it&#39;s", "it's"),
-    ],
-)
-def test_clean_text(spark, raw, want, exact):
-    assert one(spark, raw, lambda c: tx.clean_text(c, exact)) == want
+    ]
+    each(spark, cases, tx.clean_text, lambda c: tx.clean_text(c, True))
 
 
-@pytest.mark.parametrize(
-    "raw,want",
-    [
+def test_exact_tier(spark):
+    cases = [
         ("ﬁne ½", "fine 1⁄2"),
         ("é", "é"),
         ("&frac12; <p>&hellip;", "1⁄2 ..."),
         ("AT&T <b>x", "AT&T x"),
         ("<![CDATA[raw]]> z", "raw z"),
         ("full　width Ａ", "full width A"),
-    ],
-)
-def test_exact_tier(spark, raw, want):
-    assert one(spark, raw, lambda c: tx.clean_text(c, True)) == want
+    ]
+    each(spark, cases, lambda c: tx.clean_text(c, True))
 
 
 def test_stable_class_is_stable():
@@ -65,9 +67,8 @@ def test_native_equals_exact_on_pages(spark, sf_dir):
     assert [r.native for r in rows] == [tx.visible_text(r.html) for r in rows]
 
 
-@pytest.mark.parametrize(
-    "raw,want",
-    [
+def test_employment_type(spark):
+    cases = [
         ("Full-Time", "FULL_TIME"),
         ("fulltime", "FULL_TIME"),
         ("part_time", "PART_TIME"),
@@ -77,11 +78,8 @@ def test_native_equals_exact_on_pages(spark, sf_dir):
         ("attempt", "OTHER"),
         (None, "OTHER"),
         ("contract full time", "FULL_TIME"),
-    ],
-)
-def test_employment_type(spark, raw, want):
-    assert one(spark, raw, tx.employment_type) == want
-    assert one(spark, raw, lambda c: tx.employment_type(c, clean=False)) == want
+    ]
+    each(spark, cases, tx.employment_type, lambda c: tx.employment_type(c, clean=False))
 
 
 def test_normalisation_equalities(spark):
@@ -114,13 +112,10 @@ def test_display(spark):
     ]
 
 
-@pytest.mark.parametrize(
-    "raw,want",
-    [("$120,000", 120000.0), ("not published", None), ("1e5", 15.0), ("100-200", None),
-     ("80k", 80.0), ("-5", None), ("", None)],
-)
-def test_number_or_none(spark, raw, want):
-    assert one(spark, raw, vx.number_or_none) == want
+def test_number_or_none(spark):
+    cases = [("$120,000", 120000.0), ("not published", None), ("1e5", 15.0), ("100-200", None),
+     ("80k", 80.0), ("-5", None), ("", None)]
+    each(spark, cases, vx.number_or_none)
 
 
 def test_values(spark):
