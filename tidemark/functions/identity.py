@@ -128,11 +128,12 @@ def storage_id() -> Column:
     )
 
 
-def finalize(jobs: DataFrame, exact: bool = True) -> DataFrame:
+def finalize(jobs: DataFrame, exact: bool = False) -> DataFrame:
     """Normalised employment type plus both derived columns of a posting.
 
-    The identity columns of ``jobs`` must already be cleaned text; the second
-    cleaning inside the hashes only matters for doubly escaped markup.
+    The text columns of ``jobs`` are expected to be cleaned already.  The second
+    cleaning inside the hashes then only meets doubly escaped markup, for which
+    the native tier is enough unless it hides a rare entity (``exact=True``).
     """
     words = _words(exact)
     # Both hashes share the normalised words, so they are one projection below.

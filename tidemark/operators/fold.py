@@ -40,7 +40,8 @@ class FoldSpec:
     row that was edited in place is compared by its present values.  ``at`` is
     the epoch second of a landed row.  ``slice_by`` must be monotone in
     ``order``; by default it is derived from the first order column.  ``keep``
-    names narrow landed columns that verdicts carry along.
+    names narrow landed columns that verdicts carry along.  ``landed_hash`` is
+    the hash of landed rows where the batch already holds it.
     """
 
     key: Sequence[str]
@@ -51,6 +52,7 @@ class FoldSpec:
     slice_by: Column | None = None
     hot_rows: int | None = HOT_ROWS
     keep: Sequence[str] = ()
+    landed_hash: Column | None = None
 
 
 def touched(state: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -84,7 +86,7 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
         *order,
         *[F.col(c).alias(f"__keep_{c}") for c in spec.keep],
         F.lit(True).alias("__landed"),
-        spec.hash.alias("__hash"),
+        (spec.hash if spec.landed_hash is None else spec.landed_hash).alias("__hash"),
         _marks(batch, spec.tracked).alias("__marks"),
         spec.at.cast("bigint").alias("__seen"),
         spec.at.cast("bigint").alias("__at"),
@@ -109,7 +111,12 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
             F.coalesce(F.col("change_count").cast("bigint"), F.lit(0)).alias("__changes"),
         )
         rows = rows.unionByName(stored)
-    return _verdicts(_with_carry(_passed(rows, key, order), key, hot), spec)
+    passed = _passed(rows, key, order)
+    if hot is None:
+        return _verdicts(_without_carry(passed), spec)
+    # Only the rows of hot keys are ordered a second time, for the slice ends.
+    hot_passed = _passed(rows.filter("__hot"), key, order)
+    return _verdicts(_with_carry(passed, hot_passed, key), spec)
 
 
 def _marks(df: DataFrame, tracked: Sequence[str]) -> Column:
@@ -157,24 +164,26 @@ def _passed(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def _with_carry(passed: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
+def _without_carry(passed: DataFrame) -> DataFrame:
+    """No hot key: every slice is a whole key, nothing comes before it."""
+    kinds = {
+        "hash": "string",
+        "me": passed.schema["__me"].dataType,
+        "at": "bigint",
+        "seen": "bigint",
+        "changes": "bigint",
+    }
+    nothing = {f"__carry_{name}": F.lit(None).cast(kind) for name, kind in kinds.items()}
+    return passed.withColumns({"__known": F.lit(False), **nothing})
+
+
+def _with_carry(passed: DataFrame, hot_passed: DataFrame, key: list[str]) -> DataFrame:
     """Adds what earlier slices of the same hot key leave behind."""
-    if hot is None:
-        return passed.withColumns(
-            {
-                "__known": F.lit(False),
-                "__carry_hash": F.lit(None).cast("string"),
-                "__carry_me": F.lit(None).cast(passed.schema["__me"].dataType),
-                "__carry_at": F.lit(None).cast("bigint"),
-                "__carry_seen": F.lit(None).cast("bigint"),
-                "__carry_changes": F.lit(None).cast("bigint"),
-            }
-        )
     along = Window.partitionBy(*key).orderBy(SLICE)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # The last row of a slice holds the running values of the whole slice.
-    ends = passed.filter(F.col("__hot") & F.col("__ends")).withColumns(
+    ends = hot_passed.filter("__ends").withColumns(
         {
             "__carry_hash": F.lag("__hash").over(along),
             "__carry_seen": F.first("__first_seen").over(upto),

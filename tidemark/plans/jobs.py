@@ -12,8 +12,8 @@ from tidemark.functions.identity import KEY, TRACKED, comparison_hash, finalize
 from tidemark.operators.changes import IMAGE
 from tidemark.operators.fold import FoldSpec
 from tidemark.operators.gate import due_payloads, gate
-from tidemark.operators.ordered import HOT_ROWS, row_numbers
-from tidemark.sources.feeds import union_feeds
+from tidemark.operators.ordered import HOT_ROWS
+from tidemark.sources.feeds import BUILTIN, union_feeds
 from tidemark.sources.snapshots import StateTable, stored_posting
 from tidemark.streaming.sync import sync_batch
 
@@ -23,16 +23,21 @@ def posting_spec(
     hot_rows: int | None = HOT_ROWS,
     exact: bool = False,
     keep: Sequence[str] = (),
+    order: Sequence[str] = ("seq",),
+    slice_by: Column | None = None,
+    landed_hash: Column | None = None,
 ) -> FoldSpec:
-    """Fold of postings: canonical id, landing sequence, eight tracked columns."""
+    """Fold of postings: canonical id, landing order, eight tracked columns."""
     return FoldSpec(
         key=[KEY],
-        order=["seq"],
+        order=list(order),
         tracked=TRACKED,
         hash=comparison_hash(exact),
         at=at if at is not None else F.unix_timestamp(),
         hot_rows=hot_rows,
         keep=keep,
+        slice_by=slice_by,
+        landed_hash=landed_hash,
     )
 
 
@@ -42,12 +47,22 @@ def clean_postings(rows: DataFrame, exact: bool = False) -> DataFrame:
     return finalize(rows.withColumns(cleaned), exact)
 
 
-def sequenced(postings: DataFrame) -> DataFrame:
-    """Adds ``seq``: feed order, then page, then position, over the whole batch."""
-    page = F.col("source_ord") * F.lit(1_000_000) + F.col("page_no")
-    keyed = postings.withColumn("__page", page)
-    numbered = row_numbers(keyed, ["__page", "pos"], slice_by=F.col("__page"), name="seq")
-    return numbered.drop("__page")
+#: Order of a landed batch: built-in feeds in turn, then configured feeds one after
+#: another (in the order of a hash, as their own order has no meaning).
+LANDING_ORDER = ("source_ord", "source_rank", "page_no", "pos")
+
+
+def landing_slice(n_builtin: int = len(BUILTIN)) -> Column:
+    """Slices of :data:`LANDING_ORDER` of bounded size: a page of a built-in feed
+    (bodies are limited), or one in 2**20 of the configured feeds (records are capped)."""
+    base = F.col("source_ord").cast("bigint") * F.lit(2**40)
+    bucket = F.shiftright(F.col("source_rank"), 44)
+    return base + F.when(F.col("source_ord") < n_builtin, F.col("page_no")).otherwise(bucket)
+
+
+def with_landing_order(postings: DataFrame, n_builtin: int = len(BUILTIN)) -> DataFrame:
+    rank = F.when(F.col("source_ord") < n_builtin, F.lit(0)).otherwise(F.xxhash64("source"))
+    return postings.withColumn("source_rank", rank.cast("bigint"))
 
 
 def sync_due_feeds(
@@ -61,16 +76,22 @@ def sync_due_feeds(
 ) -> bool:
     """One scheduled run: gate, map due payloads, fold, write what changed.
 
-    The mapped batch is written once and read back, so parsing and cleaning are
-    not repeated by the fold, the feed and the upsert.
+    The mapped batch is written once and read back with its comparison hash, so
+    parsing and cleaning are not repeated by the fold, the feed and the upsert.
     """
     if table.committed(version):
         return False
     spark = landed.sparkSession
     due = due_payloads(landed, gate(sources, as_of))
-    mapped = sequenced(union_feeds(due, sources))
+    mapped = with_landing_order(union_feeds(due, sources))
     batch_path = f"{out}/batch/v={version}"
-    spec = posting_spec(F.lit(as_of), hot_rows, exact=True)
-    stored_posting(mapped, comparison_hash(exact=True)).write.mode("overwrite").parquet(batch_path)
+    spec = posting_spec(
+        F.lit(as_of),
+        hot_rows,
+        order=LANDING_ORDER,
+        slice_by=landing_slice(),
+        landed_hash=F.col("content_hash"),
+    )
+    stored_posting(mapped, comparison_hash()).write.mode("overwrite").parquet(batch_path)
     batch = spark.read.parquet(batch_path)
     return sync_batch(batch, version, spec, table, out, IMAGE)

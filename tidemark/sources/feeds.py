@@ -191,7 +191,7 @@ def union_feeds(
     out = branches[0]
     for branch in branches[1:]:
         out = out.unionByName(branch)
-    return finalize(out, exact) if derive else out
+    return finalize(out) if derive else out
 
 
 def unknown_payloads(landed: DataFrame, sources: DataFrame) -> DataFrame:
