@@ -120,8 +120,9 @@ def preview_sample(spark, sf_dir):
     "rejected_pages",
     """with d as (select doc_id % 5 as s, doc_id, case when doc_id % 3 = 0 then '{"data":{"jobs":7}}' when doc_id % 3 = 1 then text
            else '{"data":{"jobs":[]}}' end as payload from documents)
-       select concat('custom-', s) as source_id, doc_id as page_no, case when doc_id % 3 = 0 then 'no_record_array' else 'not_json' end as reject
-       from d where doc_id % 3 <> 2""",
+       select concat('custom-', s) as source_id, doc_id as page_no,
+         case when json_valid(payload) then 'no_record_array' else 'not_json' end as reject
+       from d where not json_valid(payload) or json_type(case when json_valid(payload) then payload end, '$.data.jobs') <> 'ARRAY'""",
 )
 def rejected_pages(spark, sf_dir):
     docs = views.load(spark, sf_dir, "documents")

@@ -20,7 +20,7 @@ from tidemark.plans.catalogue.sync import postings, spec
 from tidemark.session import checkpoint_dir
 from tidemark.sources.snapshots import StateTable
 from tidemark.streaming.requests import MAX_RECEIVES, RequestQueue, request_stream
-from tidemark.streaming.stateful import ROCKSDB, stateful_fold
+from tidemark.streaming.stateful import MAX_KEY_ROWS, ROCKSDB, stateful_fold
 from tidemark.streaming.sync import sync_stream
 from tidemark.streaming.watch import read_feed, run_until, watch_key
 
@@ -41,21 +41,27 @@ def in_parts(
     path: str,
     run: Callable[[DataFrame], StreamingQuery],
     n_parts: int = N_PARTS,
-) -> None:
+    max_rows: int | None = None,
+) -> int:
     """Lands rows in parts of rising ``order``; after each the stream takes what is new.
 
     A part is written by many tasks and becomes one micro-batch, whatever its
-    number of files, so micro-batches arrive in order at any size.
+    number of files, so micro-batches arrive in order at any size.  As ``order`` is
+    unique, ``max_rows`` bounds the rows of a micro-batch.  Returns the number of parts.
     """
     spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
     width = (high - low) // n_parts + 1
-    for i in range(n_parts):
+    if max_rows is not None:
+        width = min(width, max_rows)
+    parts = (high - low) // width + 1
+    for i in range(parts):
         start = low + i * width
         part = rows.filter((F.col(order) >= start) & (F.col(order) < start + width))
         part.write.mode("append").parquet(f"{path}/part={i}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
         run(stream.parquet(path)).awaitTermination()
+    return parts
 
 
 def synced(spark: SparkSession, sf_dir: str) -> tuple[StateTable, str]:
@@ -139,8 +145,8 @@ def _served(spark, sf_dir) -> RequestQueue:
     root = work_dir(spark, "requests")
     rows = src.messages(spark, sf_dir).withColumn("n", F.col("message_id").cast("bigint"))
     queue = RequestQueue(spark, root, views.registry(spark, sf_dir))
-    in_parts(rows, "n", f"{root}/in", lambda s: request_stream(s, queue, f"{root}/checkpoint"))
-    queue.drain(N_PARTS)
+    rounds = in_parts(rows, "n", f"{root}/in", lambda s: request_stream(s, queue, f"{root}/checkpoint"))
+    queue.drain(rounds)
     return queue
 
 
@@ -188,7 +194,7 @@ def stream_state_store(spark, sf_dir):
         return folded.start(f"{root}/out")
 
     try:
-        in_parts(rows, "seq", f"{root}/in", run)
+        in_parts(rows, "seq", f"{root}/in", run, max_rows=MAX_KEY_ROWS)
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out")

@@ -2,8 +2,8 @@
 
 This is the second form of the streaming fold: the last comparison hash of each
 key lives in the state store.  Use ``sync.sync_stream`` when change fields, images
-or hot keys matter; here all rows of a key in one micro-batch meet in one task,
-so the size of a micro-batch (``maxFilesPerTrigger``) bounds the work of a key.
+or hot keys matter; here the rows of a key in one micro-batch meet in one task, so
+micro-batches must be bounded: feed at most ``MAX_KEY_ROWS`` rows per trigger.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+#: Rows a micro-batch may hold, and with it the rows of one key in one task.
+MAX_KEY_ROWS = 200_000
+
 #: State store the operator needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
