@@ -12,15 +12,20 @@ from __future__ import annotations
 import functools
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The UDF below travels with its helpers, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---------------------------------------------------------------- fixed values
 
 #: White space as Python's ``str`` understands it (Java's ``\\s`` is ASCII only).

@@ -8,14 +8,19 @@ micro-batches must be bounded: feed at most ``MAX_KEY_ROWS`` rows per trigger.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+# The processor travels by value, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows a micro-batch may hold, and with it the rows of one key in one task.
 MAX_KEY_ROWS = 200_000
 
