@@ -19,8 +19,11 @@ from tidemark.llm.common import materialise, read_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not call toxic."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return toxicity.score(docs, columns, model).filter("predicted = 0").select(*columns)
+    # Inner names keep columns that are named like the operator's own apart.
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    text = f"__c{docs.columns.index('text')}"
+    scored = toxicity.score(inner, inner.columns, model, text)
+    return scored.filter("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

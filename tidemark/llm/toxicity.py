@@ -1,6 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Training counts words and word beginnings in toxic and clean labelled documents.
+Training counts the toxic and clean labelled documents that hold a word or a word
+beginning; equal texts count once.
 Their log-odds carry a Dirichlet prior spread like the tokens of both classes
 together, so rare tokens stay near zero.  A linear scan finds every maximal
 segment of positive score in a text.  The largest segment score of clean
@@ -32,12 +33,13 @@ from tidemark.llm.learn import apply_logistic, fit_logistic
 
 #: Labelled documents the model is fitted on, chosen by a hash of their id.
 MAX_LABELLED = 40_000
-#: Strength of the prior in tokens, least z-score and most entries of the lexicon.
+#: Strength of the prior in counted tokens, least z-score and most entries of the lexicon.
 PRIOR_TOKENS = 2_000.0
 MIN_Z = 4.0
 MAX_TERMS = 50_000
-#: Score a token loses for not being in the lexicon.
-DRIFT = 0.25
+#: What every token costs, about the share of toxic words in a toxic text: it ends
+#: a passage where they get rarer.
+DRIFT = 0.03
 #: Expected chance count under which a passage is significant.
 SIGNIFICANT = 0.05
 #: Every ``FOLDS``-th document by checksum is never learned from.
@@ -140,8 +142,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     )
     # The limit bounds what is broadcast: an id and a class for each row.
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "toxic")
-    return docs.select("doc_id", text).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(text, "toxic")
+    chosen = materialise(chosen.select(F.col("doc_id").alias("__id"), "toxic"), "labelled")
+    here = F.col("doc_id") == F.col("__id")
+    ids = docs.select("doc_id", F.xxhash64(text).alias("h")).join(F.broadcast(chosen), here)
+    ids = ids.groupBy("h", "toxic").agg(F.min("__id").alias("__id")).select("__id", "toxic").limit(MAX_LABELLED)
+    ids = materialise(ids, "training-ids")
+    return docs.select("doc_id", text).join(F.broadcast(ids), here).select(text, "toxic")
 
 
 def lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
@@ -156,7 +162,9 @@ def lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
         for batch in batches:
             for piece in slices(batch):
                 for value, toxic in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    counts[bool(toxic)].update(tokens(value))
+                    found = set(tokens(value))
+                    stems = {w[:k] + "*" for w in found for k in STEMS if len(w) >= k}
+                    counts[bool(toxic)].update(found | stems)
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield from _emit(counts, pa)
         yield from _emit(counts, pa)
@@ -165,6 +173,7 @@ def lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
     totals = counted.groupBy("kind", "token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     totals = materialise(totals, "token-counts")
     sums = totals.groupBy("kind").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc"))
+    sums = sums.filter((F.col("nt") > 0) & (F.col("nc") > 0))
     scored = totals.join(F.broadcast(sums), "kind")  # one row per kind of token: three
     prior = F.lit(PRIOR_TOKENS) * (F.col("t") + F.col("c")) / (F.col("nt") + F.col("nc"))
     t, c = F.col("t") + prior, F.col("c") + prior
@@ -181,26 +190,21 @@ def lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
 
 
 def _emit(counts, pa):
-    """Counts of words and of their beginnings as one batch; empties the counters."""
+    """Counts of both classes as one batch; empties the counters."""
     clean, toxic = counts
-    rows: dict[tuple[int, str], list[int]] = {}
-    for side, counter in ((0, toxic), (1, clean)):
-        for word, n in counter.items():
-            rows.setdefault((0, word), [0, 0])[side] += n
-            for k in STEMS:
-                if len(word) >= k:
-                    rows.setdefault((k, word[:k] + "*"), [0, 0])[side] += n
-        counter.clear()
-    if rows:
+    every = list(clean.keys() | toxic.keys())
+    if every:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([k[1] for k in rows], pa.string()),
-                pa.array([k[0] for k in rows], pa.int32()),
-                pa.array([v[0] for v in rows.values()], pa.int64()),
-                pa.array([v[1] for v in rows.values()], pa.int64()),
+                pa.array(every, pa.string()),
+                pa.array([len(w) if w[-1] == "*" else 0 for w in every], pa.int32()),
+                pa.array([toxic[w] for w in every], pa.int64()),
+                pa.array([clean[w] for w in every], pa.int64()),
             ],
             names=["token", "kind", "toxic", "clean"],
         )
+    clean.clear()
+    toxic.clear()
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
@@ -241,9 +245,11 @@ def fit_extreme(best: list[tuple[float, int]]) -> tuple[float, float]:
     """Scale and location of ``P(best > s) = 1 - exp(-n * exp(location - scale * s))``, by maximum likelihood.
 
     For a given scale the location has a closed form; the scale is found by bisection.
+    Texts without any positive token tell nothing about the tail and are left out.
     """
-    s = np.array([b for b, n in best if n > 1], dtype=float)
-    log_n = np.log([n for _, n in best if n > 1]) if len(s) else np.array([])
+    best = [(b, n) for b, n in best if b > 0 and n > 1]
+    s = np.array([b for b, _ in best], dtype=float)
+    log_n = np.log([n for _, n in best]) if best else np.array([])
     if len(s) < 10 or s.std() < 1e-9:
         return 1.0, 0.0
 
