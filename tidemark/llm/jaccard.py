@@ -2,15 +2,16 @@
 
 Every text becomes a set of hashed shingles.  Equal sets are one node.  Two sets
 that are alike enough share one of the first shingles of their common order, so
-nodes meet under those shingles only.  Under a shingle, a signature tree holds in
-each inner node the OR of its sets' bitmaps and the range of their sizes; two
-trees are walked together, and a pair of nodes is left as soon as the largest
-overlap that bitmaps and sizes allow is too small.  What is left is counted
-exactly on the whole sets.
+nodes meet under those shingles only.  A shingle is led by the node under it that
+shares its shingles with most others, and what meets under any shingle of one
+leader forms a block.  In a block, a signature tree holds in each inner node the OR
+of its sets' bitmaps and the range of their sizes; two trees are walked together,
+and a pair of nodes is left as soon as the largest overlap that bitmaps and sizes
+allow is too small.  What is left is counted exactly on the whole sets.
 
 Two rounds keep large groups of near copies from being paired off: the first
-links each node with one other node under its shingle, the second walks only
-between sets that are not yet in one component.
+compares each node with its leaders, the second walks only between sets that are
+not yet in one component.
 
 A null or empty text has an empty set, is linked with nothing and is a component
 of its own.  Rows with equal sets are one component, also if they repeat an id.
@@ -40,7 +41,7 @@ PERCENT = 75
 #: makes one frequent, and how many are named.  They only come last in the order
 #: of shingles; results do not depend on them.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 16, 20_000
-#: Rows under one shingle above which they are also split by set size.
+#: Nodes of a block above which it is also split by set size.
 HOT_ROWS = 2_000
 #: Bits of the filter that picks the texts to be counted exactly.  A full filter
 #: lets more texts pass and never loses one.
@@ -106,8 +107,8 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Two to four bits per shingle, as 64-bit words; 64 at least."""
-    bits = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    """Eight to sixteen bits per shingle, as 64-bit words; 64 at least."""
+    bits = 1 << max(6, int(8 * len(found) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(found >> _U(32)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").view(_U)
@@ -228,7 +229,7 @@ def live_rows(sets: DataFrame) -> DataFrame:
 
 @dataclass
 class Signatures:
-    """Sets under one shingle and of one bitmap width, in tree order."""
+    """Sets of one block and of one bitmap width, in tree order."""
 
     node: np.ndarray
     group: np.ndarray
@@ -302,7 +303,7 @@ def _children(at: np.ndarray, level: int, last: int, count: int) -> np.ndarray:
 
 
 def candidates(node, group, size, home, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of different groups that may be linked, among the rows under one shingle."""
+    """Pairs of nodes of different groups that may be linked, among the rows of one block."""
     widths = np.array([len(x) // 8 for x in bits])
     trees: dict[int, Signatures] = {}
     for width in np.unique(widths).tolist():
@@ -325,22 +326,34 @@ def candidates(node, group, size, home, bits: list[bytes]) -> Iterator[tuple[np.
 PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def cross_pairs(live: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+def blocks_of(live: DataFrame) -> DataFrame:
+    """Distinct ``(leader, node)``: nodes that share a shingle share a block.
+
+    Near copies share most of their shingles, so they meet once here instead of
+    once for every shingle.
+    """
+    fame = live.groupBy("node").agg(F.sum("k").alias("fame"))
+    known = live.join(fame, "node")
+    lead = known.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("m")).select("key", F.col("m.node").alias("leader"))
+    return live.select("key", "node").join(lead, "key").select("leader", "node").distinct()
+
+
+def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
     """Candidate links between nodes of different groups; ``grouped`` has ``node`` and ``root``."""
     schema = to_arrow_schema(PAIR)
-    rows = live.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    rows = rows.join(mixed, "key")
+    rows = blocks.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("k"))
+    rows = rows.join(mixed.filter("a != b").select("leader", "k"), "leader")
+    rows = rows.join(nodes.select("node", "n", "bits"), "node")
     # Sets of one size class only fit their own and the two next ones.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
     places = F.when(
         F.col("k") > HOT_ROWS,
         F.array(*[F.struct((size_class - d).alias("c"), F.lit(d == 0).alias("home")) for d in (0, 1, 2)]),
     ).otherwise(F.array(F.struct(F.lit(-9).alias("c"), F.lit(True).alias("home"))))
-    rows = rows.withColumn("__p", F.explode(places)).select("key", "node", "root", "__p.c", "__p.home")
-    rows = rows.join(nodes.select("node", "n", "bits"), "node")
-    ordered = rows.repartition("key", "c").sortWithinPartitions("key", "c", "root", "node")
-    ordered = ordered.select("key", "c", "node", "root", "n", "home", "bits")
+    rows = rows.withColumn("__p", F.explode(places))
+    rows = rows.select("leader", "__p.c", "node", "root", "n", "__p.home", "bits")
+    ordered = rows.repartition("leader", "c").sortWithinPartitions("leader", "c")
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
@@ -371,15 +384,16 @@ def cross_pairs(live: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFr
     return ordered.mapInArrow(run, PAIR).distinct()
 
 
-def star_pairs(live: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each node with the least node under its shingle, where bitmaps and sizes allow a link."""
-    lead = live.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "m.*").toDF("key", "v", "nv")
-    pairs = live.join(lead, "key").filter("node != v")
-    pairs = pairs.filter((100 * F.col("n") >= PERCENT * F.col("nv")) & (100 * F.col("nv") >= PERCENT * F.col("n")))
-    pairs = pairs.select(F.col("node").alias("u"), "v").distinct()
+def star_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node with the leaders of its blocks, where bitmaps and sizes allow a link."""
+    pairs = blocks.filter("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     one = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
     two = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv")
+    sizes = nodes.select(F.col("node").alias("u"), F.col("n").alias("a"))
+    others = nodes.select(F.col("node").alias("v"), F.col("n").alias("b"))
+    fitting = pairs.join(sizes, "u").join(others, "v")
+    fitting = fitting.filter((100 * F.col("a") >= PERCENT * F.col("b")) & (100 * F.col("b") >= PERCENT * F.col("a")))
+    both = fitting.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv")
     schema = to_arrow_schema(PAIR)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,10 +476,11 @@ def linked(docs: DataFrame) -> DataFrame:
         firsts.join(live.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"]),
         "nodes",
     )
-    stars = materialise(star_pairs(live, nodes), "stars")
+    blocks = materialise(blocks_of(live), "blocks")
+    stars = materialise(star_pairs(blocks, nodes).distinct(), "stars")
     first = materialise(counted(texts, sets, stars), "first-links")
     grouped = components(first)
-    others = cross_pairs(live, nodes, grouped).join(stars, ["u", "v"], "left_anti")
+    others = cross_pairs(blocks, nodes, grouped).join(stars, ["u", "v"], "left_anti")
     second = counted(texts, sets, materialise(others, "crosses"))
     grouped = components(first.union(second))
     known = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
