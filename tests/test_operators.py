@@ -227,10 +227,13 @@ def test_paging_covers_everything(spark, jobs):
         after = page[0].next_key
     assert seen == ["a1", "b2", "c3", "d4"]
     assert keys(catalog.page(jobs, status="OPEN")) == ["a1", "b2"]
-    assert [catalog.clamp_limit(v) for v in (None, "0", "500", 7)] == [100, 1, 100, 7]
+    assert [catalog.page_size(v) for v in (None, "100", 7)] == [100, 100, 7]
     with pytest.raises(ValueError):
-        catalog.clamp_limit("ten")
-    numbered = catalog.page_numbers(jobs, size=3, prefix=1).collect()
+        catalog.page_size("ten")
+    for outside in ("0", 101):
+        with pytest.raises(ValueError):
+            catalog.page_size(outside)
+    numbered = catalog.page_numbers(jobs, size=3, slice_rows=2).collect()
     assert sorted((r[KEY], r.page_no) for r in numbered) == [("a1", 1), ("b2", 1), ("c3", 1), ("d4", 2)]
 
 

@@ -2,12 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.identity import KEY
 from tidemark.plans.jobs import posting_spec, sync_due_feeds
 from tidemark.sources.snapshots import StateTable
-from tidemark.streaming.requests import MAX_RECEIVES, RequestQueue
+from tidemark.streaming.requests import MAX_RECEIVES, routed
 from tidemark.streaming.sync import sync_batch
 from tidemark.streaming.watch import read_feed, run_until, watch_key
 
@@ -85,16 +86,31 @@ def test_replayed_batch_writes_nothing(spark, tmp_path):
     assert sync_batch(rows, 1, spec, table, out)
     again = spark.read.parquet(f"{out}/results/v=1")
     assert {r.change_type for r in again.collect()} == {"UNCHANGED"}
-    assert table.read().count() == 8 and spark.read.parquet(f"{tmp_path}/state/delta/v=1").count() == 0
+    assert table.read().count() == 8 and spark.read.parquet(f"{tmp_path}/state/delta/__version=1").count() == 0
 
 
-def test_retries_and_dead_letters(spark, tmp_path):
+def test_deliveries_are_routed_once(spark, tmp_path):
     sources = spark.createDataFrame([("a", "ACTIVE")], "source_id string, status string")
-    queue = RequestQueue(spark, str(tmp_path), sources)
-    new = spark.createDataFrame([("1", '{"source_id":"a"}'), ("2", "{"), ("3", '{"source_id":"b"}')],
-                                "message_id string, body string")
-    queue.receive(new, 0)
-    queue.receive(new, 0)
-    assert queue.drain(1) == MAX_RECEIVES
-    assert [r.message_id for r in queue.table("done").collect()] == ["1"]
-    assert sorted((r.message_id, r.attempts) for r in queue.table("dead").collect()) == [("2", 3), ("3", 3)]
+    new = spark.createDataFrame([("1", '{"source_id":"a"}', 0), ("2", "{", 0), ("3", '{"source_id":"b"}', 1), ("4", "{", 2)],
+                                "message_id string, body string, attempts bigint")
+    got = sorted((r.message_id, r.route, r.attempts) for r in routed(new, sources).collect())
+    assert got == [("1", "done", 1), ("2", "pending", 1), ("3", "pending", 2), ("4", "dead", MAX_RECEIVES)]
+
+
+def test_batches_around_a_compaction_and_a_new_stream(spark, tmp_path):
+    def batch(seq, key, title):
+        return spark.createDataFrame([(seq, "s", key, title)], f"seq bigint, source string, {KEY} string, title string").select(
+            "*", *[F.lit("v").alias(c) for c in ("company", "location", "employment_type", "description", "apply_url")],
+            F.lit(1).cast("decimal(18,4)").alias("salary_min"), F.lit(None).cast("decimal(18,4)").alias("salary_max"))
+
+    table, spec, out = StateTable(spark, str(tmp_path / "state"), [KEY]), posting_spec(F.col("seq")), str(tmp_path / "out")
+    assert sync_batch(batch(0, "a", "x"), 0, spec, table, out)
+    assert sync_batch(batch(1, "a", "y"), 1, spec, table, out)
+    table.compact()
+    assert sync_batch(batch(2, "b", "z"), 2, spec, table, out)
+    assert sorted((r[KEY], r.title) for r in table.read().collect()) == [("a", "y"), ("b", "z")]
+    with pytest.raises(ValueError):
+        sync_batch(batch(3, "c", "w"), 0, spec, table, out)
+    # A fresh checkpoint starts at 0 again under a name of its own.
+    assert sync_batch(batch(3, "c", "w"), 0, spec, table, out, stream="another")
+    assert table.read().count() == 3

@@ -80,7 +80,27 @@ def test_reading_stops_at_first_empty_page_and_at_the_cap(spark):
     assert ids(custom.map_records(landed_pages, cfg, limit=2)) == ["a", "b"]
     assert ids(custom.map_records(landed_pages, config(spark, FLAT, ("PAGE", 1, 1)))) == ["a", "b"]
     eleven = pages(spark, [(i, body(str(i))) for i in range(1, 13)])
-    assert len(ids(custom.map_records(eleven, config(spark, FLAT, ("PAGE", 1, 50))))) == custom.MAX_PAGES
+    assert len(ids(custom.map_records(eleven, config(spark, FLAT, ("PAGE", 1, 50))))) == 12
+    many = pages(spark, [(1, body(*[str(i) for i in range(900)]))])
+    assert len(ids(custom.map_records(many, config(spark, FLAT)))) == 900
+
+
+def test_a_broken_page_fails_the_run_of_its_feed(spark):
+    good = {"jobs": [{"id": "a", "title": "t", "company": "c"}]}
+    paged = config(spark, FLAT, ("PAGE", 1, 9))
+    assert custom.map_records(pages(spark, [(1, good), (2, "{nope"), (3, good)]), paged).count() == 0
+    # Behind the end of the feed it does not matter.
+    assert custom.map_records(pages(spark, [(1, good), (2, {"jobs": []}), (3, "{nope")]), paged).count() == 1
+
+
+def test_a_huge_salary_is_no_salary(spark):
+    rich = {"jobs": [{"id": "a", "title": "t", "company": "c", "salary": 10**18}]}
+    fields = {**FLAT, "salary_min": "salary"}
+    got = custom.map_records(pages(spark, [(1, rich)]), config(spark, fields)).collect()
+    assert [r.salary_min for r in got] == [None]
+    a = {"jobs": [{"guid": "1", "title": "T", "companyName": "C", "minSalary": 10**18}]}
+    landed = pages(spark, [(1, a)]).withColumn("source_id", F.lit("himalayas"))
+    assert [r.salary_min for r in feeds.adapt_himalayas(landed).collect()] == [None]
 
 
 def test_rejects(spark):
@@ -155,10 +175,24 @@ def test_state_table(spark, tmp_path):
     assert now() == [("01", 1), ("02", 20), ("03", 30), ("ff", 3)]
     assert table.delete(rows(("01", 0)), 2)
     assert now() == [("02", 20), ("03", 30), ("ff", 3)]
-    assert table.compact(3)
+    assert table.compact() == 3
     assert now() == [("02", 20), ("03", 30), ("ff", 3)]
-    assert table.upsert(rows(("02", 21)), 4)
+    # The compaction takes no number from the batches.
+    assert table.upsert(rows(("02", 21)), 3)
+    assert not table.upsert(rows(("02", 99)), 3)
     assert now() == [("02", 21), ("03", 30), ("ff", 3)]
     assert now(keys=["02", "ff"]) == [("02", 21), ("ff", 3)]
     with pytest.raises(ValueError):
-        table.upsert(rows(("x", 1)), -1)
+        table.upsert(rows(("x", 1)), 1)
+    # Another stream counts its batches by itself; writes may have no batch at all.
+    assert table.upsert(rows(("s", 5)), 0, "other")
+    assert table.upsert(rows(("t", 6)))
+    assert now() == [("02", 21), ("03", 30), ("ff", 3), ("s", 5), ("t", 6)]
+
+
+def test_state_table_compacts_by_itself(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), ["id"], compact_after=2)
+    for i in range(6):
+        assert table.upsert(spark.createDataFrame([(f"k{i % 3}", i)], "id string, v bigint"), i)
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [("k0", 3), ("k1", 4), ("k2", 5)]
+    assert len(table.versions()) > 6

@@ -14,7 +14,7 @@ import html
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,6 +42,8 @@ NFKC_STABLE = (
     r"\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03c9"
     r"\u0400-\u0481\u048a-\u04ff\u2010\u2012-\u2015\u2018-\u201f\u2022\u20ac"
     r"\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+    r"\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0904-\u0928\u092a-\u0930\u0932\u0935-\u0939\u0e01-\u0e30\uac00-\ud7a3"
+    "\U0001f300-\U0001faff"
 )
 
 #: Named and numeric references decoded natively; ``&amp;`` must come last.
@@ -141,8 +143,48 @@ def collapse_space(c: Column) -> Column:
     return _collapse_ascii(F.regexp_replace(c, _OTHER_SPACE, " "))
 
 
+def _bound(c: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a value that it uses several times but that is computed once."""
+    return F.element_at(F.transform(F.array(c), step), 1)
+
+
+def _closing_only(name: str) -> Callable[[Column], Column]:
+    """Renames the openings of a hidden element that no closing tag follows.
+
+    They are ordinary tags then.  Left as they are, each would be searched to the
+    end of the text.
+    """
+
+    def step(c: Column) -> Column:
+        head = F.length(F.regexp_extract(c, rf"(?is)^.*</{name}\s*>", 0))
+        rest = F.regexp_replace(F.substring(c, head + 1, F.length(c)), rf"(?i)<{name}\b", "<x")
+        return F.when(c.rlike(rf"(?i)<{name}\b"), F.concat(F.substring(c, F.lit(1), head), rest)).otherwise(c)
+
+    return step
+
+
+def _closed_comments(c: Column) -> Column:
+    """Marks comment openings that nothing closes, for the same reason."""
+    head = F.length(F.regexp_extract(c, r"(?s)^.*-->", 0))
+    rest = F.replace(F.substring(c, head + 1, F.length(c)), _literal("<!--"), _literal("\ue000!--"))
+    return F.when(c.contains("<!--"), F.concat(F.substring(c, F.lit(1), head), rest)).otherwise(c)
+
+
+def _tags_out(c: Column) -> Column:
+    """Markup replaced by blanks; behind the last ``>`` there is none to look for."""
+    tail = F.substring_index(c, ">", -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return F.concat(F.regexp_replace(head, _MARKUP, " "), tail)
+
+
 def _without_markup(c: Column) -> Column:
-    return F.regexp_replace(c, _MARKUP, " ")
+    """Tags, comments and hidden elements out, in time linear in the text."""
+    hiding = c.rlike(rf"(?i)<(?:{'|'.join(HIDDEN_ELEMENTS)})\b|<!--")
+    ready = _bound(c, _closed_comments)
+    for name in HIDDEN_ELEMENTS:
+        ready = _bound(ready, _closing_only(name))
+    closed = F.replace(_bound(ready, _tags_out), _literal("\ue000!--"), _literal("<!--"))
+    return F.when(hiding, closed).otherwise(_tags_out(c))
 
 
 @functools.lru_cache(maxsize=None)
@@ -201,35 +243,41 @@ class _VisibleText(HTMLParser):
 def visible_text(value: str) -> str:
     """The cleaned text of one markup string (the exact tier, per value)."""
     if "<" in value:
+        # Nothing behind the last ``>`` is markup; the parser would search it again and again.
+        head, end, tail = value.rpartition(">")
         parser = _VisibleText()
-        parser.feed(value)
+        parser.feed(head + end)
         parser.close()
+        if not parser.hidden:
+            parser.nodes.append(html.unescape(tail))
         value = " ".join(node.strip() for node in parser.nodes if node.strip())
     else:
         value = html.unescape(value)
     return " ".join(unicodedata.normalize("NFKC", value).split())
 
 
+# A plain series function: Spark sends the columns of a projection across together.
 @F.pandas_udf(T.StringType())
-def _exact_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(visible_text, na_action="ignore")
+def _exact_text(values: pd.Series) -> pd.Series:
+    return values.map(visible_text, na_action="ignore")
 
 
 def clean_text(c: Column | str, exact: bool = False) -> Column:
     """Visible text of a possibly marked-up value; null becomes ``''``."""
     c = _col(c).cast("string")
     plain = ~(c.contains("<") | c.contains("&"))
+    def settled(bare: Column) -> Column:
+        """Clean text of a value without markup; null where the exact tier is needed."""
+        decoded = F.when(bare.contains("&"), collapse_space(_decoded(bare))).otherwise(collapse_space(bare))
+        return F.when(~bare.rlike(_UNSETTLED), decoded) if exact else decoded
+
     native = (
         F.when(plain & _is_ascii(c), _collapse_ascii(c))
-        .when(plain, collapse_space(c))
-        .otherwise(collapse_space(_decoded(_without_markup(c))))
+        .when(plain, F.when(~c.rlike(_UNSTABLE), collapse_space(c)) if exact else collapse_space(c))
+        .otherwise(_bound(_without_markup(c), settled))
     )
     if exact:
-        odd = F.when(plain, ~_is_ascii(c) & c.rlike(_UNSTABLE)).otherwise(
-            _without_markup(c).rlike(_UNSETTLED)
-        )
-        native = F.coalesce(_exact_text(F.when(odd, c)), native)
+        native = F.coalesce(native, _exact_text(F.when(native.isNull(), c)))
     return F.coalesce(native, F.lit(""))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.identity import KEY, storage_id
 from tidemark.functions.values import epoch_ms
-from tidemark.operators.ordered import row_numbers
+from tidemark.operators.ordered import HOT_ROWS, row_numbers
 
 MAX_PAGE = 100
 DAY_MS = 86_400_000
@@ -80,15 +80,18 @@ def search(
 # ------------------------------------------------------------------- paging
 
 
-def clamp_limit(limit: object = None) -> int:
-    """Page size between 1 and 100, 100 by default; text must be an integer."""
-    if limit is None:
-        return MAX_PAGE
+def page_size(wanted: object = None, most: int = MAX_PAGE) -> int:
+    """Rows of a page; ``most`` if none are named.  Anything but a whole number from
+    1 to ``most`` is refused."""
+    if wanted is None:
+        return most
     try:
-        wanted = int(limit)  # type: ignore[call-overload]
-    except (TypeError, ValueError):
-        raise ValueError("limit must be an integer") from None
-    return max(1, min(wanted, MAX_PAGE))
+        size = int(str(wanted))
+    except ValueError:
+        raise ValueError(f"a page size is a whole number, not {wanted!r}") from None
+    if not 1 <= size <= most:
+        raise ValueError(f"a page holds 1 to {most} rows, not {size}")
+    return size
 
 
 def page(
@@ -104,7 +107,7 @@ def page(
     Adds ``has_more`` and ``next_key`` (the key to continue from, null at the
     end).  One row beyond the page is read to know whether more follow.
     """
-    size = clamp_limit(limit)
+    size = page_size(limit)
     out = jobs
     if source:
         out = out.filter(equals_ignoring_case("source", source))
@@ -113,7 +116,7 @@ def page(
     if after is not None:
         out = out.filter(F.col(key) > after)
     head = out.orderBy(key).limit(size + 1)
-    # At most 101 rows from here on.
+    # One row more than a page from here on.
     whole = Window.partitionBy(F.lit(0))
     ranked = head.withColumns(
         {
@@ -128,13 +131,14 @@ def page(
 
 
 def page_numbers(
-    jobs: DataFrame, size: int = MAX_PAGE, key: str = KEY, prefix: int = 3
+    jobs: DataFrame, size: int = MAX_PAGE, key: str = KEY, slice_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every row with its page number in key order, without a global sort.
 
-    Rows are numbered per key prefix; only prefix counts are ordered globally.
+    Rows are numbered inside key ranges of about ``slice_rows`` rows; only the row
+    counts of the ranges are ordered globally.
     """
-    numbered = row_numbers(jobs, [key], slice_by=F.substring(F.col(key), 1, prefix))
+    numbered = row_numbers(jobs, [key], hot_rows=slice_rows)
     return numbered.withColumn("page_no", F.ceil(F.col("row_no") / size).cast("bigint"))
 
 

@@ -293,8 +293,7 @@ def final_state(
     if state is None:
         return fresh
     kept = state.join(fresh.select(*spec.key), list(spec.key), "left_anti")
-    columns = [c for c in state.columns if c in fresh.columns]
-    return kept.select(*columns).unionByName(fresh.select(*columns))
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def summary(verdicts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

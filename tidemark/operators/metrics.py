@@ -79,6 +79,12 @@ def run_metrics(verdicts: DataFrame, by: Sequence[str], duration: Column | None
     return metric_rows(counts, by, values)
 
 
+def failure_metrics(log: DataFrame, by: Sequence[str] = ("source_id",)) -> DataFrame:
+    """One row per source with failed crawls in a log."""
+    failed = log.filter("kind = 'FAILURE'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return metric_rows(failed, by, {"CrawlFailures": F.col("n")})
+
+
 def metric_rows(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Long form ``(metric, unit, value)``; unknown names and nulls are dropped."""
     known = [

@@ -9,6 +9,7 @@ slice and need no carry.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,25 +19,36 @@ from pyspark.sql import types as T
 #: Rows one window group may hold before its key is sliced.
 HOT_ROWS = 1_000_000
 SLICE = "__slice"
+#: Slices of one hot key at most.
+MAX_SLICES = 1_000
 #: Slice of every row of a cold key; also sorts before each real slice.
 WHOLE = -(2**62)
 
 
 def slice_of(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> Column:
-    """Slice number of a row, monotone in ``column``.
+    """Slice number of a row, monotone in ``column``, for any orderable type.
 
-    For a unique integer (a landing sequence) a slice holds at most
-    ``hot_rows`` rows.  Dates are sliced by day and timestamps by minute.
+    The slices are cut at approximate percentiles of the column, so about equally
+    many rows of the whole table fall into each; ``hot_rows`` sets how many.  Rows
+    with equal order values share a slice, nulls come first.
     """
+    parts = min(max(2, -(-df.count() // max(hot_rows, 1))), MAX_SLICES)
     kind = df.schema[column].dataType
     c = F.col(column)
-    if isinstance(kind, T.IntegralType):
-        return F.floor(c / F.lit(hot_rows)).cast("bigint")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("bigint")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(60)).cast("bigint")
-    raise TypeError(f"cannot slice {column!r} of type {kind.simpleString()}; pass slice_by")
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        share = [i / parts for i in range(1, parts)]
+        cuts = df.agg(F.percentile_approx(column, share, 100 * parts)).first()[0] or []
+    else:
+        # Other types have no percentiles; a bounded random sample names the cuts.
+        total = max(df.count(), 1)
+        sample = df.select(column).filter(c.isNotNull()).sample(min(1.0, 50.0 * parts / total), seed=3)
+        values = sorted(r[0] for r in sample.limit(100 * parts).collect())
+        cuts = [values[len(values) * i // parts] for i in range(1, parts)] if values else []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    bounds = F.array(*[F.lit(v).cast(kind) for v in cuts])
+    return F.when(c.isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda v: v <= c))).cast("bigint")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -60,15 +72,18 @@ def find_hot(
 
 
 def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
-    """Adds ``__hot``.
+    """Adds ``__hot``; a null key can be hot like any other.
 
-    The list of hot keys holds at most ``rows / hot_rows`` rows; that bound is
-    why it may be broadcast.
+    The list is joined without a hint: Spark broadcasts it where its size allows.
     """
     if hot is None:
         return df.withColumn("__hot", F.lit(False))
-    marked = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), list(keys), "left")
-    return marked.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    named = [f"__hot_{k}" for k in keys]
+    marks = hot.select(*keys).toDF(*named).withColumn("__hot", F.lit(True))
+    match = functools.reduce(
+        lambda a, b: a & b, [df[k].eqNullSafe(marks[n]) for k, n in zip(keys, named)]
+    )
+    return df.join(marks, match, "left").drop(*named).withColumn("__hot", F.coalesce("__hot", F.lit(False)))
 
 
 def slice_column(slice_by: Column | None) -> Column:

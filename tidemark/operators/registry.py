@@ -27,7 +27,8 @@ def apply_commands(
     A command row is ``(command_id, seq, ts, op, source_id, source_name, status,
     violations)``; ``op`` is CREATE, SET_STATUS or SYNC and ``violations`` are
     those of the submitted configuration (see ``quality.config_lint``).  Commands
-    see the effect of earlier ones: a SYNC is refused after a DISABLE.
+    see the effect of earlier ones: a SYNC is refused after a DISABLE, and a CREATE
+    that is delivered again.  ``api_config`` and ``crawl_interval`` are kept if given.
     """
     created = F.col("op") == "CREATE"
     target = F.when(created, new_source_id()).otherwise(F.nullif(F.col("source_id"), F.lit("")))
@@ -38,8 +39,10 @@ def apply_commands(
         F.lit(True).alias("__stored"),
     )
     wanted = F.upper(F.coalesce(F.col("status"), F.lit("")))
-    rows = commands.withColumn("target_id", target).withColumn("wanted", wanted)
-    rows = rows.join(known, "target_id", "left")
+    every = commands.withColumn("target_id", target).withColumn("wanted", wanted)
+    # Commands without a target are refused as they are: they share no history.
+    keyless = every.filter("target_id is null")
+    rows = every.filter("target_id is not null").join(known, "target_id", "left")
     valid = created & (F.size("violations") == 0)
     # A source made by an earlier CREATE is a custom one and exists from then on.
     rows = last_before(
@@ -54,13 +57,17 @@ def apply_commands(
         & exists
         & custom
     )
-    set_to = F.when(toggled, F.col("wanted")).when(valid, F.lit("ACTIVE"))
+    set_to = F.when(toggled, F.col("wanted")).when(valid & ~exists, F.lit("ACTIVE"))
     rows = rows.withColumns({"__exists": exists, "__custom": custom, "__set_to": set_to})
     rows = last_before(rows, ["target_id"], ["seq"], F.col("__set_to"), "__before", hot_rows=hot_rows)
     current = F.coalesce("__before", "__status")
     outcome = (
-        F.when(created, F.when(F.size("violations") == 0, F.lit(CREATED)).otherwise(F.lit(BAD_REQUEST)))
-        .when(F.col("target_id").isNull(), F.lit(BAD_REQUEST))
+        F.when(
+            created,
+            F.when(F.size("violations") > 0, F.lit(BAD_REQUEST))
+            .when(F.col("__exists"), F.lit(CONFLICT))
+            .otherwise(F.lit(CREATED)),
+        )
         .when(
             F.col("op") == "SET_STATUS",
             F.when(~F.col("wanted").isin("ACTIVE", "DISABLED"), F.lit(BAD_REQUEST))
@@ -80,21 +87,29 @@ def apply_commands(
     next_check = F.when(F.col("__set_to") == "ACTIVE", F.col("ts")).when(
         F.col("__set_to") == "DISABLED", F.lit(0)
     )
-    return rows.select(
-        "command_id",
-        "seq",
-        "ts",
-        "op",
-        F.col("target_id").alias("source_id"),
-        "source_name",
+    kept = [c for c in ("api_config", "crawl_interval") if c in commands.columns]
+    first = ["command_id", "seq", "ts", "op", F.col("target_id").alias("source_id"), "source_name"]
+    decided = rows.select(
+        *first,
         outcome.alias("outcome"),
         status_after.alias("status"),
         next_check.cast("bigint").alias("next_check"),
+        *kept,
+    )
+    refused = keyless.select(
+        *first,
+        F.lit(BAD_REQUEST).alias("outcome"),
+        F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("bigint").alias("next_check"),
+        *kept,
     )
+    return decided.unionByName(refused)
 
 
 def created_sources(applied: DataFrame) -> DataFrame:
-    """Registry rows of accepted CREATE commands: due at once, no failures yet."""
+    """Registry rows of accepted CREATE commands with their configuration: due at once,
+    no failures yet."""
+    kept = [c for c in ("api_config", "crawl_interval") if c in applied.columns]
     made = applied.filter((F.col("op") == "CREATE") & (F.col("outcome") == CREATED))
     return made.select(
         "source_id",
@@ -106,6 +121,7 @@ def created_sources(applied: DataFrame) -> DataFrame:
         F.col("ts").alias("next_check"),
         F.lit(0).cast("bigint").alias("failure_count"),
         F.lit(1).alias("config_version"),
+        *kept,
     )
 
 
@@ -117,7 +133,6 @@ def toggle_log(applied: DataFrame) -> DataFrame:
 
 
 def insert_absent(registry: DataFrame, rows: DataFrame, key: str = "source_id") -> DataFrame:
-    """``registry`` plus the rows whose key it does not hold yet."""
-    return registry.unionByName(
-        rows.join(registry.select(key), key, "left_anti"), allowMissingColumns=True
-    )
+    """``registry`` plus the rows whose key it does not hold yet, one row per key."""
+    new = rows.join(registry.select(key), key, "left_anti").dropDuplicates([key])
+    return registry.unionByName(new, allowMissingColumns=True)

@@ -63,6 +63,41 @@ def counter_columns() -> list[Column]:
     ]
 
 
+def run_log(
+    gated: DataFrame, verdicts: DataFrame, rejects: DataFrame, as_of: Column | int, source: str = "source"
+) -> DataFrame:
+    """Crawl-log rows of one scheduled run.
+
+    Every queued source starts and then succeeds with its counts, or fails where
+    pages were rejected and nothing could be mapped; sources that are not due are
+    skipped.
+    """
+    as_of = (F.lit(as_of) if isinstance(as_of, int) else as_of).cast("bigint")
+    types = {"n_new": "NEW", "n_changed": "CHANGED", "n_unchanged": "UNCHANGED"}
+    counts = verdicts.groupBy(F.col(source).alias("source_id")).agg(
+        *[F.count_if(F.col("change_type") == t).alias(c) for c, t in types.items()],
+        F.count(F.lit(1)).alias("n_fetched"),
+    )
+    broken = rejects.select("source_id").distinct().withColumn("__broken", F.lit(True))
+    queued = gated.filter("decision = 'QUEUED'").select("source_id")
+    ended = queued.join(counts, "source_id", "left").join(broken, "source_id", "left")
+    failed = F.col("__broken").isNotNull() & F.col("n_fetched").isNull()
+    numbers = [*types, "n_fetched"]
+    end = ended.select(
+        "source_id",
+        F.lit(1).cast("bigint").alias("seq"),
+        F.when(failed, F.lit("FAILURE")).otherwise(F.lit("SUCCESS")).alias("kind"),
+        *[F.when(~failed, F.coalesce(c, F.lit(0))).alias(c) for c in numbers],
+    )
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in numbers]
+    start = queued.select("source_id", F.lit(0).cast("bigint").alias("seq"), F.lit("START").alias("kind"), *nothing)
+    skipped = gated.filter("reason = 'not_due'").select(
+        "source_id", F.lit(0).cast("bigint").alias("seq"), F.lit("SKIP").alias("kind"), *nothing
+    )
+    rows = start.unionByName(end).unionByName(skipped)
+    return rows.withColumns({"ts": as_of, "duration": F.lit(None).cast("double")})
+
+
 def counters(log: DataFrame) -> DataFrame:
     """Running counters per source, for batch or streaming logs."""
     return log.groupBy("source_id").agg(*counter_columns())

@@ -12,8 +12,6 @@ from tidemark.plans.catalogue import sqltext as q
 from tidemark.sources import custom, feeds
 from tidemark.sources.landed import parse_bodies
 
-CAP = 50
-
 _FIELDS = {
     "source_id": "id",
     "title": " position.title ",
@@ -97,10 +95,10 @@ def map_custom_records(spark, sf_dir):
 
 @query(
     "page_stop_and_cap",
-    f"with {_RECORDS} select {_OUT} from m qualify row_number() over (partition by source order by page_no, pos) <= {CAP}",
+    f"with {_RECORDS} select {_OUT} from m qualify row_number() over (partition by source order by page_no, pos) <= 50",
 )
 def page_stop_and_cap(spark, sf_dir):
-    return _shown(custom.map_records(payloads(spark, sf_dir), configs(spark, sf_dir), limit=CAP))
+    return _shown(custom.map_records(payloads(spark, sf_dir), configs(spark, sf_dir), limit=50))
 
 
 @query(
@@ -198,8 +196,7 @@ def adapter_c(spark, sf_dir):
 
 @query(
     "union_feeds",
-    f"""with {_ITEMS}, {_A}, {_B}, {_C}, {_RECORDS}, capped as (select {_OUT} from m
-          qualify row_number() over (partition by source order by page_no, pos) <= {custom.MAX_RECORDS}),
+    f"""with {_ITEMS}, {_A}, {_B}, {_C}, {_RECORDS}, capped as (select {_OUT} from m),
         un as (select 0 as source_ord, {_OUT} from a union all select 1, {_OUT} from b union all select 2, {_OUT} from c
                union all select 3, {_OUT} from capped)
         select source_ord, source, page_no, pos, source_id, {q.employment('employment_type')} as employment_type,
@@ -252,8 +249,75 @@ def unknown_payloads(spark, sf_dir):
 
 @query(
     "payload_bodies",
-    """select doc_id, case when strlen(text) > 4000 then 'too_large' else 'not_json' end as reject from documents""",
+    """with d as (select doc_id, case when doc_id % 2 = 0 then text
+             else cast(json_object('text', text, 'n', n_chars) as varchar) end as payload from documents)
+       select doc_id, case when payload is null then 'no_body' when not json_valid(payload) then 'not_json' end as reject,
+         cast(json_extract(case when json_valid(payload) then payload end, '$.n') as bigint) as n from d""",
 )
 def payload_bodies(spark, sf_dir):
-    docs = views.load(spark, sf_dir, "documents").withColumnRenamed("text", "payload")
-    return parse_bodies(docs, 4000).select("doc_id", "reject")
+    """Whole documents as bodies: half of them plain text, half JSON."""
+    docs = views.load(spark, sf_dir, "documents")
+    payload = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(
+        F.to_json(F.struct("text", F.col("n_chars").alias("n")))
+    )
+    bodies = parse_bodies(docs.select("doc_id", payload.alias("payload")))
+    return bodies.select("doc_id", "reject", F.try_variant_get("body", "$.n", "bigint").alias("n"))
+
+
+@query(
+    "pipeline_rejects",
+    f"""with reg as ({views.duck(views.REGISTRY_SQL)}), d as (
+          select doc_id as page_no, case doc_id % 4 when 0 then 'himalayas' when 1 then 'custom-1' when 2 then 'nowhere' else 'remoteok' end as source_id,
+            case doc_id % 3 when 0 then text when 1 then '{{"jobs":7}}' else '{{"jobs":[]}}' end as payload from documents)
+        select source_id, page_no, case when source_id = 'nowhere' then 'unknown_source'
+            when not json_valid(payload) then 'not_json' else 'no_record_array' end as reason from d
+        where source_id = 'nowhere' or not json_valid(payload)
+          or (json_type(case when json_valid(payload) then payload end, case when source_id = 'remoteok' then '$' else '$.jobs' end) <> 'ARRAY')""",
+)
+def pipeline_rejects(spark, sf_dir):
+    """Every landed page that gives no postings, over all kinds of feeds."""
+    docs = views.load(spark, sf_dir, "documents")
+    to, kind = F.col("doc_id") % 4, F.col("doc_id") % 3
+    landed = docs.select(
+        F.when(to == 0, "himalayas").when(to == 1, "custom-1").when(to == 2, "nowhere").otherwise("remoteok").alias("source_id"),
+        F.col("doc_id").alias("page_no"),
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.lit('{"jobs":7}')).otherwise(F.lit('{"jobs":[]}')).alias("payload"),
+    )
+    sources = configs(spark, sf_dir).withColumn(
+        "api_config", F.col("api_config").withField("records_path", F.lit("jobs"))
+    )
+    return feeds.rejects(landed, sources)
+
+
+@query(
+    "scheduled_tick",
+    f"""with {_ITEMS}, {_A}, {_B}, {_C}, {_RECORDS}, un as (select source from a union all select source from b
+               union all select source from c union all select source from m)
+        select source as source_id, count(*) as jobs, cast({views.AS_OF} + 3600 as bigint) as next_check, 'SKIPPED' as decision, 'not_due' as reason
+        from un group by 1""",
+)
+def scheduled_tick(spark, sf_dir):
+    """One run from the gate to the log; a minute later no feed is due again."""
+    from tidemark.operators.gate import gate
+    from tidemark.operators.source_state import source_state
+    from tidemark.plans.catalogue.streams import work_dir
+    from tidemark.plans.jobs import KEY, sync_due_feeds
+    from tidemark.sources.snapshots import StateTable
+
+    root = work_dir(spark, "tick")
+    landed = feed_pages(spark, sf_dir).unionByName(payloads(spark, sf_dir))
+    built_in = feed_pages(spark, sf_dir).select("source_id").distinct().withColumn("source_type", F.lit("BUILTIN"))
+    sources = configs(spark, sf_dir).unionByName(built_in, allowMissingColumns=True).withColumns(
+        {
+            "status": F.lit("ACTIVE"),
+            "next_check": F.lit(None).cast("bigint"),
+            "crawl_interval": F.lit(3600).cast("bigint"),
+            "failure_count": F.lit(0).cast("bigint"),
+        }
+    )
+    sync_due_feeds(landed, sources, StateTable(spark, f"{root}/state", [KEY]), root, views.AS_OF, 0)
+    state = source_state(spark.read.parquet(f"{root}/log"), registry=sources)
+    again = gate(state, views.AS_OF + 60)
+    return again.select(
+        "source_id", F.col("total_jobs_processed").alias("jobs"), "next_check", "decision", "reason"
+    )

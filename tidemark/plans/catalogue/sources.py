@@ -175,7 +175,7 @@ def request_validation(spark, sf_dir):
 
 @query(
     "request_failures",
-    f"with {MESSAGES_SQL} select source_id, 'FAILURE' as kind, count(*) as n from chk where outcome <> 'OK' and source_id is not null group by 1",
+    f"with {MESSAGES_SQL} select source_id, 'FAILURE' as kind, count(*) as n from chk where outcome = 'source_not_active' group by 1",
 )
 def request_failures(spark, sf_dir):
     parsed = ms.parse_requests(messages(spark, sf_dir))
@@ -216,6 +216,15 @@ def running_counters(spark, sf_dir):
     return ss.counters(views.crawl_log(spark, sf_dir))
 
 
+@query(
+    "crawl_failure_metrics",
+    f"""with log as ({views.duck(views.DUCK_LOG_SQL)}) select source_id, 'CrawlFailures' as metric, 'Count' as unit, cast(count(*) as double) as value
+        from log where kind = 'FAILURE' group by 1""",
+)
+def crawl_failure_metrics(spark, sf_dir):
+    return mt.failure_metrics(views.crawl_log(spark, sf_dir))
+
+
 @query(
     "public_sources",
     f"""with reg as ({views.duck(views.REGISTRY_SQL)})
@@ -251,6 +260,16 @@ def commands(spark, sf_dir):
         F.when(k % 4 == 0, F.lit("active")).when(k % 4 == 1, F.lit("DISABLED"))
         .when(k % 8 == 2, F.lit("paused")).otherwise(F.lit("disabled")).alias("status"),
         F.when(k % 12 == 0, F.array(F.lit("endpoint"))).otherwise(F.array().cast("array<string>")).alias("violations"),
+        F.struct(
+            F.concat(F.lit("https://api.example.com/"), k.cast("string")).alias("endpoint"),
+            F.when(k % 2 == 0, F.lit("data.jobs")).alias("records_path"),
+            F.create_map(F.lit("title"), F.lit("t"), F.lit("company"), F.lit("c")).alias("fields"),
+            F.struct(
+                F.lit("PAGE").alias("type"), F.lit("page").alias("page_parameter"),
+                F.lit(1).cast("bigint").alias("start_page"), F.lit(5).cast("bigint").alias("max_pages"),
+            ).alias("pagination"),
+        ).alias("api_config"),
+        (900 + k % 7 * 60).cast("bigint").alias("crawl_interval"),
     )
 
 
@@ -289,16 +308,22 @@ def apply_commands(spark, sf_dir):
 
 @query(
     "created_sources",
-    f"""with {_COMMANDS} select source_id, source_name, status, next_check, failure_count from (
-          select source_id, source_name, status, next_check, failure_count from reg
+    f"""with {_COMMANDS} select source_id, source_name, status, next_check, failure_count, crawl_interval, endpoint, records_path from (
+          select source_id, source_name, status, next_check, failure_count, cast(crawl_interval as bigint) as crawl_interval,
+            cast(null as varchar) as endpoint, cast(null as varchar) as records_path from reg
           union all
-          select source_id, source_name, 'ACTIVE', ts, 0 from x where outcome = 201)""",
+          select source_id, source_name, 'ACTIVE', ts, 0, 900 + seq % 7 * 60, concat('https://api.example.com/', command_id),
+            case when seq % 2 = 0 then 'data.jobs' end from x where outcome = 201)""",
 )
 def created_sources(spark, sf_dir):
     registry = views.registry(spark, sf_dir)
     made = rg.created_sources(rg.apply_commands(commands(spark, sf_dir), registry))
-    grown = rg.insert_absent(registry, made)
-    return grown.select("source_id", "source_name", "status", "next_check", "failure_count")
+    # A command that is delivered again makes no second source.
+    grown = rg.insert_absent(registry.withColumn("crawl_interval", F.col("crawl_interval").cast("bigint")), made.union(made))
+    return grown.select(
+        "source_id", "source_name", "status", "next_check", "failure_count", "crawl_interval",
+        F.col("api_config.endpoint").alias("endpoint"), F.col("api_config.records_path").alias("records_path"),
+    )
 
 
 @query(

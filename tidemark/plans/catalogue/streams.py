@@ -19,9 +19,9 @@ from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.catalogue.sync import postings, spec
 from tidemark.session import checkpoint_dir
 from tidemark.sources.snapshots import StateTable
-from tidemark.streaming.requests import MAX_RECEIVES, RequestQueue, request_stream
-from tidemark.streaming.stateful import MAX_KEY_ROWS, ROCKSDB, stateful_fold
-from tidemark.streaming.sync import sync_stream
+from tidemark.streaming.requests import request_stream
+from tidemark.streaming.stateful import ROCKSDB, stateful_fold
+from tidemark.streaming.sync import sync_batch, sync_stream
 from tidemark.streaming.watch import read_feed, run_until, watch_key
 
 #: Parts a table is landed in; each becomes one micro-batch.
@@ -29,9 +29,13 @@ N_PARTS = 3
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only where the
-    session names none, as in tests."""
-    root = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="tidemark-")
+    """A fresh folder in the shared checkpoint folder; a temporary one only on a local
+    master whose session names none."""
+    root = checkpoint_dir(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -41,27 +45,22 @@ def in_parts(
     path: str,
     run: Callable[[DataFrame], StreamingQuery],
     n_parts: int = N_PARTS,
-    max_rows: int | None = None,
-) -> int:
+) -> None:
     """Lands rows in parts of rising ``order``; after each the stream takes what is new.
 
-    A part is written by many tasks and becomes one micro-batch, whatever its
-    number of files, so micro-batches arrive in order at any size.  As ``order`` is
-    unique, ``max_rows`` bounds the rows of a micro-batch.  Returns the number of parts.
+    The rows are computed and written once, cut by part.  A part then becomes one
+    micro-batch, whatever its number of files, so micro-batches arrive in order.
     """
     spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
     width = (high - low) // n_parts + 1
-    if max_rows is not None:
-        width = min(width, max_rows)
-    parts = (high - low) // width + 1
-    for i in range(parts):
-        start = low + i * width
-        part = rows.filter((F.col(order) >= start) & (F.col(order) < start + width))
-        part.write.mode("append").parquet(f"{path}/part={i}")
+    part = F.floor((F.col(order) - low) / width).cast("int")
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{path}-cut")
+    cut = spark.read.parquet(f"{path}-cut")
+    for i in range(n_parts):
+        cut.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{path}/part={i}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
         run(stream.parquet(path)).awaitTermination()
-    return parts
 
 
 def synced(spark: SparkSession, sf_dir: str) -> tuple[StateTable, str]:
@@ -117,37 +116,48 @@ def stream_state(spark, sf_dir):
 def stream_watch_key(spark, sf_dir):
     table, root = synced(spark, sf_dir)
     key = table.read().agg(F.max("canonical_job_id")).first()[0]
-    schema = spark.read.parquet(f"{root}/feed/v=0").schema
+    schema = spark.read.parquet(f"{root}/feed").drop("v").schema
     feed = read_feed(spark, f"{root}/feed", schema)
     run_until(watch_key(feed, "canonical_job_id", key), f"{root}/watched", f"{root}/watch-checkpoint")
     watched = spark.read.parquet(f"{root}/watched")
     return watched.select("canonical_job_id", "seq", "event_name", "has_old_image", "has_new_image")
 
 
+_ROUTED = f"""{src.MESSAGES_SQL}, rt as (select message_id, source_id, outcome, cast(cast(message_id as bigint) % 3 + 1 as bigint) as attempts from chk)"""
+
+
 @query(
     "stream_dead_letter",
-    f"with {src.MESSAGES_SQL} select message_id, source_id, outcome, cast({MAX_RECEIVES} as bigint) as attempts from chk where outcome <> 'OK'",
+    f"with {_ROUTED} select message_id, source_id, outcome, attempts from rt where outcome <> 'OK' and attempts >= 3",
 )
 def stream_dead_letter(spark, sf_dir):
-    queue = _served(spark, sf_dir)
-    return queue.table("dead").select("message_id", "source_id", "outcome", "attempts")
+    return _routed(spark, sf_dir, "dead").select("message_id", "source_id", "outcome", "attempts")
+
+
+@query(
+    "stream_requests_pending",
+    f"with {_ROUTED} select message_id, source_id, outcome, attempts from rt where outcome <> 'OK' and attempts < 3",
+)
+def stream_requests_pending(spark, sf_dir):
+    return _routed(spark, sf_dir, "pending").select("message_id", "source_id", "outcome", "attempts")
 
 
 @query(
     "stream_requests_done",
-    f"with {src.MESSAGES_SQL} select message_id, source_id, cast(1 as bigint) as attempts from chk where outcome = 'OK'",
+    f"with {_ROUTED} select message_id, source_id, attempts from rt where outcome = 'OK'",
 )
 def stream_requests_done(spark, sf_dir):
-    return _served(spark, sf_dir).table("done").select("message_id", "source_id", "attempts")
+    return _routed(spark, sf_dir, "done").select("message_id", "source_id", "attempts")
 
 
-def _served(spark, sf_dir) -> RequestQueue:
+def _routed(spark, sf_dir, route: str) -> DataFrame:
+    """Deliveries of every message, some of them repeated ones."""
     root = work_dir(spark, "requests")
-    rows = src.messages(spark, sf_dir).withColumn("n", F.col("message_id").cast("bigint"))
-    queue = RequestQueue(spark, root, views.registry(spark, sf_dir))
-    rounds = in_parts(rows, "n", f"{root}/in", lambda s: request_stream(s, queue, f"{root}/checkpoint"))
-    queue.drain(rounds)
-    return queue
+    number = F.col("message_id").cast("bigint")
+    rows = src.messages(spark, sf_dir).withColumns({"n": number, "attempts": number % 3})
+    registry = views.registry(spark, sf_dir)
+    in_parts(rows, "n", f"{root}/in", lambda s: request_stream(s, registry, f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out").filter(F.col("route") == route)
 
 
 @query(
@@ -194,7 +204,61 @@ def stream_state_store(spark, sf_dir):
         return folded.start(f"{root}/out")
 
     try:
-        in_parts(rows, "seq", f"{root}/in", run, max_rows=MAX_KEY_ROWS)
+        in_parts(rows, "seq", f"{root}/in", run)
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out")
+
+
+def _first_part(rows: DataFrame, part: int) -> DataFrame:
+    """A third of the postings by sequence number."""
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    width = (high - low) // N_PARTS + 1
+    return rows.filter(F.floor((F.col("seq") - low) / width) == part)
+
+
+_STATE_SQL = f"""{q.sync_cte()} select canonical_job_id, seq, title, change_count
+        from f where written qualify row_number() over (partition by canonical_job_id order by seq desc) = 1"""
+
+
+@query("state_compact_between_batches", _STATE_SQL)
+def state_compact_between_batches(spark, sf_dir):
+    """Three batches with a compaction after the second: none is lost or written twice."""
+    root = work_dir(spark, "compact")
+    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    table = StateTable(spark, f"{root}/state", spec().key)
+    for i in range(N_PARTS):
+        sync_batch(_first_part(rows, i), i, spec(), table, root)
+        if i == 1:
+            table.compact()
+    return table.read().select("canonical_job_id", "seq", "title", "change_count")
+
+
+@query("replay_batch", _STATE_SQL)
+def replay_batch(spark, sf_dir):
+    """Every batch is delivered twice; the second delivery changes nothing."""
+    root = work_dir(spark, "replay")
+    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    table = StateTable(spark, f"{root}/state", spec().key)
+    for i in range(N_PARTS):
+        for _ in range(2):
+            sync_batch(_first_part(rows, i), i, spec(), table, root)
+    return table.read().select("canonical_job_id", "seq", "title", "change_count")
+
+
+@query(
+    "state_delete",
+    """select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F'
+       union all select o_orderkey, 'again' from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0""",
+)
+def state_delete(spark, sf_dir):
+    """Orders stored, finished ones deleted, half of those stored again."""
+    root = work_dir(spark, "delete")
+    orders = views.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    table = StateTable(spark, root, ["o_orderkey"])
+    done = orders.filter("o_orderstatus = 'F'")
+    table.upsert(orders)
+    table.delete(done)
+    table.compact()
+    table.upsert(done.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("again")))
+    return table.read()

@@ -13,9 +13,10 @@ from tidemark.operators.changes import IMAGE
 from tidemark.operators.fold import FoldSpec
 from tidemark.operators.gate import due_payloads, gate
 from tidemark.operators.ordered import HOT_ROWS
-from tidemark.sources.feeds import BUILTIN, union_feeds
+from tidemark.operators.source_state import run_log
+from tidemark.sources.feeds import BUILTIN, rejects, union_feeds
 from tidemark.sources.snapshots import StateTable, stored_posting
-from tidemark.streaming.sync import sync_batch
+from tidemark.streaming.sync import batch_folder, sync_batch
 
 
 def posting_spec(
@@ -74,15 +75,18 @@ def sync_due_feeds(
     version: int,
     hot_rows: int | None = HOT_ROWS,
 ) -> bool:
-    """One scheduled run: gate, map due payloads, fold, write what changed.
+    """One scheduled run: gate, map due payloads, fold, write what changed and the log.
 
+    ``out`` gets ``rejects`` (pages that gave nothing), ``results``, ``feed`` and
+    ``log``; ``source_state`` over all logs tells the next run which feeds are due.
     The mapped batch is written once and read back with its comparison hash, so
     parsing and cleaning are not repeated by the fold, the feed and the upsert.
     """
-    if table.committed(version):
+    if table.applied(version):
         return False
     spark = landed.sparkSession
-    due = due_payloads(landed, gate(sources, as_of))
+    gated = gate(sources, as_of)
+    due = due_payloads(landed, gated)
     mapped = with_landing_order(union_feeds(due, sources))
     batch_path = f"{out}/batch/v={version}"
     spec = posting_spec(
@@ -92,6 +96,14 @@ def sync_due_feeds(
         slice_by=landing_slice(),
         landed_hash=F.col("content_hash"),
     )
+    rejects(due, sources).write.mode("overwrite").parquet(f"{out}/rejects/v={version}")
     stored_posting(mapped, comparison_hash()).write.mode("overwrite").parquet(batch_path)
     batch = spark.read.parquet(batch_path)
-    return sync_batch(batch, version, spec, table, out, IMAGE)
+    done = sync_batch(batch, version, spec, table, out, IMAGE)
+    verdicts = spark.read.parquet(f"{out}/results/{batch_folder(version)}")
+    # Verdicts carry key and order only; the batch knows the source of a row.
+    row = [KEY, *LANDING_ORDER]
+    verdicts = verdicts.select(*row, "change_type").join(batch.select(*row, "source"), row)
+    refused = spark.read.parquet(f"{out}/rejects/v={version}")
+    run_log(gated, verdicts, refused, as_of).write.mode("overwrite").parquet(f"{out}/log/v={version}")
+    return done

@@ -13,12 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import as_text, get_path, number_at
 from tidemark.functions.text import clean_text, employment_type
 from tidemark.functions.values import MONEY, first_filled
-from tidemark.sources.landed import (
-    MAX_PREVIEW_BYTES,
-    is_object,
-    parse_bodies,
-    record_list,
-)
+from tidemark.sources.landed import is_object, parse_bodies, record_list
 
 CONFIG_TYPE = (
     "struct<endpoint:string,records_path:string,fields:map<string,string>,"
@@ -37,9 +32,9 @@ FIELDS = (
     "apply_url",
     "published_at",
 )
-MAX_RECORDS = 500
-#: Pages read per feed and run; with the size limit of a body this bounds a feed.
+#: Pages a configuration may ask for (checked by ``quality.config_lint``, never clamped here).
 MAX_PAGES = 10
+#: Pages of a configuration that names none.
 DEFAULT_PAGES = 3
 PREVIEW_ROWS = 3
 
@@ -52,16 +47,14 @@ def clean_mapping(fields: Column) -> Column:
 
 def with_records(landed: DataFrame, configs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Parsed pages with their mapping and the array of records, or a reject reason."""
-    parsed = parse_bodies(landed) if max_bytes is None else parse_bodies(landed, max_bytes)
+    parsed = parse_bodies(landed, max_bytes)
     settings = configs.select(
         "source_id",
         clean_mapping(F.col("api_config.fields")).alias("fields"),
         F.trim(F.coalesce("api_config.records_path", F.lit("jobs"))).alias("records_path"),
         F.upper(F.coalesce("api_config.pagination.type", F.lit("NONE"))).alias("__paging"),
         F.coalesce("api_config.pagination.start_page", F.lit(1)).alias("__start"),
-        F.least(
-            F.coalesce("api_config.pagination.max_pages", F.lit(DEFAULT_PAGES)), F.lit(MAX_PAGES)
-        ).alias("__pages"),
+        F.coalesce("api_config.pagination.max_pages", F.lit(DEFAULT_PAGES)).alias("__pages"),
     )
     joined = parsed.join(settings, "source_id").withColumn(
         "records", record_list(F.col("body"), F.col("records_path"))
@@ -70,23 +63,36 @@ def with_records(landed: DataFrame, configs: DataFrame, max_bytes: int | None =
     return joined.withColumn("reject", reject)
 
 
-def readable_pages(pages: DataFrame) -> DataFrame:
-    """Pages of the configured range that lie before the first empty page.
+def _run(pages: DataFrame) -> DataFrame:
+    """Pages of the configured range before the first empty one, with ``__bad`` where a
+    page of the same run was rejected.
 
-    A page that cannot be read ends the run like an empty one.  A feed without
-    paging lands a single page, which is always in range.  Only one number per
-    source is computed; no page is ordered against another.
+    A feed without paging lands a single page, which is always in range.  Two
+    numbers per source are computed; no page is ordered against another.
     """
     paged = F.col("__paging") == "PAGE"
     since_start = F.col("page_no") - F.col("__start")
     in_range = pages.filter(~paged | ((since_start >= 0) & (since_start < F.col("__pages"))))
-    stops = (
-        in_range.filter(F.col("reject").isNotNull() | (F.size("records") == 0))
-        .groupBy("source_id")
-        .agg(F.min("page_no").alias("__stop"))
+    marks = in_range.groupBy("source_id").agg(
+        F.min(F.when(F.size("records") == 0, F.col("page_no"))).alias("__stop"),
+        F.min(F.when(F.col("reject").isNotNull(), F.col("page_no"))).alias("__broken"),
+    )
+    run = in_range.join(marks, "source_id").filter(
+        F.col("__stop").isNull() | (F.col("page_no") < F.col("__stop"))
     )
-    kept = in_range.join(stops, "source_id", "left")
-    return kept.filter(F.col("__stop").isNull() | (F.col("page_no") < F.col("__stop"))).drop("__stop")
+    broken = F.col("__broken").isNotNull() & (
+        F.col("__stop").isNull() | (F.col("__broken") < F.col("__stop"))
+    )
+    return run.withColumn("__bad", broken).drop("__stop", "__broken")
+
+
+def readable_pages(pages: DataFrame) -> DataFrame:
+    """Pages of the feeds whose run is complete.
+
+    A rejected page fails the run of its feed: a feed with a gap would pass for a
+    complete one.  :func:`rejected_pages` names the pages.
+    """
+    return _run(pages).filter(~F.col("__bad")).drop("__bad")
 
 
 def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
@@ -108,7 +114,7 @@ def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
     read = values.withColumns(
         {
             **{name: as_text(F.col(name)) for name in texts},
-            **{name: number_at(F.col(name)).cast(MONEY) for name in salaries},
+            **{name: number_at(F.col(name)).try_cast(MONEY) for name in salaries},
         }
     )
     rows = read.withColumns({name: clean_text(name, exact) for name in texts}).filter(
@@ -118,37 +124,44 @@ def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
     return rows.withColumn("source_id", F.coalesce(first_filled("source_id", "apply_url"), fallback))
 
 
-def capped(postings: DataFrame, limit: int = MAX_RECORDS) -> DataFrame:
-    """The first ``limit`` valid records of each source (the feed's own run limit).
-
-    The landed pages of a feed are bounded per run (``MAX_PAGES`` bodies of
-    limited size), and the rank filter becomes a group limit before the shuffle.
-    """
+def capped(postings: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` valid records of each source; the rank filter becomes a
+    group limit before the shuffle."""
     order = Window.partitionBy("source").orderBy("page_no", "pos")
     ranked = postings.withColumn("__rank", F.row_number().over(order))
     return ranked.filter(F.col("__rank") <= limit).drop("__rank")
 
 
 def map_records(
-    landed: DataFrame, configs: DataFrame, limit: int = MAX_RECORDS, exact: bool = True
+    landed: DataFrame,
+    configs: DataFrame,
+    limit: int | None = None,
+    exact: bool = True,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Pages -> stop rule -> mapped valid records -> cap."""
-    pages = readable_pages(with_records(landed, configs))
-    return capped(mapped(pages, exact), limit)
+    """Pages -> stop rule -> mapped valid records; ``limit`` records per source if asked for."""
+    rows = mapped(readable_pages(with_records(landed, configs, max_bytes)), exact)
+    return rows if limit is None else capped(rows, limit)
 
 
-def rejected_pages(landed: DataFrame, configs: DataFrame) -> DataFrame:
-    """Pages that gave no records, with the reason."""
-    pages = with_records(landed, configs)
+def rejected_pages(
+    landed: DataFrame, configs: DataFrame, max_bytes: int | None = None
+) -> DataFrame:
+    """Pages that could not be read, with the reason."""
+    pages = with_records(landed, configs, max_bytes)
     return pages.filter("reject is not null").select("source_id", "page_no", "reject")
 
 
 def preview(
-    landed: DataFrame, configs: DataFrame, rows: int = PREVIEW_ROWS, exact: bool = True
+    landed: DataFrame,
+    configs: DataFrame,
+    rows: int = PREVIEW_ROWS,
+    exact: bool = True,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """First page of each source: the first valid rows, how many, and how many
     records the page holds."""
-    pages = with_records(landed, configs, MAX_PREVIEW_BYTES)
+    pages = with_records(landed, configs, max_bytes)
     paged = F.col("__paging") == "PAGE"
     first = pages.filter(F.col("reject").isNull() & (~paged | (F.col("page_no") == F.col("__start"))))
     seen = first.groupBy("source_id").agg(F.sum(F.size("records")).alias("records_seen"))

@@ -70,7 +70,7 @@ def _text(path: str) -> Column:
 
 
 def _money(path: str) -> Column:
-    return F.try_variant_get("record", path, "double").cast(MONEY)
+    return F.try_variant_get("record", path, "double").try_cast(MONEY)
 
 
 def _posting(
@@ -165,28 +165,41 @@ def dispatch(sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN) -> D
     )
 
 
+#: Where a built-in feed keeps its records.
+RECORD_PATHS = {"himalayas": "jobs", "jobicy": "jobs", "remoteok": "$"}
+
+
+def routed(landed: DataFrame, sources: DataFrame, name: str, adapters: Mapping[str, Adapter]) -> DataFrame:
+    """Payloads the built-in adapter ``name`` serves: those of its id, unless the
+    registry gives that id another type."""
+    mine = landed.filter(F.col("source_id") == name)
+    if "source_type" not in sources.columns:
+        return mine
+    own = dispatch(sources.filter(F.col("source_id") == name), adapters)
+    other = own.filter(~F.col("adapter").eqNullSafe(F.lit(name))).select("source_id")
+    return mine.join(other, "source_id", "left_anti")
+
+
 def union_feeds(
     landed: DataFrame,
     sources: DataFrame,
     adapters: Mapping[str, Adapter] = BUILTIN,
     exact: bool = True,
     derive: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
     """Postings of all feeds in one table, with ``source_ord`` in feed order.
 
     Each branch filters on ``source_id``, so a landing table partitioned by that
-    column is read once in total.
+    column is read once in total.  :func:`rejects` has what gives no posting.
     """
     branches = []
     for ord_, (name, adapter) in enumerate(adapters.items()):
-        mine = adapter(landed.filter(F.col("source_id") == name), exact)
+        mine = adapter(routed(landed, sources, name, adapters), exact)
         branches.append(mine.withColumn("source_ord", F.lit(ord_)))
     if "api_config" in sources.columns:
-        mine = custom.map_records(
-            landed.filter(~F.col("source_id").isin(*adapters)),
-            sources.filter(F.upper("source_type") == "CUSTOM_API"),
-            exact=exact,
-        )
+        configured = dispatch(sources, adapters).filter("adapter = 'custom'")
+        mine = custom.map_records(landed, configured, limit, exact)
         branches.append(mine.select(*POSTING).withColumn("source_ord", F.lit(len(adapters))))
     out = branches[0]
     for branch in branches[1:]:
@@ -194,10 +207,40 @@ def union_feeds(
     return finalize(out) if derive else out
 
 
-def unknown_payloads(landed: DataFrame, sources: DataFrame) -> DataFrame:
+def rejects(
+    landed: DataFrame,
+    sources: DataFrame,
+    adapters: Mapping[str, Adapter] = BUILTIN,
+    paths: Mapping[str, str] = RECORD_PATHS,
+) -> DataFrame:
+    """``(source_id, page_no, reason)`` of every landed page that gives no postings:
+    unreadable bodies of built-in and configured feeds, and pages no adapter serves."""
+    parts = []
+    for name in adapters:
+        bodies = parse_bodies(routed(landed, sources, name, adapters))
+        missing = F.when(record_list(F.col("body"), paths.get(name, "$")).isNull(), F.lit("no_record_array"))
+        reason = F.coalesce("reject", missing)
+        parts.append(bodies.select("source_id", "page_no", reason.alias("reason")).filter("reason is not null"))
+    known = sources
+    if "api_config" in sources.columns:
+        configured = dispatch(sources, adapters).filter("adapter = 'custom'")
+        bad = custom.rejected_pages(landed, configured)
+        parts.append(bad.select("source_id", "page_no", F.col("reject").alias("reason")))
+    unserved = unknown_payloads(landed, known, adapters)
+    # Built-in feeds need no registry row.
+    parts.append(unserved.filter(~(F.col("source_id").isin(*adapters) & (F.col("reason") == "unknown_source"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def unknown_payloads(
+    landed: DataFrame, sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN
+) -> DataFrame:
     """Landed payloads no adapter serves, with the reason."""
-    routed = dispatch(sources).select("source_id", "source_type", "adapter")
-    joined = landed.join(routed, "source_id", "left").filter("adapter is null")
+    known = dispatch(sources, adapters).select("source_id", "source_type", "adapter")
+    joined = landed.join(known, "source_id", "left").filter("adapter is null")
     reason = F.when(F.col("source_type").isNull(), F.lit("unknown_source")).otherwise(
         F.lit("unsupported_source_type")
     )

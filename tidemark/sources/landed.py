@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import get_path
 
-#: Bodies above this size are rejected unread.
-MAX_BODY_BYTES = 5 * 1024 * 1024
-#: Bodies above this size are rejected when previewing a feed.
-MAX_PREVIEW_BYTES = 1024 * 1024
-
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files under ``path``, one row per file, sizes checked later."""
@@ -23,9 +18,12 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumnRenamed("value", "payload")
 
 
-def parse_bodies(landed: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """Adds ``body`` (VARIANT) and ``reject`` (why a payload was not parsed)."""
-    fits = F.octet_length("payload") <= max_bytes
+def parse_bodies(landed: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Adds ``body`` (VARIANT) and ``reject`` (why a payload was not parsed).
+
+    Bodies of any size are read; with ``max_bytes`` larger ones are rejected.
+    """
+    fits = F.lit(True) if max_bytes is None else F.octet_length("payload") <= max_bytes
     body = F.when(fits, F.try_parse_json("payload"))
     reject = F.when(F.col("payload").isNull(), F.lit("no_body")).when(
         ~fits, F.lit("too_large")

@@ -36,19 +36,25 @@ def parse_requests(messages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def check_requests(parsed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds ``outcome``: OK, or why the request cannot be served."""
+    """Adds ``outcome``: OK, or why the request cannot be served.
+
+    Rejected messages name no source and take no part in the join.
+    """
     known = sources.select("source_id", F.col("status").alias("__status"), F.lit(True).alias("__known"))
-    joined = parsed.join(known, "source_id", "left")
+    joined = parsed.filter("reject is null").join(known, "source_id", "left")
     outcome = (
-        F.when(F.col("reject").isNotNull(), F.col("reject"))
-        .when(F.col("__known").isNull(), F.lit("source_not_found"))
+        F.when(F.col("__known").isNull(), F.lit("source_not_found"))
         .when(~F.col("__status").eqNullSafe(F.lit("ACTIVE")), F.lit("source_not_active"))
         .otherwise(F.lit("OK"))
     )
-    return joined.withColumn("outcome", outcome).drop("__status", "__known")
+    served = joined.withColumn("outcome", outcome).select(*parsed.columns, "outcome")
+    return served.unionByName(parsed.filter("reject is not null").withColumn("outcome", F.col("reject")))
 
 
 def failures(checked: DataFrame, ts: Column) -> DataFrame:
-    """FAILURE log rows of the requests that name a source but failed."""
-    bad = checked.filter((F.col("outcome") != "OK") & F.col("source_id").isNotNull())
+    """FAILURE log rows of requests for registered sources that failed.
+
+    A request that names no registered source leaves no trace in the log.
+    """
+    bad = checked.filter((F.col("outcome") == "source_not_active") & F.col("source_id").isNotNull())
     return bad.select("source_id", ts.cast("bigint").alias("ts"), F.lit("FAILURE").alias("kind"))

@@ -3,12 +3,15 @@
 Layout under ``root``::
 
     base/v=N/p=<key prefix>/    whole table as of version N
-    delta/v=N/                  rows written by version N (upserts, tombstones)
-    commit/v=N/                 one row: the base and the first delta to read
+    delta/__version=N/          rows written by version N (upserts, tombstones)
+    commit/v=N/                 one row: the base, the first delta to read, and
+                                the stream and batch the version was made from
 
 A version exists once its commit directory has a ``_SUCCESS`` marker: data is
 written first, the marker last, and nothing is ever overwritten in place.  A
 sync writes only the rows that changed; ``compact`` folds deltas into a base.
+Versions count writes of the table; batches are known by ``(stream, batch)``, so
+a compaction between two micro-batches takes no number from them.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ _GONE = "__gone"
 class StateTable:
     """A keyed table with whole-row upserts, deletes and versioned reads."""
 
-    def __init__(self, spark: SparkSession, root: str, key: Sequence[str], prefix: int = 2) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, key: Sequence[str], prefix: int = 2, compact_after: int | None = 100
+    ) -> None:
+        """``compact_after`` deltas are folded into a new base by the next write."""
         self.spark, self.root, self.key, self.prefix = spark, root.rstrip("/"), list(key), prefix
+        self.compact_after = compact_after
 
     # ------------------------------------------------------------- versions
 
@@ -45,58 +52,73 @@ class StateTable:
                 found.append(int(name[2:]))
         return sorted(found)
 
-    def committed(self, version: int) -> bool:
-        return version in self.versions()
+    def next_version(self) -> int:
+        """The number the next write gets; a failed write leaves it as it was."""
+        versions = self.versions()
+        return versions[-1] + 1 if versions else 0
+
+    def applied(self, batch: int, stream: str = "") -> bool:
+        """Whether the batch is in the table.
+
+        Only the last batch of a stream is ever delivered again.  An older one
+        means that the stream began anew, and raises instead of being skipped.
+        """
+        if not self.versions():
+            return False
+        commits = self.spark.read.parquet(f"{self.root}/commit")
+        newest = commits.filter(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+        if newest is None or batch > newest:
+            return False
+        if batch == newest:
+            return True
+        raise ValueError(f"batch {batch} of stream {stream!r} is older than its last one, {newest}")
 
-    def _parts(self) -> tuple[int | None, list[int]]:
-        """The base version and the delta versions a read merges."""
+    def _last(self):
         versions = self.versions()
         if not versions:
-            return None, []
-        row = self.spark.read.parquet(f"{self.root}/commit/v={versions[-1]}").first()
-        deltas = [v for v in versions if v >= row.first_delta and v != row.base]
-        return (None if row.base < 0 else row.base), deltas
+            return None
+        return self.spark.read.parquet(f"{self.root}/commit/v={versions[-1]}").withColumn("v", F.lit(versions[-1])).first()
 
     # ---------------------------------------------------------------- write
 
-    def upsert(self, rows: DataFrame, version: int) -> bool:
-        """Replaces whole rows by key; False when the version exists already."""
-        return self._write_delta(rows.withColumn(_GONE, F.lit(False)), version)
+    def upsert(self, rows: DataFrame, batch: int | None = None, stream: str = "") -> bool:
+        """Replaces whole rows by key; False when the batch was written before."""
+        return self._write_delta(rows.withColumn(_GONE, F.lit(False)), batch, stream)
 
-    def delete(self, keys: DataFrame, version: int) -> bool:
+    def delete(self, keys: DataFrame, batch: int | None = None, stream: str = "") -> bool:
         """Removes the listed keys."""
-        return self._write_delta(
-            keys.select(*self.key).distinct().withColumn(_GONE, F.lit(True)), version
-        )
+        gone = keys.select(*self.key).distinct().withColumn(_GONE, F.lit(True))
+        return self._write_delta(gone, batch, stream)
 
-    def compact(self, version: int) -> bool:
+    def compact(self) -> int:
         """Writes the merged table as a new base; older deltas are no longer read."""
-        if self.committed(version):
-            return False
+        version = self.next_version()
         # Rebalancing sizes the files of each prefix and splits large prefixes.
         merged = self.read().withColumn("p", self._prefix()).hint("rebalance", "p")
         merged.write.mode("overwrite").partitionBy("p").parquet(f"{self.root}/base/v={version}")
-        self._commit(version, base=version, first_delta=version + 1)
-        return True
+        self._commit(version, version, version + 1, None, None)
+        return version
 
-    def _write_delta(self, rows: DataFrame, version: int) -> bool:
-        versions = self.versions()
-        if version in versions:
+    def _write_delta(self, rows: DataFrame, batch: int | None, stream: str) -> bool:
+        if batch is not None and self.applied(batch, stream):
             return False
-        if versions and version < versions[-1]:
-            raise ValueError(f"version {version} is older than committed version {versions[-1]}")
-        base, first = -1, version
-        if versions:
-            last = self.spark.read.parquet(f"{self.root}/commit/v={versions[-1]}").first()
-            base, first = last.base, min(last.first_delta, version)
+        last = self._last()
+        if last is not None and self.compact_after is not None and last.v - last.first_delta + 1 >= self.compact_after:
+            self.compact()
+            last = self._last()
+        version = 0 if last is None else last.v + 1
+        base, first = (-1, version) if last is None else (last.base, min(last.first_delta, version))
         # Only this uncommitted version is overwritten, when a run is repeated.
-        rows.write.mode("overwrite").parquet(f"{self.root}/delta/v={version}")
-        self._commit(version, base, first)
+        rows.write.mode("overwrite").parquet(f"{self.root}/delta/{_VERSION}={version}")
+        self._commit(version, base, first, batch, stream)
         return True
 
-    def _commit(self, version: int, base: int, first_delta: int) -> None:
+    def _commit(self, version: int, base: int, first_delta: int, batch: int | None, stream: str | None) -> None:
         marker = self.spark.range(1).select(
-            F.lit(base).cast("bigint").alias("base"), F.lit(first_delta).cast("bigint").alias("first_delta")
+            F.lit(base).cast("bigint").alias("base"),
+            F.lit(first_delta).cast("bigint").alias("first_delta"),
+            F.lit(batch).cast("bigint").alias("batch"),
+            F.lit(stream if batch is not None else None).cast("string").alias("stream"),
         )
         marker.write.mode("overwrite").parquet(f"{self.root}/commit/v={version}")
 
@@ -108,33 +130,31 @@ class StateTable:
         ``keys`` is a short list of key values to look up: their prefixes prune
         the partitions of the base.
         """
-        base_version, delta_versions = self._parts()
-        base = None if base_version is None else self._load("base", base_version, keys)
-        if not delta_versions:
+        last = self._last()
+        if last is None:
+            return None
+        base = None if last.base < 0 else self._looked_up(f"base/v={last.base}", keys)
+        if last.v < last.first_delta:
             return base
-        deltas = [
-            self._load("delta", v, keys).withColumn(_VERSION, F.lit(v)) for v in delta_versions
-        ]
-        changed = deltas[0]
-        for delta in deltas[1:]:
-            changed = changed.unionByName(delta, allowMissingColumns=True)
-        if len(deltas) > 1:
-            # A key occurs once per version, so a group holds one row per delta.
-            newest = Window.partitionBy(*self.key).orderBy(F.desc(_VERSION))
-            changed = changed.withColumn("__rn", F.row_number().over(newest))
-            changed = changed.filter("__rn = 1").drop("__rn")
+        # One scan over all deltas since the base; their versions are a partition column.
+        deltas = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/delta")
+        deltas = deltas.filter(F.col(_VERSION).between(last.first_delta, last.v))
+        if keys is not None:
+            deltas = deltas.filter(F.col(self.key[0]).isin(*list(keys)))
+        # A key occurs once per version, so a group holds one row per delta.
+        newest = Window.partitionBy(*self.key).orderBy(F.desc(_VERSION))
+        changed = deltas.withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1").drop("__rn")
         live = changed.filter(~F.col(_GONE)).drop(_GONE, _VERSION)
         if base is None:
             return live
         kept = base.join(changed.select(*self.key), self.key, "left_anti")
         return kept.unionByName(live, allowMissingColumns=True)
 
-    def _load(self, part: str, version: int, keys: Sequence[str] | None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/{part}/v={version}")
+    def _looked_up(self, part: str, keys: Sequence[str] | None) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.root}/{part}")
         if keys is not None:
             df = df.filter(F.col(self.key[0]).isin(*list(keys)))
-            if part == "base":
-                df = df.filter(F.col("p").isin(*sorted({"k" + str(k)[: self.prefix] for k in keys})))
+            df = df.filter(F.col("p").isin(*sorted({"k" + str(k)[: self.prefix] for k in keys})))
         return df.drop("p")
 
     def _prefix(self) -> Column:

@@ -1,12 +1,13 @@
-"""Crawl requests as a stream: at least once, retries, dead letters.
+"""Crawl requests as a stream: each delivery of a message is routed once.
 
-A failing message is offered again with the next micro-batch.  After
-``MAX_RECEIVES`` failed receives it goes to the dead-letter table.
+The queue delivers a message with the number of earlier ``attempts`` and offers it
+again while it is pending.  A delivery is done, pending or, after ``MAX_RECEIVES``
+failed ones, dead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,51 +16,30 @@ from tidemark.sources.messages import check_requests, parse_requests
 MAX_RECEIVES = 3
 
 
-class RequestQueue:
-    """Tables of one request stream under ``root``: done, pending and dead."""
-
-    def __init__(self, spark: SparkSession, root: str, sources: DataFrame) -> None:
-        self.spark, self.root, self.sources = spark, root.rstrip("/"), sources
-
-    def receive(self, new: DataFrame, version: int) -> None:
-        """One round: new messages plus those still pending from the last round.
-
-        Every folder belongs to one version and is rewritten when the round is
-        repeated, so a re-delivered round has no further effect.
-        """
-        offered = new.select("message_id", "body", F.lit(0).cast("bigint").alias("attempts"))
-        if version > 0:
-            offered = offered.unionByName(self._read("pending", version - 1))
-        checked = check_requests(parse_requests(offered), self.sources)
-        checked = checked.withColumn("attempts", F.col("attempts") + 1)
-        checked.write.mode("overwrite").parquet(f"{self.root}/received/v={version}")
-        checked = self.spark.read.parquet(f"{self.root}/received/v={version}")
-        failed = F.col("outcome") != "OK"
-        last = F.col("attempts") >= MAX_RECEIVES
-        parts = {"done": ~failed, "dead": failed & last, "pending": failed & ~last}
-        for name, rows in parts.items():
-            checked.filter(rows).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+def routed(messages: DataFrame, sources: DataFrame, most: int = MAX_RECEIVES) -> DataFrame:
+    """``(message_id, body, attempts)`` checked, with this attempt counted and its ``route``."""
+    checked = check_requests(parse_requests(messages), sources)
+    checked = checked.withColumn("attempts", F.coalesce("attempts", F.lit(0)).cast("bigint") + 1)
+    route = (
+        F.when(F.col("outcome") == "OK", F.lit("done"))
+        .when(F.col("attempts") >= most, F.lit("dead"))
+        .otherwise(F.lit("pending"))
+    )
+    return checked.withColumn("route", route)
 
-    def drain(self, version: int) -> int:
-        """Offers pending messages again until none is left; the next version."""
-        nothing = self.spark.createDataFrame([], "message_id string, body string")
-        while not self._read("pending", version - 1).isEmpty():
-            self.receive(nothing, version)
-            version += 1
-        return version
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+def request_stream(messages: DataFrame, sources: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Routes a stream of messages into ``out``, partitioned by route, until it is used up.
 
-    def _read(self, name: str, version: int) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/{name}/v={version}")
-        return rows.select("message_id", "body", "attempts")
+    A micro-batch owns one folder, which is rewritten when the batch is repeated.
+    """
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = routed(batch, sources)
+        rows.write.mode("overwrite").partitionBy("route").parquet(f"{out}/v={batch_id}")
 
-def request_stream(messages: DataFrame, queue: RequestQueue, checkpoint: str) -> StreamingQuery:
-    """Feeds a stream of ``(message_id, body)`` into ``queue`` until it is used up."""
     return (
-        messages.writeStream.foreachBatch(lambda df, batch_id: queue.receive(df, batch_id))
+        messages.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

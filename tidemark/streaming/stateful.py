@@ -3,7 +3,7 @@
 This is the second form of the streaming fold: the last comparison hash of each
 key lives in the state store.  Use ``sync.sync_stream`` when change fields, images
 or hot keys matter; here the rows of a key in one micro-batch meet in one task, so
-micro-batches must be bounded: feed at most ``MAX_KEY_ROWS`` rows per trigger.
+bound micro-batches at the source (``maxBytesPerTrigger``) where keys are hot.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 # The processor travels by value, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows a micro-batch may hold, and with it the rows of one key in one task.
-MAX_KEY_ROWS = 200_000
-
 #: State store the operator needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
