@@ -23,6 +23,7 @@ from tidemark.operators.ordered import (
     WHOLE,
     find_hot,
     mark_hot,
+    null_safe_join,
     slice_column,
     slice_of,
 )
@@ -219,7 +220,7 @@ def _with_carry(passed: DataFrame, hot_passed: DataFrame, key: list[str]) -> Dat
             F.col("__key_base") + F.coalesce(F.sum("__slice_changes").over(before), F.lit(0))
         ).alias("__carry_changes"),
     )
-    joined = passed.join(carried, [*key, SLICE], "left")
+    joined = null_safe_join(passed, carried, [*key, SLICE], "left")
     return joined.withColumn("__known", F.coalesce("__known", F.lit(False)))
 
 

@@ -78,12 +78,16 @@ def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataF
     """
     if hot is None:
         return df.withColumn("__hot", F.lit(False))
-    named = [f"__hot_{k}" for k in keys]
-    marks = hot.select(*keys).toDF(*named).withColumn("__hot", F.lit(True))
-    match = functools.reduce(
-        lambda a, b: a & b, [df[k].eqNullSafe(marks[n]) for k, n in zip(keys, named)]
-    )
-    return df.join(marks, match, "left").drop(*named).withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    marked = null_safe_join(df, hot.select(*keys).withColumn("__hot", F.lit(True)), keys, "left")
+    return marked.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, where null keys are equal to each other."""
+    named = {k: f"__right_{k}" for k in keys}
+    other = right.withColumnsRenamed(named)
+    match = functools.reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in named.items()])
+    return left.join(other, match, how).drop(*named.values())
 
 
 def slice_column(slice_by: Column | None) -> Column:
@@ -123,7 +127,7 @@ def row_numbers(
         F.sum("__n").over(along).alias("__total"),
     )
     inside = Window.partitionBy(*group).orderBy(*order)
-    numbered = rows.withColumn("__rn", F.row_number().over(inside)).join(offsets, group)
+    numbered = null_safe_join(rows.withColumn("__rn", F.row_number().over(inside)), offsets, group)
     extra = {name: F.col("__before") + F.col("__rn")}
     if total:
         extra[total] = F.col("__total")
@@ -162,6 +166,6 @@ def last_before(
         along = Window.partitionBy(*keys).orderBy(SLICE)
         before = along.rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*group, F.last("__left", True).over(before).alias("__carry"))
-        rows = rows.join(carried, group, "left").withColumn(name, F.coalesce(name, "__carry"))
+        rows = null_safe_join(rows, carried, group, "left").withColumn(name, F.coalesce(name, "__carry"))
         rows = rows.drop("__carry")
     return rows.drop("__value", "__hot", SLICE)

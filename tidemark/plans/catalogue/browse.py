@@ -10,6 +10,7 @@ from tidemark.plans import views
 from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.catalogue.sync import final_postings
+from tidemark.session import written
 
 _FINAL = f"""{q.sync_cte()},
 s as (select canonical_job_id, source, source_id, title, company, location, employment_type, description, first_seen, last_changed,
@@ -20,7 +21,7 @@ s as (select canonical_job_id, source, source_id, title, company, location, empl
 def stored(spark, sf_dir):
     """Stored postings; a third of them was closed by hand."""
     closed = F.when(F.col("last_changed") % 3 == 0, F.lit("CLOSED")).otherwise(F.lit("OPEN"))
-    return final_postings(spark, sf_dir).withColumn("status", closed)
+    return written(final_postings(spark, sf_dir).withColumn("status", closed), "stored")
 
 
 _HAYSTACK = "lower(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(location, ''), nullif(description, ''), nullif(employment_type, '')))"

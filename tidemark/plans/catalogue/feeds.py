@@ -9,6 +9,7 @@ from tidemark.functions.values import decimal_text
 from tidemark.plans import views
 from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sqltext as q
+from tidemark.session import work_dir
 from tidemark.sources import custom, feeds
 from tidemark.sources.landed import parse_bodies
 
@@ -300,7 +301,6 @@ def scheduled_tick(spark, sf_dir):
     """One run from the gate to the log; a minute later no feed is due again."""
     from tidemark.operators.gate import gate
     from tidemark.operators.source_state import source_state
-    from tidemark.plans.catalogue.streams import work_dir
     from tidemark.plans.jobs import KEY, sync_due_feeds
     from tidemark.sources.snapshots import StateTable
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,7 @@ from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sources as src
 from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.catalogue.sync import postings, spec
-from tidemark.session import checkpoint_dir
+from tidemark.session import work_dir
 from tidemark.sources.snapshots import StateTable
 from tidemark.streaming.requests import request_stream
 from tidemark.streaming.stateful import ROCKSDB, stateful_fold
@@ -28,17 +26,6 @@ from tidemark.streaming.watch import read_feed, run_until, watch_key
 N_PARTS = 3
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a temporary one only on a local
-    master whose session names none."""
-    root = checkpoint_dir(spark)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def in_parts(
     rows: DataFrame,
     order: str,

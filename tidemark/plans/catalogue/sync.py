@@ -12,6 +12,7 @@ from tidemark.plans import views
 from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.jobs import clean_postings, posting_spec
+from tidemark.session import written
 
 _CTE = q.sync_cte()
 
@@ -25,9 +26,9 @@ def postings(spark, sf_dir):
 
 
 def classified(spark, sf_dir):
-    """Postings and their verdicts."""
-    rows = postings(spark, sf_dir)
-    return rows, fd.fold(rows, spec())
+    """Postings and their verdicts, each cleaned and folded once."""
+    rows = written(postings(spark, sf_dir), "postings")
+    return rows, written(fd.fold(rows, spec()), "verdicts")
 
 
 def by_source(spark, sf_dir):
@@ -108,10 +109,11 @@ def sync_incremental(spark, sf_dir):
     """Two batches in turn: the second is folded against what the first stored."""
     docs = views.load(spark, sf_dir, "documents")
     cut = docs.agg(F.floor((F.max("doc_id") + 1) / 2)).first()[0]
-    rows = postings(spark, sf_dir)
+    rows = written(postings(spark, sf_dir), "postings")
     first, second = rows.filter(F.col("seq") < cut), rows.filter(F.col("seq") >= cut)
-    one = fd.fold(first, spec())
-    two = fd.fold(second, spec(), fd.final_state(first, one, spec()))
+    one = written(fd.fold(first, spec()), "verdicts")
+    state = written(fd.final_state(first, one, spec()), "state")
+    two = fd.fold(second, spec(), state)
     both = one.withColumn("batch_no", F.lit(1)).unionByName(two.withColumn("batch_no", F.lit(2)))
     return both.select(
         "seq",
@@ -137,17 +139,17 @@ def orders_spec(key: str, order: list[str], hot_rows: int | None = fd.HOT_ROWS)
     )
 
 
-def _orders_oracle(key: str, order: str) -> str:
+def _orders_oracle(key: str, order: str, more: str = "", show: str = "o_orderkey") -> str:
     folded = q.fold("r", key, order, _ORDER_TRACKED, "floor(epoch(o_orderdate))")
-    return f"""with r as (select *, {_ORDER_HASH} as chash from orders), {folded}
-      select o_orderkey, {key}, change_type, changed_fields, first_seen, last_changed, change_count from f"""
+    return f"""with r as (select *{more}, {_ORDER_HASH} as chash from orders), {folded}
+      select {show}, {key}, change_type, changed_fields, first_seen, last_changed, change_count from f"""
 
 
-def _orders_verdicts(spark, sf_dir, key, order, hot_rows):
-    orders = views.load(spark, sf_dir, "orders")
+def _orders_verdicts(spark, sf_dir, key, order, hot_rows, **more):
+    orders = views.load(spark, sf_dir, "orders").withColumns(more)
     verdicts = fd.fold(orders, orders_spec(key, order, hot_rows))
     return verdicts.select(
-        "o_orderkey",
+        order[-1],
         key,
         "change_type",
         F.array_join("changed_fields", ",").alias("changed_fields"),
@@ -166,6 +168,28 @@ def sync_orders_hot_keys(spark, sf_dir):
     return _orders_verdicts(spark, sf_dir, "o_orderpriority", ["o_orderkey"], 1000)
 
 
+@query(
+    "sync_hot_null_key",
+    "select * replace (nullif(urgency, '~') as urgency) from ("
+    + _orders_oracle("urgency", "o_orderkey", ", replace(o_orderpriority, '1-URGENT', '~') as urgency")
+    + ")",
+)
+def sync_hot_null_key(spark, sf_dir):
+    """Orders without a key are one hot group like any other."""
+    urgency = F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT"))
+    return _orders_verdicts(spark, sf_dir, "urgency", ["o_orderkey"], 100, urgency=urgency)
+
+
+@query(
+    "sync_hot_text_order",
+    _orders_oracle("o_orderpriority", "label", ", concat('n', lpad(cast(o_orderkey as varchar), 12, '0')) as label", "label"),
+)
+def sync_hot_text_order(spark, sf_dir):
+    """Hot keys whose rows are ordered by a text column."""
+    label = F.concat(F.lit("n"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    return _orders_verdicts(spark, sf_dir, "o_orderpriority", ["label"], 100, label=label)
+
+
 @query(
     "change_feed",
     f"""{_CTE} select p.canonical_job_id, p.seq,

@@ -15,29 +15,35 @@ TABLES = (
 #: Latest instant of the event log plus one day, as epoch seconds.
 AS_OF = 1706659200
 
+#: Rows of each table the postings draw on; ``kk`` postings exist in eight versions each.
+_COUNTED = """(select x.*, (select greatest(cast(floor(count(*) / 8) as bigint), 1) from {documents}) as kk,
+    (select count(*) from {part}) as np, (select count(*) from {supplier}) as ns, (select count(*) from {nation}) as nn
+  from {documents} as x) as d"""
+
 #: Postings: every document, with title and company noise that normalises away.
-JOBS_SQL = """
+#: Their number grows with the documents.
+JOBS_SQL = f"""
 select doc_id as seq, source, concat('d', cast(doc_id as varchar(20))) as source_id,
   case when doc_id % 2 = 0 then concat(p_name, ' - ', lower(p_type))
        else upper(concat(p_type, ' the ', p_name)) end as title,
   case when doc_id % 3 = 0 then upper(s_name) else s_name end as company,
   n_name as location,
-  case cast(floor(doc_id/360) as bigint) % 4 when 0 then 'Full-Time' when 1 then 'full_time'
+  case cast(floor(doc_id / (3 * kk)) as bigint) % 4 when 0 then 'Full-Time' when 1 then 'full_time'
        when 2 then 'Contractor' else 'Temp role' end as employment_type,
   case when doc_id % 5 = 0 then null else cast(p_retailprice as decimal(18,2)) end as salary_min,
   case when doc_id % 5 = 0 then null else cast(p_retailprice + 10000 as decimal(18,2)) end as salary_max,
-  concat('<p>Version ', cast(cast(floor(doc_id/360) as bigint) as varchar(20)),
+  concat('<p>Version ', cast(cast(floor(doc_id / (3 * kk)) as bigint) as varchar(20)),
          case when doc_id % 2 = 0 then ' &amp; more</p>' else '  &  MORE ' end) as description,
-  concat('https://jobs.example.com/', cast(doc_id % 120 as varchar(20))) as apply_url,
+  concat('https://jobs.example.com/', cast(doc_id % kk as varchar(20))) as apply_url,
   concat('2024-01-', lpad(cast(doc_id % 28 + 1 as varchar(20)), 2, '0')) as published_at
-from {documents}
-join {part}     on p_partkey   = doc_id % 120
-join {supplier} on s_suppkey   = doc_id % 120 % 8
-join {nation}   on n_nationkey = doc_id % 120 % 5
+from {_COUNTED}
+join {{part}}     on p_partkey   = doc_id % kk % np
+join {{supplier}} on s_suppkey   = doc_id % kk % ns
+join {{nation}}   on n_nationkey = doc_id % kk % nn
 """
 
 #: Postings whose description is the whole document text.
-TEXT_JOBS_SQL = """
+TEXT_JOBS_SQL = f"""
 select doc_id, source, p_name as title, s_name as company, n_name as location,
   case doc_id % 6 when 0 then 'Full-Time' when 1 then 'part_time' when 2 then 'Freelance'
        when 3 then 'International' when 4 then 'temp' else '' end as employment_type,
@@ -45,10 +51,10 @@ select doc_id, source, p_name as title, s_name as company, n_name as location,
   cast(p_size * 1000 as decimal(18,2)) as salary_max,
   text as description,
   concat('https://jobs.example.com/', cast(doc_id as varchar(20)), '?a=1&b=2') as apply_url
-from {documents}
-join {part}     on p_partkey   = doc_id % 200
-join {supplier} on s_suppkey   = doc_id % 10
-join {nation}   on n_nationkey = doc_id % 25
+from {_COUNTED}
+join {{part}}     on p_partkey   = doc_id % np
+join {{supplier}} on s_suppkey   = doc_id % ns
+join {{nation}}   on n_nationkey = doc_id % nn
 """
 
 _LOG_SQL = """

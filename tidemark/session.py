@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plan shape; everything else is left to the cluster.
 SETTINGS = {
@@ -32,3 +35,22 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         "spark.checkpoint.dir", None
     )
     return named or fallback
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint folder; a temporary one only on a local
+    master whose session names none."""
+    root = checkpoint_dir(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into the shared folder and read back, for plans that use it
+    several times."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
