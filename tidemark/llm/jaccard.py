@@ -47,8 +47,9 @@ HOT_ROWS = 2_000
 #: lets more texts pass and never loses one.
 FILTER_BITS = 1 << 25
 FANOUT = 16
-#: Pairs of tree nodes compared in one step.
-STEP = 1 << 16
+#: Bytes of bitmaps compared in one step, and words remembered with their hashes.
+STEP_BYTES = 1 << 24
+WORDS = 200_000
 
 _U = np.uint64
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=_U)
@@ -64,7 +65,7 @@ class _Words(dict):
     """Hashes of words, remembered while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         made = self[word] = xxhash.xxh3_64_intdigest(word)
         return made
@@ -266,9 +267,10 @@ def walk(a: Signatures, b: Signatures, same: bool) -> Iterator[tuple[np.ndarray,
     last_a, last_b = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij")
     stack = [(top, i.ravel(), j.ravel())]
+    most = max(FANOUT, STEP_BYTES // (8 * a.levels[0][0].shape[1]))
     while stack:
         level, i, j = stack.pop()
-        if len(i) > STEP:
+        if len(i) > most:
             half = len(i) // 2
             stack += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
             continue

@@ -34,7 +34,7 @@ END = 1
 #: Rows that one ranked slice of a bin holds, about.
 SLICE_ROWS = 20_000
 #: Chunks a worker remembers with their ids before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 #: White space between chunks.  Texts with other characters than these and the
 #: ones below U+0300 are left whole to the tokenizer.

@@ -108,7 +108,7 @@ def passages(words: list[str], model: Model, remembered: dict[str, float]) -> li
     for word in words:
         s = remembered.get(word)
         if s is None:
-            if len(remembered) > 1_000_000:
+            if len(remembered) >= 200_000:
                 remembered.clear()
             s = remembered[word] = model.token_score(word)
         scores.append(s)
@@ -165,7 +165,7 @@ def lexicon(rows: DataFrame, text: str = "text") -> dict[str, float]:
                     found = set(tokens(value))
                     stems = {w[:k] + "*" for w in found for k in STEMS if len(w) >= k}
                     counts[bool(toxic)].update(found | stems)
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from _emit(counts, pa)
         yield from _emit(counts, pa)
 
