@@ -86,7 +86,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-@query("op5_shingle_components")
+SHINGLE_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+sh as (select doc_id, len(s) as n, unnest(s) as x from sets),
+links as (
+  select a.doc_id as u, b.doc_id as v from sh a join sh b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select reach.doc_id, links.v from reach join links on reach.other = links.u)
+select sets.doc_id, len(s)::bigint as n_shingles, min(other) as component_id
+from sets join reach using (doc_id) group by sets.doc_id, s
+"""
+
+
+@query("op5_shingle_components", SHINGLE_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read_table(spark, sf_dir, "documents"))
 
