@@ -81,6 +81,46 @@ def test_near_copies(spark, docs_of, monkeypatch, seed, hot):
     assert got(jaccard.linked(docs_of(rows))) == brute(rows)
 
 
+def test_a_template_of_many_documents_is_cut_into_tiles(spark, docs_of, monkeypatch):
+    """Equal sizes, the same frequent shingles, hardly a link: no task gets the whole group."""
+    real, hot = jaccard.candidates, 20
+
+    def bounded(node, *rest):
+        if len(node) > 4 * hot:
+            raise ValueError(f"{len(node)} rows in one group")
+        return real(node, *rest)
+
+    monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+    monkeypatch.setattr(jaccard, "candidates", bounded)
+    shared = " ".join(f"t{i}" for i in range(84))
+    texts = [shared + " " + " ".join(f"u{d}x{i}" for i in range(20)) for d in range(200)]
+    texts += [texts[d].replace(f"u{d}x19", "other") for d in range(0, 200, 25)]
+    rows = list(enumerate(texts))
+    assert got(jaccard.linked(docs_of(rows))) == brute(rows)
+
+
+def test_tiles_let_every_fitting_pair_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 10)
+    rng = random.Random(6)
+    sizes = {i: rng.choice([40, 60, 61, 80, 81]) for i in range(150)}
+    members = spark.createDataFrame(
+        [(1, i, i, n, 150) for i, n in sizes.items()], "leader bigint, node bigint, root bigint, n bigint, k bigint"
+    )
+    groups = {}
+    for r in jaccard.in_tiles(members).collect():
+        groups.setdefault((r["c"], r["s"], r["t"]), []).append(r)
+    assert max(map(len, groups.values())) <= 40
+    met = set()
+    for (_, s, t), rows in groups.items():
+        for a, b in itertools.combinations(rows, 2):
+            if (a["home"] or b["home"]) and (s == t or a["side"] != b["side"]):
+                pair = tuple(sorted((a["node"], b["node"])))
+                assert pair not in met
+                met.add(pair)
+    fitting = {(i, j) for i, j in itertools.combinations(sizes, 2) if 4 * min(sizes[i], sizes[j]) >= 3 * max(sizes[i], sizes[j])}
+    assert fitting <= met
+
+
 def test_candidates_lose_no_pair():
     rng = np.random.default_rng(4)
     sets = []

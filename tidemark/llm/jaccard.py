@@ -4,7 +4,8 @@ Every text becomes a set of hashed shingles.  Equal sets are one node.  Two sets
 that are alike enough share one of the first shingles of their common order, so
 nodes meet under those shingles only.  A shingle is led by the node under it that
 shares its shingles with most others, and what meets under any shingle of one
-leader forms a block.  In a block, a signature tree holds in each inner node the OR
+leader forms a block.  A large block is cut by set size and into tiles of bounded
+rows, and each pair of tiles is walked by itself.  In a block, a signature tree holds in each inner node the OR
 of its sets' bitmaps and the range of their sizes; two trees are walked together,
 and a pair of nodes is left as soon as the largest overlap that bitmaps and sizes
 allow is too small.  What is left is counted exactly on the whole sets.
@@ -41,7 +42,8 @@ PERCENT = 75
 #: makes one frequent, and how many are named.  They only come last in the order
 #: of shingles; results do not depend on them.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 16, 20_000
-#: Nodes of a block above which it is also split by set size.
+#: Nodes of a block above which it is also split by set size, and rows of a tile
+#: into which the size classes of such a block are cut.
 HOT_ROWS = 2_000
 #: Bits of the filter that picks the texts to be counted exactly.  A full filter
 #: lets more texts pass and never loses one.
@@ -304,25 +306,38 @@ def _children(at: np.ndarray, level: int, last: int, count: int) -> np.ndarray:
     return np.where(down < count, down, -1)
 
 
-def candidates(node, group, size, home, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of different groups that may be linked, among the rows of one block."""
+def candidates(node, group, size, home, bits: list[bytes], side=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different groups that may be linked, among the rows of one block.
+
+    With ``side``, only between rows of side 0 and rows of side 1.
+    """
     widths = np.array([len(x) // 8 for x in bits])
-    trees: dict[int, Signatures] = {}
-    for width in np.unique(widths).tolist():
-        at = np.flatnonzero(widths == width)
-        at = at[np.lexsort((size[at], group[at]))]
-        block = np.frombuffer(b"".join([bits[k] for k in at]), dtype=_U).reshape(len(at), width)
-        trees[width] = Signatures.build(node[at], group[at], size[at], home[at], block)
-    for width, tree in trees.items():
-        # Sets that fit differ by a third in size at most, so by one width.
-        sides = [(tree, tree, True)]
-        if 2 * width in trees:
-            sides.append((tree, trees[2 * width].narrowed(width), False))
-        for a, b, same in sides:
-            for i, j in walk(a, b, same):
-                new = (a.group[i] != b.group[j]) & (a.home[i] | b.home[j])
-                if new.any():
-                    yield a.node[i[new]], b.node[j[new]]
+
+    def trees_of(rows: np.ndarray) -> dict[int, Signatures]:
+        trees = {}
+        for width in np.unique(widths[rows]).tolist():
+            at = rows[widths[rows] == width]
+            at = at[np.lexsort((size[at], group[at]))]
+            block = np.frombuffer(b"".join([bits[k] for k in at]), dtype=_U).reshape(len(at), width)
+            trees[width] = Signatures.build(node[at], group[at], size[at], home[at], block)
+        return trees
+
+    # Sets that fit differ by a third in size at most, so by one width.
+    if side is None:
+        trees = trees_of(np.arange(len(node)))
+        meetings = [(tree, tree, True) for tree in trees.values()]
+        wider = [(trees, trees)]
+    else:
+        one, two = (trees_of(np.flatnonzero(side == k)) for k in (0, 1))
+        meetings = [(tree, two[width], False) for width, tree in one.items() if width in two]
+        wider = [(one, two), (two, one)]
+    for narrow, wide in wider:
+        meetings += [(tree, wide[2 * width].narrowed(width), False) for width, tree in narrow.items() if 2 * width in wide]
+    for a, b, same in meetings:
+        for i, j in walk(a, b, same):
+            new = (a.group[i] != b.group[j]) & (a.home[i] | b.home[j])
+            if new.any():
+                yield a.node[i[new]], b.node[j[new]]
 
 
 PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
@@ -340,28 +355,59 @@ def blocks_of(live: DataFrame) -> DataFrame:
     return live.select("key", "node").join(lead, "key").select("leader", "node").distinct()
 
 
+def in_tiles(members: DataFrame) -> DataFrame:
+    """Rows ``(leader, c, s, t, side, node, root, n, home)``; ``members`` has the ``k`` nodes of each leader.
+
+    A block of at most ``HOT_ROWS`` nodes is one group.  A larger one is split by
+    size class: sets of one class only fit their own and the two next ones, whose
+    sets are its guests.  A class with more rows than ``HOT_ROWS`` is cut into tiles
+    of about that many, its own sets and the guests apart, and each pair of tiles
+    that has own sets is a group: two sets that fit meet in one group.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    places = F.when(
+        F.col("k") > HOT_ROWS,
+        F.array(*[F.struct((size_class - d).alias("c"), F.lit(d == 0).alias("home")) for d in (0, 1, 2)]),
+    ).otherwise(F.array(F.struct(F.lit(-9).alias("c"), F.lit(True).alias("home"))))
+    rows = members.withColumn("__p", F.explode(places)).select("leader", "__p.c", "node", "root", "n", "k", "__p.home")
+    # At most one row for every HOT_ROWS rows, so it can be broadcast.
+    large = (
+        rows.filter(F.col("k") > HOT_ROWS)
+        .groupBy("leader", "c")
+        .agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
+        .filter(F.col("own") + F.col("guests") > HOT_ROWS)
+    )
+    rows = rows.join(F.broadcast(large), ["leader", "c"], "left")
+    own, guests = (F.ceil(F.col(x) / HOT_ROWS).cast("int") for x in ("own", "guests"))
+    salt = F.xxhash64("node", F.lit("tile"))
+    tile = F.when(F.col("home"), F.pmod(salt, own)).otherwise(own + F.pmod(salt, guests)).cast("int")
+    # Own sets meet every tile, guests only the tiles of own sets.
+    others = F.when(F.col("home"), own + guests).otherwise(own)
+    rows = rows.withColumn("__tile", F.coalesce(tile, F.lit(0))).withColumn("__others", F.coalesce(others, F.lit(1)))
+    rows = rows.filter("__others > 0").withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__others") - 1)))
+    rows = rows.withColumns({"s": F.least("__tile", "__o"), "t": F.greatest("__tile", "__o")})
+    side = (F.col("__tile") != F.col("s")).cast("int")
+    return rows.select("leader", "c", "s", "t", side.alias("side"), "node", "root", "n", "home")
+
+
 def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
     """Candidate links between nodes of different groups; ``grouped`` has ``node`` and ``root``."""
     schema = to_arrow_schema(PAIR)
     rows = blocks.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("k"))
     rows = rows.join(mixed.filter("a != b").select("leader", "k"), "leader")
-    rows = rows.join(nodes.select("node", "n", "bits"), "node")
-    # Sets of one size class only fit their own and the two next ones.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    places = F.when(
-        F.col("k") > HOT_ROWS,
-        F.array(*[F.struct((size_class - d).alias("c"), F.lit(d == 0).alias("home")) for d in (0, 1, 2)]),
-    ).otherwise(F.array(F.struct(F.lit(-9).alias("c"), F.lit(True).alias("home"))))
-    rows = rows.withColumn("__p", F.explode(places))
-    rows = rows.select("leader", "__p.c", "node", "root", "n", "__p.home", "bits")
-    ordered = rows.repartition("leader", "c").sortWithinPartitions("leader", "c")
+    members = materialise(rows.join(nodes.select("node", "n"), "node").select("leader", "node", "root", "n", "k"), "members")
+    rows = in_tiles(members).join(nodes.select("node", "bits"), "node")
+    place = ["leader", "c", "s", "t"]
+    rows = rows.select(*place, "side", "node", "root", "n", "home", "bits")
+    ordered = rows.repartition(*place).sortWithinPartitions(*place)
 
-    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(here: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
-        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        node, root, n, side = (table.column(c).to_numpy() for c in ("node", "root", "n", "side"))
         home = table.column("home").to_numpy().astype(bool)
-        for u, v in candidates(node, root, n, home, table.column("bits").to_pylist()):
+        _, _, s, t = here
+        for u, v in candidates(node, root, n, home, table.column("bits").to_pylist(), side if s < t else None):
             yield _batch(schema, np.maximum(u, v), np.minimum(u, v))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,18 +416,17 @@ def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (c[1:] != c[:-1])) + 1
-            cuts = [0, *edges.tolist(), len(key)]
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(len(place))])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for low, high in zip(cuts, cuts[1:]):
-                here = (key[low], c[low])
+                here = tuple(keys[low].tolist())
                 if here != last and held:
-                    yield from pairs(held)
+                    yield from pairs(last, held)
                     held = []
                 held.append(batch.slice(low, high - low))
                 last = here
         if held:
-            yield from pairs(held)
+            yield from pairs(last, held)
 
     return ordered.mapInArrow(run, PAIR).distinct()
 
