@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import cotraining, learn, toxicity
 
@@ -85,3 +86,23 @@ def test_few_or_no_labels(spark, edge_docs, no_docs, edge_rows, rows):
     quality = cotraining.score(edge_docs, labels).collect()
     assert len(quality) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in quality)
     assert cotraining.score(no_docs, labels).count() == 0
+
+
+def test_a_text_teaches_once(spark, sf_dir):
+    """Many copies of unlabelled documents leave every score as it is."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels, "doc_id", "left_anti").orderBy("doc_id").limit(5)
+    copies = some.crossJoin(spark.range(500)).withColumn("doc_id", some["doc_id"] + 1_000_000 * (1 + F.col("id"))).drop("id")
+    once, often = (
+        {r["doc_id"]: (r["text_score"], r["meta_score"]) for r in cotraining.score(d, labels).collect()}
+        for d in (docs, docs.unionByName(copies.select(*docs.columns)))
+    )
+    assert len(often) == len(once) + 2_500
+    assert all(np.allclose(often[k], v, atol=1e-6) for k, v in once.items())
+
+
+def test_a_row_is_taken_in_one_round_only():
+    flat = [cotraining.View("text_x", np.zeros(1), np.ones(1), np.array([w, 0.0, 0.0])) for w in (1.0, 4.0)]
+    label, when = cotraining.pseudo_labels(flat, np.array([[5.0], [1.0], [0.0], [-1.0], [-5.0]]))
+    assert when.tolist() == [0, 1, -1, 1, 0]
+    assert label.tolist() == [1, 1, 0, 0, 0]

@@ -1,4 +1,5 @@
-"""Logistic regression on a bounded number of rows, for calibration and small classifiers.
+"""Logistic regression for calibration and small classifiers: on a bounded number of
+rows, or by Newton steps from sums over any number of them.
 
 The driver must not start threads of a linear-algebra library (they can hang after
 it has forked), so sums are written out; all sizes here are small.
@@ -56,5 +57,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows add to the gradient and the curvature at ``w``, without the penalty."""
+    full = np.hstack([x, np.ones((len(x), 1))])
+    p = sigmoid((full * w).sum(axis=1))
+    gradient = (full * (weight * (p - y))[:, None]).sum(axis=0)
+    return gradient, np.einsum("ni,nj->ij", full * (weight * p * (1 - p) + 1e-9)[:, None], full)
+
+
+def newton_step(w: np.ndarray, gradient: np.ndarray, curve: np.ndarray, ridge: float) -> np.ndarray:
+    """The step to subtract from ``w``, of bounded length, with the penalty of ``fit_logistic``."""
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    step = (inverse(curve + np.diag(penalty)) * (gradient + penalty * w)).sum(axis=1)
+    return step * min(1.0, 10.0 / (np.abs(step).max() + 1e-12))
+
+
 def apply_logistic(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sigmoid((x * w[:-1]).sum(axis=1) + w[-1])
