@@ -95,6 +95,22 @@ def test_checksums_and_context():
     assert near > far
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", [(0, 22)]),
+        ("DE89 3704 0044 0532 0130 00 EUR 20", [(0, 27)]),
+        ("DE89370400440532013000 20 euro", [(0, 22)]),
+        ("DE89370400440532013000 GB82WEST12345698765432 NOW", [(0, 22), (23, 45)]),
+        ("AB12 DE89 3704 0044 0532 0130 00 OK", [(5, 32)]),
+        ("NO9386011117947 OSLO", [(0, 15)]),
+        ("DE89370400440532013001 BIC COBADEFFXXX", []),
+    ],
+)
+def test_account_numbers_before_capitals_and_digits(text, want):
+    assert [(s["start"], s["end"]) for s in pii.spans_of(text) if s["kind"] == "iban"] == want
+
+
 def test_random_strings_but_no_digests_or_words():
     encode = secrets.encoder(None)
     assert plain(secrets.spans_of(SPACED[11], encode), ("random",)) == [("random", 4, 36)]

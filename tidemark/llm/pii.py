@@ -39,6 +39,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+_IBAN_LENGTH = {
+    k[:2]: int(k[2:])
+    for k in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+        "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 "
+        "SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -55,6 +65,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers that pass, with the words after them left out: the end that the country
+    sets is tried first, then every other end of a word, the longest first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 4
+        length = _IBAN_LENGTH.get(text[start : start + 2])
+        ends = [end, *(p for p in range(end - 1, start + 14, -1) if text[p] == " ")]
+        numbers = [(p, text[start:p].replace(" ", "")) for p in ends]
+        numbers = [(p, number) for p, number in numbers if len(number) >= 15]
+        numbers.sort(key=lambda x: len(x[1]) != length)
+        for p, number in numbers:
+            if mod97(number):
+                yield start, p
+                at = p
+                break
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     floor, at = 0, text.find("@")
     while at >= 0:
@@ -92,9 +121,8 @@ def _matches(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _SSN.finditer(text):
         if m.group()[:3] not in ("000", "666") and m.group()[0] != "9":
             yield "ssn", *m.span()
