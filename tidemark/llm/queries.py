@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cotraining, jaccard, lz, mixing, packing, pii, rules, secrets, toxicity, warc
+from tidemark.llm import cotraining, infill, jaccard, lz, mixing, packing, pii, rules, secrets, toxicity, warc
 from tidemark.llm.common import count_kind, read_table, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list(F.col("spans"), pii.BASE), 256).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"),
     )
+
+
+INFILL_SQL = """
+with units as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (
+  select doc_id, text, u, len(u)::bigint as n,
+    ('0x' || substr(h, 1, 8))::bigint % (len(u) + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (len(u) + 1) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+           or ('0x' || substr(h, 17, 8))::bigint % 100 >= 50 then 'plain'
+         when ('0x' || substr(h, 25, 8))::bigint % 100 < 80 then 'spm' else 'psm' end as form from units),
+cut as (
+  select doc_id, n, form, text, array_to_string(u[1:least(a, b)], '') as p,
+    array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as m, array_to_string(u[greatest(a, b) + 1:], '') as s
+  from drawn)
+select doc_id, n, form,
+  case when form <> 'plain' then length(p)::bigint end as prefix_chars,
+  case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from cut
+"""
+
+
+@query("op13_infill_cuts", INFILL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.rearranged(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
