@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cotraining, infill, jaccard, lz, mixing, packing, pii, rules, secrets, toxicity, warc
+from tidemark.llm import cotraining, infill, jaccard, lz, mixing, packing, pii, rules, secrets, toxicity, warc, whitening
 from tidemark.llm.common import count_kind, read_table, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(back, 256).alias("restored_sha256"),
     )
+
+
+@query("op12_whitened_embeddings")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A deviation beyond the range of a long (more than some ten million distinct vectors) is null.
+    made = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return made.drop("copies").withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
