@@ -16,7 +16,7 @@ Rows whose vector is null or holds a null, NaN or infinite entry go; all others
 stay, repeated ids too.  Shorter vectors are filled up with zeros to the longest
 one.  Entries whose scaled value passes the range of a long stop at its ends.
 With fewer dimensions than components only those that exist are returned.  A
-component without variance whitens to 0.  Equal eigenvalues keep the order the
+component without variance whitens to 0.  A deviation of more than 38 digits is null.  Equal eigenvalues keep the order the
 solver found them in.  An empty table gives an empty result.
 """
 
@@ -208,7 +208,7 @@ def projected(distinct: DataFrame, model: Fit, components: int) -> DataFrame:
                 white = np.einsum("nd,kd->nk", x - centre, axes)
                 made = [
                     pa.array(list(white), type=arrow.field("__white").type),
-                    pa.array([decimal.Decimal(d) for d in _deviation(x, n, total)], type=arrow.field("__deviation").type),
+                    pa.array([decimal.Decimal(d) if d < 10**38 else None for d in _deviation(x, n, total)], type=arrow.field("__deviation").type),
                 ]
                 kept = [part.column(c).cast(arrow.field(c).type) for c in ("__digest", "__copies", "__w")]
                 yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
