@@ -42,15 +42,66 @@ def loop_state(rows, stored):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10])
-def test_source_state_equals_loop(spark, hot_rows):
-    rows = log_rows()
-    want = loop_state(rows, {})
-    got = ss.source_state(spark.createDataFrame(rows, LOG), hot_rows=hot_rows).collect()
-    assert {
+def shown_state(df):
+    return {
         r.source_id: (r.status, r.failure_count, r.total_jobs_processed, r.next_check, r.change_count, r.last_checked)
-        for r in got
-    } == {k: (s["status"], s["streak"], s["ok"], s["due"], s["touched"], s["checked"]) for k, s in want.items()}
+        for r in df.collect()
+    }
+
+
+def wanted_state(rows):
+    return {
+        k: (s["status"], s["streak"], s["ok"], s["due"], s["touched"], s["checked"])
+        for k, s in loop_state(rows, {}).items()
+    }
+
+
+def test_source_state_equals_loop(spark):
+    rows = log_rows()
+    assert shown_state(ss.source_state(spark.createDataFrame(rows, LOG))) == wanted_state(rows)
+
+
+@pytest.mark.parametrize("deal", ["in order", "late", "backwards"])
+def test_stored_summaries_equal_the_whole_log(spark, tmp_path, deal):
+    rows = log_rows(240, seed=11)
+    parts = {
+        "in order": [rows[:80], rows[80:160], rows[160:]],
+        "late": [rows[i::3] for i in range(3)],
+        "backwards": [rows[160:], rows[80:160], rows[:80]],
+    }[deal]
+    table = ss.summary_table(spark, str(tmp_path / "summaries"))
+    done = []
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part, LOG)
+        log = spark.createDataFrame(done, LOG) if done else None
+        assert ss.advance(table, df, i, log)
+        assert not ss.advance(table, df, i, log)
+        done += part
+        whole = ss.source_state(spark.createDataFrame(done, LOG))
+        stored = ss.shown(table.read())
+        assert shown_state(stored) == wanted_state(done)
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_late_success_without_the_log_raises(spark, tmp_path):
+    table = ss.summary_table(spark, str(tmp_path / "summaries"))
+    fail = [("a", i, i, "FAILURE", 0, 0, 0, None, None) for i in (1, 2, 5)]
+    ss.advance(table, spark.createDataFrame(fail, LOG), 0)
+    ok = spark.createDataFrame([("a", 3, 3, "SUCCESS", 1, 0, 0, None, None)], LOG)
+    with pytest.raises(ValueError, match="late success"):
+        ss.advance(table, ok, 1)
+    # The same success is no trouble for a source whose failures all lie before it.
+    later = spark.createDataFrame([("a", 9, 9, "SUCCESS", 1, 0, 0, None, None)], LOG)
+    assert ss.advance(table, later, 1) and ss.shown(table.read()).first().failure_count == 0
+
+
+def test_a_tick_writes_only_the_sources_it_logged(spark, tmp_path):
+    table = ss.summary_table(spark, str(tmp_path / "summaries"))
+    rows = [(f"s{i}", i, i, "SUCCESS", 1, 0, 0, None, None) for i in range(50)]
+    ss.advance(table, spark.createDataFrame(rows, LOG), 0)
+    ss.advance(table, spark.createDataFrame([("s7", 99, 99, "FAILURE", 0, 0, 0, None, None)], LOG), 1)
+    assert [r.source_id for r in spark.read.parquet(f"{table.root}/delta/__version=1").collect()] == ["s7"]
+    assert ss.shown(table.read()).filter("failure_count = 1").count() == 1
 
 
 def test_stored_streak_goes_on(spark):
@@ -61,15 +112,15 @@ def test_stored_streak_goes_on(spark):
     rows = [("a", 1, 10, "FAILURE", 0, 0, 0, None, None), ("b", 1, 10, "SUCCESS", 1, 0, 0, None, None),
             ("b", 2, 20, "FAILURE", 0, 0, 0, None, None)]
     got = {r.source_id: (r.status, r.failure_count, r.next_check) for r in
-           ss.source_state(spark.createDataFrame(rows, LOG), reg, hot_rows=None).collect()}
+           ss.source_state(spark.createDataFrame(rows, LOG), reg).collect()}
     assert got == {"a": ("ERROR", 3, None), "b": ("ACTIVE", 1, 70), "c": ("DISABLED", 1, None)}
 
 
 def test_disabled_sources_can_stay_disabled(spark):
     rows = [("a", 1, 10, "DISABLE", 0, 0, 0, None, None), ("a", 2, 20, "FAILURE", 0, 0, 0, None, None)]
     log = spark.createDataFrame(rows, LOG)
-    assert ss.source_state(log, hot_rows=None).first().status == "ACTIVE"
-    assert ss.source_state(log, hot_rows=None, respect_disabled=True).first().status == "DISABLED"
+    assert ss.source_state(log).first().status == "ACTIVE"
+    assert ss.source_state(log, respect_disabled=True).first().status == "DISABLED"
 
 
 def test_gate(spark):

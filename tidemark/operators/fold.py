@@ -24,8 +24,7 @@ from tidemark.operators.ordered import (
     find_hot,
     mark_hot,
     null_safe_join,
-    slice_column,
-    slice_of,
+    split_hot,
 )
 
 TYPES = ("NEW", "UNCHANGED", "CHANGED")
@@ -39,10 +38,9 @@ class FoldSpec:
 
     ``hash`` is evaluated on stored rows as well as on landed rows, so a stored
     row that was edited in place is compared by its present values.  ``at`` is
-    the epoch second of a landed row.  ``slice_by`` must be monotone in
-    ``order``; by default it is derived from the first order column.  ``keep``
-    names narrow landed columns that verdicts carry along.  ``landed_hash`` is
-    the hash of landed rows where the batch already holds it.
+    the epoch second of a landed row.  ``keep`` names narrow landed columns that
+    verdicts carry along.  ``landed_hash`` is the hash of landed rows where the
+    batch already holds it.
     """
 
     key: Sequence[str]
@@ -50,7 +48,6 @@ class FoldSpec:
     tracked: Sequence[str]
     hash: Column
     at: Column
-    slice_by: Column | None = None
     hot_rows: int | None = HOT_ROWS
     keep: Sequence[str] = ()
     landed_hash: Column | None = None
@@ -72,18 +69,12 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
     ``first_seen``, ``last_changed``, ``change_count`` and ``replaces``: the
     order columns of the landed row it replaces, null for NEW rows and for rows
     that replace what ``state`` holds.  Wide columns never enter the ordered
-    pass, and a hot key is cut into slices (see ``ordered``).
+    pass, and a hot key is cut into ranges of its full order (see ``ordered``).
     """
     key, order = list(spec.key), list(spec.order)
     hot = find_hot(batch, key, spec.hot_rows)
-    slice_by = spec.slice_by
-    if hot is not None and slice_by is None:
-        slice_by = slice_of(batch, order[0], spec.hot_rows)
-
-    rows = mark_hot(batch, key, hot).select(
+    landed = batch.select(
         *key,
-        "__hot",
-        slice_column(slice_by if hot is not None else None).alias(SLICE),
         *order,
         *[F.col(c).alias(f"__keep_{c}") for c in spec.keep],
         F.lit(True).alias("__landed"),
@@ -93,6 +84,7 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
         spec.at.cast("bigint").alias("__at"),
         F.lit(0).cast("bigint").alias("__changes"),
     )
+    rows, ranged = split_hot(landed, key, order, hot, spec.hot_rows)
     if state is not None:
         kinds = {f.name: f.dataType for f in batch.schema.fields}
         kept = touched(state, batch, key).withColumns(
@@ -112,11 +104,12 @@ def fold(batch: DataFrame, spec: FoldSpec, state: DataFrame | None = None) -> Da
             F.coalesce(F.col("change_count").cast("bigint"), F.lit(0)).alias("__changes"),
         )
         rows = rows.unionByName(stored)
+        ranged = None if ranged is None else ranged.unionByName(stored.filter("__hot"))
     passed = _passed(rows, key, order)
-    if hot is None:
+    if ranged is None:
         return _verdicts(_without_carry(passed), spec)
-    # Only the rows of hot keys are ordered a second time, for the slice ends.
-    hot_passed = _passed(rows.filter("__hot"), key, order)
+    # Only the rows of hot keys are ordered a second time, for the ends of the ranges.
+    hot_passed = _passed(ranged, key, order)
     return _verdicts(_with_carry(passed, hot_passed, key), spec)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.identity import KEY
 from tidemark.functions.values import first_declared, hit_rate, to_int
 from tidemark.operators.fold import TYPES, with_cache_figures
-from tidemark.operators.ordered import row_numbers
+from tidemark.operators.ordered import HOT_ROWS, row_numbers
 
 #: Metric name -> unit of the run metrics a crawl emits.
 RUN_METRICS = {
@@ -206,10 +206,10 @@ def first_seen_listing(jobs: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def numbered_listing(
-    verdicts: DataFrame, order: Sequence[str], source: str = "source", slice_by: Column | None = None
+    verdicts: DataFrame, order: Sequence[str], source: str = "source", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Run listing with ``001.`` and ``[i/n]`` labels per source."""
-    rows = row_numbers(verdicts, order, [source], slice_by=slice_by, total="n_rows")
+    rows = row_numbers(verdicts, order, [source], hot_rows=hot_rows, total="n_rows")
     label = F.format_string("%03d.", F.col("row_no"))
     part = F.format_string("[%d/%d]", F.col("row_no"), F.col("n_rows"))
     return rows.withColumns({"label": label, "progress": part})

@@ -1,10 +1,13 @@
 """Ordered per-key work that survives hot keys.
 
 A window partitioned by a key puts all rows of the key into one task.  The
-helpers here bound that: keys with more than ``hot_rows`` rows are cut into
-slices of their order column, so a window runs over ``(key, slice)`` and only
-one summary row per slice is carried along the key.  Cold keys stay in one
-slice and need no carry.
+helpers here bound that: the rows of keys with more than ``hot_rows`` rows are
+dealt into ranges of their full order (key and every order column) by Spark's
+range partitioning and written once, so each range has a fixed number and about
+``hot_rows`` rows.  Windows then run over ``(key, range)``, and what one range
+leaves behind is carried along the key as one row per range.  Cold keys stay in
+one range and need no carry.  The number of ranges follows the rows, and rows with
+equal order columns, or equal in all columns, are dealt like others.
 """
 
 from __future__ import annotations
@@ -14,41 +17,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Rows one window group may hold before its key is sliced.
+from tidemark.session import written
+
+#: Rows one window group may hold before its key is dealt into ranges.
 HOT_ROWS = 1_000_000
 SLICE = "__slice"
-#: Slices of one hot key at most.
-MAX_SLICES = 1_000
-#: Slice of every row of a cold key; also sorts before each real slice.
+#: Row number inside a range, from 0.
+AT = "__at_row"
+#: Range of every row of a cold key; also sorts before each real range.
 WHOLE = -(2**62)
+#: Bits that hold the row number inside a partition in ``monotonically_increasing_id``.
+_ROW_BITS = 33
 
 
-def slice_of(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> Column:
-    """Slice number of a row, monotone in ``column``, for any orderable type.
+def in_ranges(df: DataFrame, order: Sequence[str], rows: int = HOT_ROWS, name: str = "ranges") -> DataFrame:
+    """``df`` written in ranges of ``order`` (nulls first) of about ``rows`` rows, with
+    ``SLICE`` (rising with the order) and ``AT`` (row number inside the range).
 
-    The slices are cut at approximate percentiles of the column, so about equally
-    many rows of the whole table fall into each; ``hot_rows`` sets how many.  Rows
-    with equal order values share a slice, nulls come first.
+    The rows are written as they are first: they are computed once, although range
+    partitioning reads its input twice, and their place in that table orders rows with
+    equal order columns, which may lie in several ranges.  The second writing fixes the
+    ranges: every later use sees the same ones.
     """
-    parts = min(max(2, -(-df.count() // max(hot_rows, 1))), MAX_SLICES)
-    kind = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        share = [i / parts for i in range(1, parts)]
-        cuts = df.agg(F.percentile_approx(column, share, 100 * parts)).first()[0] or []
-    else:
-        # Other types have no percentiles; a bounded random sample names the cuts.
-        total = max(df.count(), 1)
-        sample = df.select(column).filter(c.isNotNull()).sample(min(1.0, 50.0 * parts / total), seed=3)
-        values = sorted(r[0] for r in sample.limit(100 * parts).collect())
-        cuts = [values[len(values) * i // parts] for i in range(1, parts)] if values else []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0).cast("bigint")
-    bounds = F.array(*[F.lit(v).cast(kind) for v in cuts])
-    return F.when(c.isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda v: v <= c))).cast("bigint")
+    fixed = written(df.withColumn("__tie", F.monotonically_increasing_id()), name)
+    by = [F.col(c).asc_nulls_first() for c in (*order, "__tie")]
+    cut = fixed.repartitionByRange(max(1, -(-fixed.count() // max(rows, 1))), *by).sortWithinPartitions(*by)
+    # The id is documented as the partition above and the row number below these bits.
+    numbered = cut.withColumn("__id", F.monotonically_increasing_id())
+    numbered = numbered.withColumns(
+        {SLICE: F.shiftright("__id", _ROW_BITS), AT: F.col("__id").bitwiseAND(F.lit(2**_ROW_BITS - 1))}
+    )
+    return written(numbered.drop("__id", "__tie"), name)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -62,12 +62,12 @@ def find_hot(
 ) -> DataFrame | None:
     """The hot keys, or ``None`` when there are none.
 
-    The check runs one narrow aggregation over the keys.  ``hot_rows=None``
-    skips it for tables whose keys are known to be small.
+    One narrow aggregation over the keys, written once.  ``hot_rows=None`` skips it
+    for tables whose keys are known to be small.
     """
     if hot_rows is None:
         return None
-    hot = hot_keys(df, keys, hot_rows)
+    hot = written(hot_keys(df, keys, hot_rows), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -82,6 +82,19 @@ def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataF
     return marked.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
 
 
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame | None, hot_rows: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``SLICE`` and ``__hot``, whole keys where they are cold; and the written
+    ranges of the hot rows apart, or ``None``."""
+    if hot is None:
+        return df.withColumns({"__hot": F.lit(False), SLICE: F.lit(WHOLE).cast("bigint")}), None
+    marked = mark_hot(df, keys, hot)
+    ranged = in_ranges(marked.filter("__hot"), [*keys, *order], hot_rows, "hot-ranges").drop(AT)
+    cold = marked.filter(~F.col("__hot")).withColumn(SLICE, F.lit(WHOLE).cast("bigint"))
+    return cold.unionByName(ranged), ranged
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``left`` with the columns of ``right``, where null keys are equal to each other."""
     named = {k: f"__right_{k}" for k in keys}
@@ -90,48 +103,56 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, match, how).drop(*named.values())
 
 
-def slice_column(slice_by: Column | None) -> Column:
-    """Slice of a row marked by :func:`mark_hot`."""
-    if slice_by is None:
-        return F.lit(WHOLE).cast("bigint")
-    return F.when(F.col("__hot"), slice_by).otherwise(F.lit(WHOLE)).cast("bigint")
+def _rising(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
 
 
 def row_numbers(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str] = (),
-    slice_by: Column | None = None,
     hot_rows: int = HOT_ROWS,
     name: str = "row_no",
     total: str | None = None,
 ) -> DataFrame:
     """Row number per key (or over the whole table) without one-task windows.
 
-    Rows are numbered inside each ``(key, slice)`` and shifted by the number of
-    rows in earlier slices; only the per-slice counts are ordered along the key.
-    ``total`` names an optional column with the number of rows of the key.
+    Rows of the whole table, or of hot keys, are numbered by their place in a written
+    range, shifted by the rows of earlier ranges; only one row per range is ordered
+    along the key.  ``total`` names an optional column with the number of rows of the key.
     """
-    if slice_by is None:
-        slice_by = slice_of(df, order[0], hot_rows)
     keys = list(keys)
+    if not keys:
+        return _numbered(in_ranges(df, order, hot_rows), [], name, total)
+    hot = find_hot(df, keys, hot_rows)
+    marked = mark_hot(df, keys, hot)
+    inside = Window.partitionBy(*keys)
+    cold = marked.filter(~F.col("__hot")).drop("__hot")
+    cold = cold.withColumn(name, F.row_number().over(inside.orderBy(*_rising(order))).cast("bigint"))
+    if total:
+        cold = cold.withColumn(total, F.count(F.lit(1)).over(inside))
+    if hot is None:
+        return cold
+    ranged = in_ranges(marked.filter("__hot").drop("__hot"), [*keys, *order], hot_rows, "hot-ranges")
+    return cold.unionByName(_numbered(ranged, keys, name, total))
+
+
+def _numbered(ranged: DataFrame, keys: list[str], name: str, total: str | None) -> DataFrame:
     group = [*keys, SLICE]
-    rows = df.withColumn(SLICE, slice_by)
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per slice: small even when a key holds a third of the table.
+    parts = ranged.groupBy(*group).agg(F.min(AT).alias("__first"), F.count(F.lit(1)).alias("__n"))
     along = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = parts.select(
         *group,
+        "__first",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(along).alias("__total"),
     )
-    inside = Window.partitionBy(*group).orderBy(*order)
-    numbered = null_safe_join(rows.withColumn("__rn", F.row_number().over(inside)), offsets, group)
-    extra = {name: F.col("__before") + F.col("__rn")}
+    placed = null_safe_join(ranged, offsets, group)
+    extra = {name: F.col("__before") + F.col(AT) - F.col("__first") + 1}
     if total:
         extra[total] = F.col("__total")
-    return numbered.withColumns(extra).drop(SLICE, "__rn", "__before", "__total")
+    return placed.withColumns(extra).drop(SLICE, AT, "__first", "__before", "__total")
 
 
 def last_before(
@@ -140,29 +161,21 @@ def last_before(
     order: Sequence[str],
     value: Column,
     name: str,
-    slice_by: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Adds the last non-null ``value`` of earlier rows of the same key."""
     keys = list(keys)
-    hot = find_hot(df, keys, hot_rows)
-    if hot is not None and slice_by is None:
-        slice_by = slice_of(df, order[0], hot_rows)
     group = [*keys, SLICE]
-    rows = (
-        mark_hot(df, keys, hot)
-        .withColumn(SLICE, slice_column(slice_by if hot is not None else None))
-        .withColumn("__value", value)
-    )
-    inside = Window.partitionBy(*group).orderBy(*order)
+    hot = find_hot(df, keys, hot_rows)
+    rows, ranged = split_hot(df.withColumn("__value", value), keys, order, hot, hot_rows)
+    inside = Window.partitionBy(*group).orderBy(*_rising(order))
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(name, F.last("__value", True).over(prior))
-    if hot is not None:
-        ends = (
-            rows.withColumn("__ends", F.lead(F.lit(1)).over(inside).isNull())
-            .filter(F.col("__hot") & F.col("__ends"))
-            .select(*group, F.coalesce("__value", name).alias("__left"))
-        )
+    if ranged is not None:
+        # The last value of each range, one row per range, carried along the key.
+        last = F.max_by("__value", F.struct(*order)).alias("__left")
+        ends = ranged.filter(F.col("__value").isNotNull()).groupBy(*group).agg(last)
+        ends = null_safe_join(ranged.select(*group).distinct(), ends, group, "left")
         along = Window.partitionBy(*keys).orderBy(SLICE)
         before = along.rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*group, F.last("__left", True).over(before).alias("__carry"))

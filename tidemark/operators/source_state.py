@@ -3,21 +3,27 @@
 A log row is ``(source_id, ts, seq, kind, n_new, n_changed, n_unchanged,
 n_fetched, duration)``; ``kind`` is START, SUCCESS, FAILURE, SKIP, ENABLE or
 DISABLE and ``(ts, seq)`` orders the rows of a source.
+
+The state is shown from one summary row per source.  Summaries are associative:
+sums, the latest row of each kind, and the failures behind the last success.
+:func:`advance` keeps them in a state table and adds new log rows only, so a tick
+costs what the tick logged.  Rows may come late: a late success that falls among
+failures already counted makes the failures of that one source be counted anew
+from the log; every other late row merges like a new one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import HOT_ROWS, SLICE, find_hot, mark_hot, slice_column
+from tidemark.operators.ordered import null_safe_join
+from tidemark.sources.snapshots import StateTable
 
 #: Consecutive failures after which a source is in ERROR.
 FAILURES_TO_ERROR = 3
 #: Seconds between crawls when the registry names none.
 DEFAULT_INTERVAL = 3600
-#: Width of the time slices a hot source is cut into.
-SLICE_SECONDS = 60
 
 COUNTERS = (
     "fetch_attempt_count",
@@ -103,96 +109,148 @@ def counters(log: DataFrame) -> DataFrame:
     return log.groupBy("source_id").agg(*counter_columns())
 
 
-def source_state(
-    log: DataFrame,
-    registry: DataFrame | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    respect_disabled: bool = False,
-) -> DataFrame:
-    """Status, failure streak, counters, last values and next check per source.
+#: The latest log row of each sort that a summary keeps: its condition and values.
+def _latest() -> dict[str, tuple[Column, tuple[str, ...]]]:
+    ok = _is("SUCCESS")
+    return {
+        "l_start": (_is("START"), ()),
+        "l_ok": (ok, ("n_new", "n_unchanged", "n_changed")),
+        "l_failure": (_is("FAILURE"), ()),
+        "l_fetched": (ok & F.col("n_fetched").isNotNull(), ("n_fetched",)),
+        "l_duration": (ok & F.col("duration").isNotNull(), ("duration",)),
+        "l_checked": (_is("SUCCESS", "FAILURE"), ()),
+        "l_changed": (ok & (F.col("n_new") + F.col("n_changed") > 0), ()),
+        "l_skip": (_is("SKIP"), ()),
+        "l_status": (_is("SUCCESS", "FAILURE", "ENABLE", "DISABLE"), ("kind",)),
+        "l_toggle": (_is("ENABLE", "DISABLE"), ("kind",)),
+        "l_due": (_is("SUCCESS", "ENABLE", "DISABLE"), ("kind",)),
+    }
 
-    The log is pre-aggregated per (source, time slice) and the slices are merged
-    per source; a source is only sliced when it has more than ``hot_rows`` rows.
-    A failure below the limit sets ACTIVE even for a disabled source, as the
-    original does; ``respect_disabled`` keeps a disabled source disabled.
-    """
-    if registry is not None:
-        intervals = registry.select(
-            "source_id", F.col("crawl_interval").cast("bigint").alias("crawl_interval")
-        )
-        log = log.join(intervals, "source_id", "left")
-    else:
-        log = log.withColumn("crawl_interval", F.lit(None).cast("bigint"))
-    slices = _per_slice(log, hot_rows)
-    state = _merge(slices, registry, respect_disabled)
-    if registry is None:
-        return state
-    return _with_registry(registry, state)
-
-
-def _per_slice(log: DataFrame, hot_rows: int | None) -> DataFrame:
-    hot = find_hot(log, ["source_id"], hot_rows)
-    slice_by = F.floor(F.col("ts") / SLICE_SECONDS) if hot is not None else None
-    rows = mark_hot(log, ["source_id"], hot).withColumn(SLICE, slice_column(slice_by))
-    group = Window.partitionBy("source_id", SLICE)
-    at = F.struct("ts", "seq")
-    rows = rows.withColumn("__at", at).withColumn(
-        "__last_ok", F.max(F.when(_is("SUCCESS"), F.col("__at"))).over(group)
-    )
-    due = (
-        F.when(_is("SUCCESS"), F.col("ts") + F.coalesce("crawl_interval", F.lit(DEFAULT_INTERVAL)))
-        .when(_is("ENABLE"), F.col("ts"))
-        .when(_is("DISABLE"), F.lit(0))
-    )
 
-    def latest(condition: Column, name: str, *values: Column) -> Column:
-        return F.max(F.when(condition, F.struct("ts", "seq", *values))).alias(name)
+def _at(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.struct(F.col(f"{name}.ts"), F.col(f"{name}.seq")))
 
-    ok = _is("SUCCESS")
-    return rows.groupBy("source_id", SLICE).agg(
-        F.count_if(
-            _is("FAILURE") & (F.col("__last_ok").isNull() | (F.col("__at") > F.col("__last_ok")))
-        ).alias("tail_failures"),
-        F.count_if(ok).alias("oks"),
+
+def summarise(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One mergeable summary row per source of ``log``.
+
+    ``tail_failures`` counts the failures behind the last success, be it in ``log``
+    or in ``known``, the summaries of other rows of the same log.  Both passes are
+    plain aggregations, merged before the shuffle, so a hot source needs no slices.
+    """
+    sums = log.groupBy("source_id").agg(
         *counter_columns(),
-        latest(_is("START"), "l_start"),
-        latest(
-            ok,
-            "l_ok",
-            F.col("n_new"),
-            F.col("n_unchanged"),
-            F.col("n_changed"),
-        ),
-        latest(ok & F.col("n_fetched").isNotNull(), "l_fetched", F.col("n_fetched")),
-        latest(ok & F.col("duration").isNotNull(), "l_duration", F.col("duration")),
-        latest(_is("SUCCESS", "FAILURE"), "l_checked"),
-        latest(ok & (F.col("n_new") + F.col("n_changed") > 0), "l_changed"),
-        latest(_is("SKIP"), "l_skip"),
-        latest(_is("SUCCESS", "FAILURE", "ENABLE", "DISABLE"), "l_status", F.col("kind")),
-        latest(_is("ENABLE", "DISABLE"), "l_toggle", F.col("kind")),
-        latest(_is("SUCCESS", "ENABLE", "DISABLE"), "l_due", due.alias("due")),
+        *[
+            F.max(F.when(condition, F.struct("ts", "seq", *values))).alias(name)
+            for name, (condition, values) in _latest().items()
+        ],
     )
+    oks = sums.select("source_id", _at("l_ok").alias("__ok"))
+    if known is not None:
+        oks = oks.unionByName(known.select("source_id", _at("l_ok").alias("__ok")))
+    ends = oks.groupBy("source_id").agg(F.max("__ok").alias("__ok"))
+    return null_safe_join(sums, failures_behind(log, ends, "tail_failures"), ["source_id"])
 
 
-def _merge(slices: DataFrame, registry: DataFrame | None, respect_disabled: bool) -> DataFrame:
-    per_source = Window.partitionBy("source_id")
-    marked = slices.withColumn(
-        "__ok_slice", F.max(F.when(F.col("oks") > 0, F.col(SLICE))).over(per_source)
+def failures_behind(log: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+    """Failures in ``log`` behind the instant ``__ok`` of each source of ``ends`` (0 too)."""
+    failed = log.filter(_is("FAILURE")).select("source_id", F.struct("ts", "seq").alias("__at"))
+    behind = null_safe_join(failed, ends, ["source_id"]).filter(
+        F.col("__ok").isNull() | (F.col("__at") > F.col("__ok"))
+    )
+    counted = behind.groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
+    return null_safe_join(ends.select("source_id"), counted, ["source_id"], "left").withColumn(
+        name, F.coalesce(F.col(name), F.lit(0))
     )
-    after_ok = F.col("__ok_slice").isNull() | (F.col(SLICE) >= F.col("__ok_slice"))
-    latest = [c for c in slices.columns if c.startswith("l_")]
-    merged = marked.groupBy("source_id").agg(
-        F.coalesce(F.sum(F.when(after_ok, F.col("tail_failures"))), F.lit(0)).alias("failure_count"),
-        *[F.sum(c).cast("bigint").alias(c) for c in COUNTERS],
-        *[F.max(c).alias(c) for c in latest],
+
+
+def merge(stored: DataFrame, fresh: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Summaries of ``stored`` and ``fresh`` rows together, one row per source of ``fresh``.
+
+    ``fresh`` is made by ``summarise(new_rows, stored)``.  ``log`` holds the rows
+    behind ``stored``; only sources with a late success read it, and without it such
+    a success raises.
+    """
+    old = stored.withColumnsRenamed({c: f"__old_{c}" for c in stored.columns if c != "source_id"})
+    both = null_safe_join(fresh, old, ["source_id"], "left")
+    newer_ok = F.col("l_ok").isNotNull() & (F.col("__old_l_ok").isNull() | (_at("l_ok") > _at("__old_l_ok")))
+    # A success after all stored failures ends their streak, one among them cuts it.
+    among = newer_ok & F.col("__old_l_failure").isNotNull() & (_at("__old_l_failure") > _at("l_ok"))
+    among = among & (F.col("__old_tail_failures") > 0)
+    late = both.filter(among).select("source_id", _at("l_ok").alias("__ok"))
+    carried = F.when(newer_ok, F.lit(0)).otherwise(F.coalesce("__old_tail_failures", F.lit(0)))
+    if not late.isEmpty():
+        if log is None:
+            raise ValueError("a late success needs the log behind the stored summaries")
+        recounted = failures_behind(null_safe_join(log, late.select("source_id"), ["source_id"]), late, "__recount")
+        both = null_safe_join(both, recounted, ["source_id"], "left")
+        carried = F.coalesce("__recount", carried)
+    latest = [c for c in fresh.columns if c.startswith("l_")]
+    return both.select(
+        "source_id",
+        *[(F.col(c) + F.coalesce(f"__old_{c}", F.lit(0))).alias(c) for c in COUNTERS],
+        *[F.greatest(F.col(c), F.col(f"__old_{c}")).alias(c) for c in latest],
+        (F.col("tail_failures") + carried).cast("bigint").alias("tail_failures"),
     )
+
+
+def merge_all(stored: DataFrame, fresh: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """:func:`merge`, with the stored sources that ``fresh`` does not touch."""
+    others = stored.join(fresh.select("source_id"), stored["source_id"].eqNullSafe(fresh["source_id"]), "left_anti")
+    return others.unionByName(merge(stored, fresh, log))
+
+
+def summary_table(spark, root: str) -> StateTable:
+    """Stored summaries, by source."""
+    return StateTable(spark, root, ["source_id"])
+
+
+def advance(table: StateTable, rows: DataFrame, batch: int, log: DataFrame | None = None, stream: str = "") -> bool:
+    """Adds new log rows to the stored summaries; False when the batch was added before.
+
+    Only the summaries of sources in ``rows`` are written.  ``log`` holds the rows of
+    earlier batches (see :func:`merge`).
+    """
+    if table.applied(batch, stream):
+        return False
+    stored = table.read()
+    fresh = summarise(rows, stored)
+    return table.upsert(fresh if stored is None else merge(stored, fresh, log), batch, stream)
+
+
+def source_state(
+    log: DataFrame, registry: DataFrame | None = None, respect_disabled: bool = False
+) -> DataFrame:
+    """:func:`shown` over a whole log."""
+    return shown(summarise(log), registry, respect_disabled)
+
+
+def shown(
+    summaries: DataFrame, registry: DataFrame | None = None, respect_disabled: bool = False
+) -> DataFrame:
+    """Status, failure streak, counters, last values and next check per source.
+
+    A failure below the limit sets ACTIVE even for a disabled source, as the
+    original does; ``respect_disabled`` keeps a disabled source disabled.
+    """
+    merged = summaries.withColumnRenamed("tail_failures", "failure_count")
+    interval = F.lit(None).cast("bigint")
+    if registry is not None:
+        intervals = registry.select("source_id", F.col("crawl_interval").cast("bigint").alias("__interval"))
+        merged = merged.join(intervals, "source_id", "left")
+        interval = F.col("__interval")
     if registry is not None and "failure_count" in registry.columns:
         # A stored streak goes on until the first success in the log.
-        stored = registry.select("source_id", F.col("failure_count").alias("__stored"))
+        kept = registry.select("source_id", F.col("failure_count").alias("__stored"))
         goes_on = F.when(F.col("successful_crawl_count") == 0, F.col("__stored").cast("bigint"))
-        merged = merged.join(stored, "source_id", "left").withColumn(
+        merged = merged.join(kept, "source_id", "left").withColumn(
             "failure_count", F.col("failure_count") + F.coalesce(goes_on, F.lit(0))
         )
+    due = (
+        F.when(F.col("l_due.kind") == "SUCCESS", F.col("l_due.ts") + F.coalesce(interval, F.lit(DEFAULT_INTERVAL)))
+        .when(F.col("l_due.kind") == "ENABLE", F.col("l_due.ts"))
+        .when(F.col("l_due.kind") == "DISABLE", F.lit(0))
+    )
     kind = F.col("l_status.kind")
     status = (
         F.when(kind.isin("SUCCESS", "ENABLE"), F.lit("ACTIVE"))
@@ -203,7 +261,7 @@ def _merge(slices: DataFrame, registry: DataFrame | None, respect_disabled: bool
     if respect_disabled:
         status = F.when(F.col("l_toggle.kind") == "DISABLE", F.lit("DISABLED")).otherwise(status)
     new, same, changed = (F.col(f"l_ok.{c}") for c in ("n_new", "n_unchanged", "n_changed"))
-    return merged.select(
+    state = merged.select(
         "source_id",
         status.alias("status"),
         "failure_count",
@@ -221,8 +279,9 @@ def _merge(slices: DataFrame, registry: DataFrame | None, respect_disabled: bool
         F.col("l_checked.ts").alias("last_checked"),
         F.col("l_changed.ts").alias("last_changed"),
         F.col("l_skip.ts").alias("last_skipped"),
-        F.col("l_due.due").alias("next_check"),
+        due.cast("bigint").alias("next_check"),
     )
+    return state if registry is None else _with_registry(registry, state)
 
 
 def _with_registry(registry: DataFrame, state: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ def posting_spec(
     exact: bool = False,
     keep: Sequence[str] = (),
     order: Sequence[str] = ("seq",),
-    slice_by: Column | None = None,
     landed_hash: Column | None = None,
 ) -> FoldSpec:
     """Fold of postings: canonical id, landing order, eight tracked columns."""
@@ -37,7 +36,6 @@ def posting_spec(
         at=at if at is not None else F.unix_timestamp(),
         hot_rows=hot_rows,
         keep=keep,
-        slice_by=slice_by,
         landed_hash=landed_hash,
     )
 
@@ -53,14 +51,6 @@ def clean_postings(rows: DataFrame, exact: bool = False) -> DataFrame:
 LANDING_ORDER = ("source_ord", "source_rank", "page_no", "pos")
 
 
-def landing_slice(n_builtin: int = len(BUILTIN)) -> Column:
-    """Slices of :data:`LANDING_ORDER` of bounded size: a page of a built-in feed
-    (bodies are limited), or one in 2**20 of the configured feeds (records are capped)."""
-    base = F.col("source_ord").cast("bigint") * F.lit(2**40)
-    bucket = F.shiftright(F.col("source_rank"), 44)
-    return base + F.when(F.col("source_ord") < n_builtin, F.col("page_no")).otherwise(bucket)
-
-
 def with_landing_order(postings: DataFrame, n_builtin: int = len(BUILTIN)) -> DataFrame:
     rank = F.when(F.col("source_ord") < n_builtin, F.lit(0)).otherwise(F.xxhash64("source"))
     return postings.withColumn("source_rank", rank.cast("bigint"))
@@ -93,7 +83,6 @@ def sync_due_feeds(
         F.lit(as_of),
         hot_rows,
         order=LANDING_ORDER,
-        slice_by=landing_slice(),
         landed_hash=F.col("content_hash"),
     )
     rejects(due, sources).write.mode("overwrite").parquet(f"{out}/rejects/v={version}")
