@@ -23,6 +23,21 @@ def test_chunks_equal_whole_texts(tokenizer):
         assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
 
 
+def test_forgetting_changes_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    encode = packing.encoder(None)
+    for i in range(300):
+        text = f"w{i % 11} x{i % 7},y {'z' * (i % 90)} été{i % 3}'ll ---{i % 5}!"
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_another_vocabulary_encodes_texts_whole():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Two  words, one\nline"
+    want = np.array(Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert packing.encoder(other)(text) == want
+
+
 def check(rows, texts, tokenizer, length):
     """``rows`` of distinct documents against the tokenizer."""
     by_doc, by_sequence = {}, {}

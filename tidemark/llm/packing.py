@@ -15,7 +15,10 @@ Repeated rows are packed each for itself.  An empty table gives no sequence.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Callable
 
@@ -33,34 +36,79 @@ BIN = 16
 END = 1
 #: Rows that one ranked slice of a bin holds, about.
 SLICE_ROWS = 20_000
-#: Chunks a worker remembers with their ids before it starts anew.
+#: Chunks, and parts of chunks, that a worker remembers with their ids: half of them in
+#: use, half from before; the older half goes when the other is full.
 REMEMBERED = 600_000
+#: Longer chunks are not remembered.
+LONGEST = 64
 
-#: White space between chunks.  Texts with other characters than these and the
-#: ones below U+0300 are left whole to the tokenizer.
-_FAST = re.compile("[^\x00-\x1b\x20-\x7f\xa0-įı-˿]")
+#: Texts with other characters than these are left whole to the tokenizer: ones below
+#: U+0300 that stay there in lower case, without the white space on which engines differ.
+_FAST = re.compile("[^\x00-\x1b\x20-\x7f\xa0-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u02ff]")
+#: How a vocabulary cuts normalised text into the parts its model sees (fixed value).
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Chunks(dict):
-    """Little-endian ids of chunks of lower-case text without white space."""
+def _class(kind: str) -> str:
+    """The characters below U+0300 of a Unicode category, for a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c)).startswith(kind))
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        made = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = made
-        return made
+#: The same cut for the characters of ``_FAST``.
+_PARTS = re.compile(
+    _CUT.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")).replace(r"\s", "\t-\r \xa0")
+)
+#: Bytes as the characters a byte-level model knows them by: printable ones as they are,
+#: the others in turn from U+0100.
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or (b >= 0xA1 and b != 0xAD)]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
+class _Recent(dict):
+    """Values made once per key and remembered in two generations."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _cuts_as_known(tokenizer) -> bool:
+    """Whether a vocabulary drops white space, lower-cases and cuts as ``_PARTS`` does."""
+    made = json.loads(tokenizer.to_str())
+    steps = made["pre_tokenizer"] and made["pre_tokenizer"].get("pretokenizers") or []
+    cut = [s for s in steps if s["type"] == "Split"]
+    kinds = [s["type"] for s in steps]
+    normal = made["normalizer"] and made["normalizer"].get("normalizers") or []
+    return (
+        kinds == ["Split", "ByteLevel"]
+        and cut[0]["pattern"] == {"Regex": _CUT}
+        and cut[0]["invert"]
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and [s["type"] for s in normal] == ["NFC", "Replace", "Lowercase"]
+        and made["post_processor"] is None
+    )
 
 
 def encoder(vocabulary: str | None) -> Callable[[str], bytes]:
     """Text to its ids as little-endian bytes, equal to encoding it whole.
 
-    The vocabulary drops white space and splits at it, so chunks between white
-    space are encoded alone and remembered.
+    Where the vocabulary is known to cut as ``_PARTS`` does, chunks between white space
+    are looked up; an unknown one is cut into parts, and only parts that are unknown too
+    go through the model.  Other vocabularies, and other characters, encode texts whole.
     """
     cache = worker_cache()
     key = ("chunks", vocabulary)
@@ -69,14 +117,22 @@ def encoder(vocabulary: str | None) -> Callable[[str], bytes]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
-        cache[key] = _Chunks(tokenizer)
-    known = cache[key]
+        model = tokenizer.model
+
+        def ids_of(part: str) -> bytes:
+            if not (part.isascii() and part.isprintable()):
+                part = part.encode().decode("latin-1").translate(_BYTES)
+            return _packed([token.id for token in model.tokenize(part)])
+
+        parts = _Recent(ids_of)
+        chunks = _Recent(lambda chunk: b"".join(map(parts.__getitem__, _PARTS.findall(chunk))))
+        cache[key] = (tokenizer, chunks, _cuts_as_known(tokenizer))
+    tokenizer, chunks, known = cache[key]
 
     def encode(text: str) -> bytes:
-        if _FAST.search(text) or "<|" in text:
-            ids = known.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, text.lower().split()))
+        if not known or _FAST.search(text) or "<|" in text:
+            return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(chunks.__getitem__, text.lower().split()))
 
     return encode
 
