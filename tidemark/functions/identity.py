@@ -48,18 +48,21 @@ def _canonical(company: Column, title: Column, location: Column) -> Column:
     return F.substring(digest([company, title, location]), 1, 16)
 
 
-def content_hash(exact: bool = False) -> Column:
-    """Hash of the seven content columns of a posting, as ``name=value`` pairs."""
-    return _content(_words(exact), tx.employment_type("employment_type", exact=exact))
+def content_hash(exact: bool = False, clean: bool = True) -> Column:
+    """Hash of the seven content columns of a posting, as ``name=value`` pairs.
 
+    ``clean=False`` takes text columns that are cleaned already (see ``text.cleaned``).
+    """
+    return _content(_words(exact, clean), tx.employment_type("employment_type", clean, exact))
 
-def _words(exact: bool) -> dict[str, Column]:
-    return {
-        "title": tx.normalize_title("title", exact),
-        "company": tx.normalize_company("company", exact),
-        "location": tx.normalize_location("location", exact),
-        "description": tx.normalize_text("description", exact),
-    }
+
+#: Text columns of a posting that its hashes normalise.
+WORDS = ("title", "company", "location", "description")
+
+
+def _words(exact: bool, clean: bool = True) -> dict[str, Column]:
+    folded = {c: tx.normalize_text(c, exact) if clean else tx.fold_words(F.col(c)) for c in WORDS}
+    return {**folded, "title": tx.title_words(folded["title"]), "location": tx.place_words(folded["location"])}
 
 
 def _content(words: Mapping[str, Column], employment: Column) -> Column:
@@ -73,25 +76,46 @@ def _content(words: Mapping[str, Column], employment: Column) -> Column:
     return digest([F.concat(F.lit(f"{name}="), values[name]) for name in sorted(values)])
 
 
+#: Text columns of a posting that the comparison cleans.
+COMPARED = ("title", "company", "location", "employment_type", "description")
+
+
+def comparable(
+    patterns: Mapping[str, str] = tx.VOLATILE_PATTERNS, source: Column | str = "source"
+) -> dict[str, Column]:
+    """The compared text columns before cleaning: descriptions without volatile passages."""
+    return {c: F.col(c) for c in COMPARED} | {"description": tx.strip_volatile(source, "description", dict(patterns))}
+
+
 def comparison_hash(
     exact: bool = False,
     patterns: Mapping[str, str] = tx.VOLATILE_PATTERNS,
     source: Column | str = "source",
+    clean: bool = True,
 ) -> Column:
     """Hash of the eight tracked columns that decides CHANGED or UNCHANGED.
 
     The URL is folded to words without the markup step, so an ``&`` in a query
-    string is never taken for an entity.
+    string is never taken for an entity.  ``clean=False`` takes the columns of
+    :func:`comparable` cleaned already.
     """
+    if not clean:
+        return _compared({c: F.col(c) for c in COMPARED})
+    texts = comparable(patterns, source)
+    if exact:
+        return _compared({c: tx.clean_text(v, True) for c, v in texts.items()})
+    # One cleaning chain for all columns, its result used by position.
+    together = F.transform(F.array(tx.clean_all(list(texts.values()))), lambda a: _compared({c: a[i] for i, c in enumerate(texts)}))
+    return F.element_at(together, 1)
+
+
+def _compared(texts: Mapping[str, Column]) -> Column:
     return digest(
         [
-            tx.normalize_text("title", exact),
-            tx.normalize_text("company", exact),
-            tx.normalize_text("location", exact),
-            tx.normalize_text("employment_type", exact),
+            *[tx.fold_words(texts[c]) for c in ("title", "company", "location", "employment_type")],
             tx.fold_words(F.coalesce(decimal_text("salary_min"), F.lit(""))),
             tx.fold_words(F.coalesce(decimal_text("salary_max"), F.lit(""))),
-            tx.normalize_text(tx.strip_volatile(source, "description", dict(patterns)), exact),
+            tx.fold_words(texts["description"]),
             tx.fold_words(F.coalesce(_col("apply_url"), F.lit(""))),
         ]
     )
@@ -135,12 +159,15 @@ def finalize(jobs: DataFrame, exact: bool = False) -> DataFrame:
     cleaning inside the hashes then only meets doubly escaped markup, for which
     the native tier is enough unless it hides a rare entity (``exact=True``).
     """
-    words = _words(exact)
+    names = (*WORDS, "employment_type")
+    staged = tx.cleaned(jobs, {f"__{c}": c for c in names}, exact)
     # Both hashes share the normalised words, so they are one projection below.
-    staged = jobs.withColumns(
+    folded = {c: tx.fold_words(F.col(f"__{c}")) for c in WORDS}
+    words = {**folded, "title": tx.title_words(folded["title"]), "location": tx.place_words(folded["location"])}
+    staged = staged.withColumns(
         {
             **{f"__{name}": c for name, c in words.items()},
-            "employment_type": tx.employment_type("employment_type", exact=exact),
+            "employment_type": tx.employment_type("__employment_type", clean=False),
         }
     )
     shared = {name: F.col(f"__{name}") for name in words}
@@ -150,4 +177,4 @@ def finalize(jobs: DataFrame, exact: bool = False) -> DataFrame:
             "content_hash": _content(shared, F.col("employment_type")),
         }
     )
-    return derived.drop(*[f"__{name}" for name in words])
+    return derived.drop(*[f"__{name}" for name in names])

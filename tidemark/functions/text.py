@@ -14,12 +14,12 @@ import html
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,9 +177,12 @@ def _tags_out(c: Column) -> Column:
     return F.concat(F.regexp_replace(head, _MARKUP, " "), tail)
 
 
-def _without_markup(c: Column) -> Column:
-    """Tags, comments and hidden elements out, in time linear in the text."""
+def _without_markup(c: Column, exact: bool) -> Column:
+    """Tags, comments and hidden elements out, in time linear in the text; null for texts
+    with comments or hidden elements where the exact tier takes them."""
     hiding = c.rlike(rf"(?i)<(?:{'|'.join(HIDDEN_ELEMENTS)})\b|<!--")
+    if exact:
+        return F.when(~hiding, _tags_out(c))
     ready = _bound(c, _closed_comments)
     for name in HIDDEN_ELEMENTS:
         ready = _bound(ready, _closing_only(name))
@@ -262,25 +265,64 @@ def _exact_text(values: pd.Series) -> pd.Series:
     return values.map(visible_text, na_action="ignore")
 
 
-def clean_text(c: Column | str, exact: bool = False) -> Column:
-    """Visible text of a possibly marked-up value; null becomes ``''``."""
-    c = _col(c).cast("string")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _exact_texts(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda row: [None if v is None else visible_text(v) for v in row], na_action="ignore")
+
+
+def _native(c: Column, exact: bool) -> Column:
+    """The native tier: null where the value is, or where the exact tier is needed."""
     plain = ~(c.contains("<") | c.contains("&"))
+
     def settled(bare: Column) -> Column:
         """Clean text of a value without markup; null where the exact tier is needed."""
         decoded = F.when(bare.contains("&"), collapse_space(_decoded(bare))).otherwise(collapse_space(bare))
         return F.when(~bare.rlike(_UNSETTLED), decoded) if exact else decoded
 
-    native = (
+    return (
         F.when(plain & _is_ascii(c), _collapse_ascii(c))
         .when(plain, F.when(~c.rlike(_UNSTABLE), collapse_space(c)) if exact else collapse_space(c))
-        .otherwise(_bound(_without_markup(c), settled))
+        .otherwise(_bound(_without_markup(c, exact), settled))
     )
+
+
+def clean_text(c: Column | str, exact: bool = False) -> Column:
+    """Visible text of a possibly marked-up value; null becomes ``''``."""
+    c = _col(c).cast("string")
+    native = _native(c, exact)
     if exact:
         native = F.coalesce(native, _exact_text(F.when(native.isNull(), c)))
     return F.coalesce(native, F.lit(""))
 
 
+def clean_all(columns: Sequence[Column | str]) -> Column:
+    """Array of the natively cleaned texts; the chain is written once for all columns."""
+    values = F.array(*[_col(c).cast("string") for c in columns])
+    return F.transform(values, lambda c: F.coalesce(_native(c, False), F.lit("")))
+
+
+def cleaned(df: DataFrame, columns: Mapping[str, Column | str] | Sequence[str], exact: bool = False) -> DataFrame:
+    """``df`` with the named columns as cleaned texts, each value computed once.
+
+    The native chain is one expression over an array of the values.  With ``exact``
+    the values it leaves open cross to the Arrow tier together, and only rows that
+    have such a value cross as more than a null.
+    """
+    named = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
+    values = F.array(*[_col(c).cast("string") for c in named.values()])
+    if not exact:
+        staged = df.withColumn("__clean", F.transform(values, lambda c: F.coalesce(_native(c, False), F.lit(""))))
+    else:
+        native = F.transform(values, lambda c: F.coalesce(_native(c, True), F.when(c.isNull(), F.lit(""))))
+        staged = df.withColumn("__raw", values).withColumn("__native", native)
+        open_ = F.zip_with("__native", "__raw", lambda n, v: F.when(n.isNull(), v))
+        some = F.exists("__native", lambda n: n.isNull())
+        staged = staged.withColumn("__exact", _exact_texts(F.when(some, open_)))
+        both = F.zip_with("__native", "__exact", lambda n, e: F.coalesce(n, e))
+        staged = staged.withColumn("__clean", F.coalesce(both, F.col("__native"))).drop("__raw", "__native", "__exact")
+    return staged.withColumns({name: F.col("__clean")[i] for i, name in enumerate(named)}).drop("__clean")
+
+
 def fold_words(c: Column) -> Column:
     """Lower case, ``&`` spelled out, only letters, digits and ``_ + # .`` kept."""
     spelled = F.replace(F.lower(c), F.lit("&"), F.lit(" and "))
@@ -300,18 +342,26 @@ def normalize_location(
     c: Column | str, exact: bool = False, aliases: dict[str, str] = CITY_ALIASES
 ) -> Column:
     """Normalised text with whole-word city aliases replaced."""
-    out = normalize_text(c, exact)
+    return place_words(normalize_text(c, exact), aliases)
+
+
+def place_words(words: Column, aliases: dict[str, str] = CITY_ALIASES) -> Column:
+    """:func:`normalize_location` of a normalised text."""
     for old, new in aliases.items():
-        out = F.regexp_replace(out, rf"(?U)\b{re.escape(old)}\b", new)
-    return out
+        words = F.regexp_replace(words, rf"(?U)\b{re.escape(old)}\b", new)
+    return words
 
 
 def normalize_title(
     c: Column | str, exact: bool = False, stop_words: tuple[str, ...] = TITLE_STOP_WORDS
 ) -> Column:
     """Normalised words without stop words, in sorted order, repeats kept."""
-    words = F.split(normalize_text(c, exact), " ")
-    kept = F.filter(words, lambda w: ~w.isin(*stop_words) & (w != ""))
+    return title_words(normalize_text(c, exact), stop_words)
+
+
+def title_words(words: Column, stop_words: tuple[str, ...] = TITLE_STOP_WORDS) -> Column:
+    """:func:`normalize_title` of a normalised text."""
+    kept = F.filter(F.split(words, " "), lambda w: ~w.isin(*stop_words) & (w != ""))
     return F.array_join(F.array_sort(kept), " ")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.functions.identity import canonical_id, comparison_hash, content_hash, storage_id
+from tidemark.functions.identity import WORDS, canonical_id, comparable, comparison_hash, content_hash, storage_id
 from tidemark.functions.values import hit_rate, number_or_none, shown_time
 from tidemark.operators.catalog import display
 from tidemark.operators.metrics import cross_source_duplicates
@@ -18,13 +18,14 @@ from tidemark.plans.jobs import clean_postings
 @query("clean_html_pages", f"select page_id, {q.clean('html')} as clean from pages")
 def clean_html_pages(spark, sf_dir):
     pages = views.load(spark, sf_dir, "pages")
-    return pages.select("page_id", tx.clean_text("html", exact=True).alias("clean"))
+    return tx.cleaned(pages.select("page_id", "html"), {"clean": "html"}, exact=True).drop("html")
 
 
 @query("normalize_text_docs", f"select doc_id, {q.norm('text')} as normal from documents")
 def normalize_text_docs(spark, sf_dir):
     docs = views.load(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.normalize_text("text", exact=True).alias("normal"))
+    clean = tx.cleaned(docs.select("doc_id", "text"), ["text"], exact=True)
+    return clean.select("doc_id", tx.fold_words(F.col("text")).alias("normal"))
 
 
 @query(
@@ -81,7 +82,8 @@ def canonical_ids(spark, sf_dir):
     f"with v as ({views.duck(views.TEXT_JOBS_SQL)}) select doc_id, {q.content_hash()} as content_hash from v",
 )
 def content_hashes(spark, sf_dir):
-    return views.text_jobs(spark, sf_dir).select("doc_id", content_hash(exact=True).alias("content_hash"))
+    jobs = tx.cleaned(views.text_jobs(spark, sf_dir), (*WORDS, "employment_type"), exact=True)
+    return jobs.select("doc_id", content_hash(clean=False).alias("content_hash"))
 
 
 @query(
@@ -89,8 +91,8 @@ def content_hashes(spark, sf_dir):
     f"with v as ({views.duck(views.TEXT_JOBS_SQL)}) select doc_id, {q.comparison_hash()} as comparison_hash from v",
 )
 def comparison_hashes(spark, sf_dir):
-    jobs = views.text_jobs(spark, sf_dir)
-    return jobs.select("doc_id", comparison_hash(exact=True).alias("comparison_hash"))
+    jobs = tx.cleaned(views.text_jobs(spark, sf_dir), comparable(), exact=True)
+    return jobs.select("doc_id", comparison_hash(clean=False).alias("comparison_hash"))
 
 
 _NOTICE = (

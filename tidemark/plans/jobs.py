@@ -42,8 +42,7 @@ def posting_spec(
 
 def clean_postings(rows: DataFrame, exact: bool = False) -> DataFrame:
     """Cleaned text columns, then the derived columns of a posting."""
-    cleaned = {c: tx.clean_text(c, exact) for c in ("title", "company", "location", "description")}
-    return finalize(rows.withColumns(cleaned), exact)
+    return finalize(tx.cleaned(rows, ("title", "company", "location", "description"), exact), exact)
 
 
 #: Order of a landed batch: built-in feeds in turn, then configured feeds one after

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import as_text, get_path, number_at
-from tidemark.functions.text import clean_text, employment_type
+from tidemark.functions.text import cleaned, employment_type
 from tidemark.functions.values import MONEY, first_filled
 from tidemark.sources.landed import is_object, parse_bodies, record_list
 
@@ -117,7 +117,7 @@ def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
             **{name: number_at(F.col(name)).try_cast(MONEY) for name in salaries},
         }
     )
-    rows = read.withColumns({name: clean_text(name, exact) for name in texts}).filter(
+    rows = cleaned(read, texts, exact).filter(
         (F.col("title") != "") & (F.col("company") != "")
     )
     fallback = F.concat_ws("|", "company", "title", "location")

@@ -82,7 +82,7 @@ def _posting(
         F.col("source_id").alias("source"), "page_no", "pos", *[columns[c].alias(c) for c in POSTING[3:]]
     )
     texts = ("title", "company", "location", "description", *also)
-    return raw.withColumns({name: tx.clean_text(name, exact) for name in texts})
+    return tx.cleaned(raw, texts, exact)
 
 
 def adapt_himalayas(landed: DataFrame, exact: bool = True) -> DataFrame:
