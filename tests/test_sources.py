@@ -100,7 +100,7 @@ def test_a_huge_salary_is_no_salary(spark):
     assert [r.salary_min for r in got] == [None]
     a = {"jobs": [{"guid": "1", "title": "T", "companyName": "C", "minSalary": 10**18}]}
     landed = pages(spark, [(1, a)]).withColumn("source_id", F.lit("himalayas"))
-    assert [r.salary_min for r in feeds.adapt_himalayas(landed).collect()] == [None]
+    assert [r.salary_min for r in feeds.adapt(landed, "himalayas").collect()] == [None]
 
 
 def test_rejects(spark):
@@ -139,7 +139,7 @@ def test_builtin_feeds(spark):
     assert rows["himalayas"].published_at == "" and rows["himalayas"].salary_max is None
     assert (rows["jobicy"].source_id, rows["jobicy"].employment_type) == ("7", "FULL_TIME")
     assert (rows["remoteok"].apply_url, rows["remoteok"].employment_type) == ("u2", "FULL_TIME")
-    raw = feeds.adapt_jobicy(landed_pages.filter("source_id = 'jobicy'")).first()
+    raw = feeds.adapt(landed_pages, "jobicy").first()
     assert raw.employment_type == "full-time, x"
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import null_safe_join
+from tidemark.session import written
 from tidemark.sources.snapshots import StateTable
 
 #: Consecutive failures after which a source is in ERROR.
@@ -75,8 +76,8 @@ def run_log(
     """Crawl-log rows of one scheduled run.
 
     Every queued source starts and then succeeds with its counts, or fails where
-    pages were rejected and nothing could be mapped; sources that are not due are
-    skipped.
+    pages were rejected and so nothing was mapped (``feeds.union_feeds`` maps complete
+    runs only); sources that are not due are skipped.
     """
     as_of = (F.lit(as_of) if isinstance(as_of, int) else as_of).cast("bigint")
     types = {"n_new": "NEW", "n_changed": "CHANGED", "n_unchanged": "UNCHANGED"}
@@ -214,7 +215,9 @@ def advance(table: StateTable, rows: DataFrame, batch: int, log: DataFrame | Non
     if table.applied(batch, stream):
         return False
     stored = table.read()
+    # Written, as the merge reads it several times.
     fresh = summarise(rows, stored)
+    fresh = fresh if stored is None else written(fresh, "summaries")
     return table.upsert(fresh if stored is None else merge(stored, fresh, log), batch, stream)
 
 

@@ -10,7 +10,7 @@ from tidemark.operators import registry as rg
 from tidemark.operators import source_state as ss
 from tidemark.plans import views
 from tidemark.plans.catalogue import query
-from tidemark.session import work_dir
+from tidemark.session import work_dir, written
 from tidemark.sources import messages as ms
 from tidemark.sources.landed import seed_rows
 
@@ -78,9 +78,10 @@ def source_state_hot_sources(spark, sf_dir):
     log = views.crawl_log(spark, sf_dir)
     low, high = log.agg(F.min("ts"), F.max("ts")).first()
     cut = F.least(F.floor((F.col("ts") - low) * 3 / (high - low + 1)), F.lit(2))
-    merged = ss.summarise(log.filter(cut == 0))
+    merged = written(ss.summarise(log.filter(cut == 0)), "summaries")
     for i in (1, 2):
-        merged = ss.merge_all(merged, ss.summarise(log.filter(cut == i), merged))
+        fresh = written(ss.summarise(log.filter(cut == i), merged), "summaries")
+        merged = written(ss.merge_all(merged, fresh), "summaries")
     return ss.shown(merged).select(*_STATE_COLUMNS.split(", "))
 
 

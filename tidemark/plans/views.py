@@ -73,10 +73,9 @@ from {events}
 SPARK_LOG_SQL = _LOG_SQL.replace("{TS}", "unix_seconds(cast(ts as timestamp))")
 DUCK_LOG_SQL = _LOG_SQL.replace("{TS}", "cast(floor(epoch(ts)) as bigint)")
 
-#: One landed page per ten parts and feed; every ninth page is empty and ends the run.
-PAYLOADS_SQL = """
-select concat('custom-', cast(k % 5 as varchar(5))) as source_id, cast(floor(k/50) as bigint) as page_no,
-  case when cast(floor(k/50) as bigint) % 9 = 8 then null else k end as k,
+_PAYLOADS_SQL = """
+select concat('custom-', cast({FEED} as varchar(20))) as source_id, {PAGE} as page_no,
+  case when {EMPTY} then null else k end as k,
   concat('{{"id":"p', cast(k as varchar(20)), '","position":{{"title":"', p_name, ' &amp; co"}},"employer":',
     case when k % 13 = 0 then 'null' else concat('{{"name":"', p_brand, '"}}') end,
     ',"tags":["', lower(p_type), '","full-time"],"pay":',
@@ -85,6 +84,21 @@ select concat('custom-', cast(k % 5 as varchar(5))) as source_id, cast(floor(k/5
 from (select p_partkey as k, p_name, p_brand, p_type from {part}) as x
 """
 
+
+def _payloads(feed: str, page: str, empty: str) -> str:
+    return _PAYLOADS_SQL.replace("{FEED}", feed).replace("{PAGE}", page).replace("{EMPTY}", empty)
+
+
+#: A landed page per ten parts, a configured feed per four pages: feeds grow with the parts.
+PAYLOADS_SQL = _payloads("cast(floor(k / 40) as bigint)", "cast(floor(k % 40 / 10) as bigint)", "1 = 0")
+#: Feeds of fifteen pages, beyond the ten a configuration asks for; every other feed has an
+#: empty page among them, which ends its run.
+STOPPED_SQL = _payloads(
+    "cast(floor(k / 150) as bigint)",
+    "cast(floor(k % 150 / 10) as bigint)",
+    "cast(floor(k / 150) as bigint) % 2 = 1 and cast(floor(k % 150 / 10) as bigint) = 6",
+)
+
 #: Feed-shaped objects of the three built-in feeds, ten per page.
 FEED_ITEMS_SQL = """
 select s_suppkey as k, cast(floor(s_suppkey/10) as bigint) as page_no,

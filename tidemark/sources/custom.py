@@ -1,8 +1,8 @@
 """Feeds described by configuration rows instead of code.
 
 A configuration row has ``source_id`` and ``api_config`` with ``records_path``,
-``fields`` (map of posting column to dotted path) and ``pagination``.  The paths
-are data: payloads join their configuration and one scan maps all feeds.
+``fields`` (map of posting column to dotted path) and ``pagination``.  It becomes a
+settings row of :mod:`tidemark.sources.mapping`.
 """
 
 from __future__ import annotations
@@ -10,32 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import as_text, get_path, number_at
-from tidemark.functions.text import cleaned, employment_type
-from tidemark.functions.values import MONEY, first_filled
-from tidemark.sources.landed import is_object, parse_bodies, record_list
+from tidemark.functions.text import employment_type
+from tidemark.sources import mapping
+from tidemark.sources.mapping import CUSTOM, FIELDS, readable_pages  # noqa: F401
 
 CONFIG_TYPE = (
     "struct<endpoint:string,records_path:string,fields:map<string,string>,"
     "pagination:struct<type:string,page_parameter:string,start_page:bigint,max_pages:bigint>>"
 )
-#: Posting columns a configuration may map.
-FIELDS = (
-    "source_id",
-    "title",
-    "company",
-    "location",
-    "employment_type",
-    "salary_min",
-    "salary_max",
-    "description",
-    "apply_url",
-    "published_at",
-)
 #: Pages a configuration may ask for (checked by ``quality.config_lint``, never clamped here).
 MAX_PAGES = 10
-#: Pages of a configuration that names none.
-DEFAULT_PAGES = 3
 PREVIEW_ROWS = 3
 
 
@@ -45,83 +29,32 @@ def clean_mapping(fields: Column) -> Column:
     return F.map_filter(trimmed, lambda _, path: F.coalesce(path, F.lit("")) != "")
 
 
-def with_records(landed: DataFrame, configs: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Parsed pages with their mapping and the array of records, or a reject reason."""
-    parsed = parse_bodies(landed, max_bytes)
-    settings = configs.select(
+def settings(configs: DataFrame, source_ord: int = 0) -> DataFrame:
+    """Settings rows of configured feeds; a paged feed that names no limit has none."""
+    empty = mapping.text_map({})
+    return configs.select(
         "source_id",
-        clean_mapping(F.col("api_config.fields")).alias("fields"),
+        F.lit(CUSTOM).alias("adapter"),
+        F.lit(source_ord).alias("source_ord"),
         F.trim(F.coalesce("api_config.records_path", F.lit("jobs"))).alias("records_path"),
+        clean_mapping(F.col("api_config.fields")).alias("fields"),
+        empty.alias("others"),
+        empty.alias("lists"),
+        F.lit(False).alias("required"),
         F.upper(F.coalesce("api_config.pagination.type", F.lit("NONE"))).alias("__paging"),
-        F.coalesce("api_config.pagination.start_page", F.lit(1)).alias("__start"),
-        F.coalesce("api_config.pagination.max_pages", F.lit(DEFAULT_PAGES)).alias("__pages"),
-    )
-    joined = parsed.join(settings, "source_id").withColumn(
-        "records", record_list(F.col("body"), F.col("records_path"))
+        F.coalesce("api_config.pagination.start_page", F.lit(1)).cast("bigint").alias("__start"),
+        F.col("api_config.pagination.max_pages").cast("bigint").alias("__pages"),
     )
-    reject = F.coalesce("reject", F.when(F.col("records").isNull(), F.lit("no_record_array")))
-    return joined.withColumn("reject", reject)
 
 
-def _run(pages: DataFrame) -> DataFrame:
-    """Pages of the configured range before the first empty one, with ``__bad`` where a
-    page of the same run was rejected.
-
-    A feed without paging lands a single page, which is always in range.  Two
-    numbers per source are computed; no page is ordered against another.
-    """
-    paged = F.col("__paging") == "PAGE"
-    since_start = F.col("page_no") - F.col("__start")
-    in_range = pages.filter(~paged | ((since_start >= 0) & (since_start < F.col("__pages"))))
-    marks = in_range.groupBy("source_id").agg(
-        F.min(F.when(F.size("records") == 0, F.col("page_no"))).alias("__stop"),
-        F.min(F.when(F.col("reject").isNotNull(), F.col("page_no"))).alias("__broken"),
-    )
-    run = in_range.join(marks, "source_id").filter(
-        F.col("__stop").isNull() | (F.col("page_no") < F.col("__stop"))
-    )
-    broken = F.col("__broken").isNotNull() & (
-        F.col("__stop").isNull() | (F.col("__broken") < F.col("__stop"))
-    )
-    return run.withColumn("__bad", broken).drop("__stop", "__broken")
-
-
-def readable_pages(pages: DataFrame) -> DataFrame:
-    """Pages of the feeds whose run is complete.
-
-    A rejected page fails the run of its feed: a feed with a gap would pass for a
-    complete one.  :func:`rejected_pages` names the pages.
-    """
-    return _run(pages).filter(~F.col("__bad")).drop("__bad")
+def with_records(landed: DataFrame, configs: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Parsed pages with their settings and the array of records, or a reject reason."""
+    return mapping.with_records(landed, settings(configs), max_bytes)
 
 
 def mapped(pages: DataFrame, exact: bool = True) -> DataFrame:
     """Posting rows of the valid records: objects with a title and a company."""
-    records = pages.select(
-        "source_id", "page_no", "fields", F.posexplode_outer("records").alias("pos", "record")
-    ).filter(is_object("record"))
-
-    # Extracted, read as text and cleaned in three projections: each step uses
-    # its input several times, and a projection keeps it from being repeated.
-    values = records.select(
-        F.col("source_id").alias("source"),
-        "page_no",
-        "pos",
-        *[get_path(F.col("record"), F.col("fields")[name]).alias(name) for name in FIELDS],
-    )
-    salaries = ("salary_min", "salary_max")
-    texts = [name for name in FIELDS if name not in salaries]
-    read = values.withColumns(
-        {
-            **{name: as_text(F.col(name)) for name in texts},
-            **{name: number_at(F.col(name)).try_cast(MONEY) for name in salaries},
-        }
-    )
-    rows = cleaned(read, texts, exact).filter(
-        (F.col("title") != "") & (F.col("company") != "")
-    )
-    fallback = F.concat_ws("|", "company", "title", "location")
-    return rows.withColumn("source_id", F.coalesce(first_filled("source_id", "apply_url"), fallback))
+    return mapping.mapped(pages, exact).drop("adapter", "source_ord")
 
 
 def capped(postings: DataFrame, limit: int) -> DataFrame:

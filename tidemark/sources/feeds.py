@@ -1,160 +1,85 @@
-"""Built-in feed adapters and dispatch by source type.
+"""Built-in feeds, dispatch by source type, and all feeds in one table.
 
-An adapter turns landed payloads ``(source_id, page_no, payload)`` into posting
-rows; its text columns are cleaned, derived columns are added by ``finalize``.
+Built-in feeds are described by data like configured ones (see ``mapping``); all
+landed payloads ``(source_id, page_no, payload)`` are mapped by one scan and one
+projection.  Text columns are cleaned, derived columns are added by ``finalize``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as tx
 from tidemark.functions.identity import finalize
-from tidemark.functions.paths import as_text, text_at
-from tidemark.functions.values import MONEY
-from tidemark.sources import custom
-from tidemark.sources.landed import explode_records, parse_bodies, record_list
-
-Adapter = Callable[[DataFrame, bool], DataFrame]
+from tidemark.sources import custom, mapping
+from tidemark.sources.mapping import Adapter
 
 #: Columns every adapter yields, in order.
-POSTING = (
-    "source",
-    "page_no",
-    "pos",
-    "source_id",
-    "title",
-    "company",
-    "location",
-    "employment_type",
-    "salary_min",
-    "salary_max",
-    "description",
-    "apply_url",
-    "published_at",
-)
-
-#: Tags of the third feed that name an employment type.
-EMPLOYMENT_TAGS = (
-    "full time",
-    "full-time",
-    "part time",
-    "part-time",
-    "contract",
-    "contractor",
-    "freelance",
-    "internship",
-    "intern",
-    "temporary",
-    "temp",
-)
-
-
-def _value(path: str) -> Column:
-    return F.try_variant_get("record", path, "variant")
-
-
-def _list(path: str) -> Column:
-    return F.try_variant_get("record", path, "array<variant>")
-
+POSTING = ("source", "page_no", "pos", *mapping.FIELDS)
 
-def _or_empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
-def _text(path: str) -> Column:
-    return text_at("record", path)
-
-
-def _money(path: str) -> Column:
-    return F.try_variant_get("record", path, "double").try_cast(MONEY)
-
-
-def _posting(
-    records: DataFrame, columns: Mapping[str, Column], exact: bool, also: tuple[str, ...] = ()
-) -> DataFrame:
-    """Posting rows; the values are extracted first and cleaned in a second
-    projection, so an extraction is not repeated inside the cleaning."""
-    raw = records.select(
-        F.col("source_id").alias("source"), "page_no", "pos", *[columns[c].alias(c) for c in POSTING[3:]]
-    )
-    texts = ("title", "company", "location", "description", *also)
-    return tx.cleaned(raw, texts, exact)
-
-
-def adapt_himalayas(landed: DataFrame, exact: bool = True) -> DataFrame:
-    """``jobs[]`` objects; a list of location restrictions becomes one text."""
-    records = explode_records(parse_bodies(landed), record_list(F.col("body"), "jobs"))
-    places = F.array_join(F.transform(_list("$.locationRestrictions"), as_text), ", ")
-    link = _text("$.applicationLink")
-    columns = {
-        "source_id": _or_empty(F.coalesce(F.nullif(_text("$.guid"), F.lit("")), link)),
-        "title": _text("$.title"),
-        "company": _text("$.companyName"),
-        "location": F.coalesce(places, _text("$.locationRestrictions")),
-        "employment_type": _text("$.employmentType"),
-        "salary_min": _money("$.minSalary"),
-        "salary_max": _money("$.maxSalary"),
-        "description": _text("$.description"),
-        "apply_url": _or_empty(link),
-        "published_at": _or_empty(_text("$.pubDate")),
-    }
-    return _posting(records, columns, exact, also=("employment_type",))
-
-
-def adapt_jobicy(landed: DataFrame, exact: bool = True) -> DataFrame:
-    """``jobs[]`` objects; job types are cleaned one by one, salaries are absent."""
-    records = explode_records(parse_bodies(landed), record_list(F.col("body"), "jobs"))
-    # The elements are cleaned natively here; the joined text passes the exact
-    # tier afterwards, which settles what the native chain left.
-    types = F.array_join(F.transform(_list("$.jobType"), lambda t: tx.clean_text(as_text(t))), ", ")
-    columns = {
-        "source_id": _or_empty(_text("$.id")),
-        "title": _text("$.jobTitle"),
-        "company": _text("$.companyName"),
-        "location": _text("$.jobGeo"),
-        "employment_type": F.coalesce(types, _text("$.jobType")),
-        "salary_min": F.lit(None).cast(MONEY),
-        "salary_max": F.lit(None).cast(MONEY),
-        "description": _text("$.jobDescription"),
-        "apply_url": _or_empty(_text("$.url")),
-        "published_at": _or_empty(_text("$.pubDate")),
-    }
-    return _posting(records, columns, exact, also=("employment_type",))
-
-
-def adapt_remoteok(landed: DataFrame, exact: bool = True) -> DataFrame:
-    """Top-level array; metadata items and non-objects are dropped."""
-    records = explode_records(parse_bodies(landed), record_list(F.col("body"), "$"))
-    records = records.filter(_value("$.position").isNotNull())
-    tags = F.transform(_list("$.tags"), lambda t: F.lower(tx.clean_text(as_text(t))))
-    kept = F.array_join(F.filter(tags, lambda t: t.isin(*EMPLOYMENT_TAGS)), ", ")
-    columns = {
-        "source_id": _or_empty(_text("$.id")),
-        "title": _text("$.position"),
-        "company": _text("$.company"),
-        "location": _text("$.location"),
-        "employment_type": _or_empty(kept),
-        "salary_min": _money("$.salary_min"),
-        "salary_max": _money("$.salary_max"),
-        "description": _text("$.description"),
-        "apply_url": _or_empty(F.coalesce(F.nullif(_text("$.apply_url"), F.lit("")), _text("$.url"))),
-        "published_at": _or_empty(_text("$.date")),
-    }
-    return _posting(records, columns, exact)
-
-
-#: Built-in adapters by source id; extend the mapping to add feeds.
+# Where each built-in feed keeps its records and their parts.
 BUILTIN: dict[str, Adapter] = {
-    "himalayas": adapt_himalayas,
-    "jobicy": adapt_jobicy,
-    "remoteok": adapt_remoteok,
+    "himalayas": Adapter(
+        records="jobs",
+        fields={
+            "source_id": "guid",
+            "title": "title",
+            "company": "companyName",
+            "location": "locationRestrictions",
+            "employment_type": "employmentType",
+            "salary_min": "minSalary",
+            "salary_max": "maxSalary",
+            "description": "description",
+            "apply_url": "applicationLink",
+            "published_at": "pubDate",
+        },
+        others={"source_id": "applicationLink"},
+        lists={"location": "join"},
+    ),
+    "jobicy": Adapter(
+        records="jobs",
+        fields={
+            "source_id": "id",
+            "title": "jobTitle",
+            "company": "companyName",
+            "location": "jobGeo",
+            "employment_type": "jobType",
+            "description": "jobDescription",
+            "apply_url": "url",
+            "published_at": "pubDate",
+        },
+        lists={"employment_type": "clean"},
+    ),
+    "remoteok": Adapter(
+        records="$",
+        fields={
+            "source_id": "id",
+            "title": "position",
+            "company": "company",
+            "location": "location",
+            "employment_type": "tags",
+            "salary_min": "salary_min",
+            "salary_max": "salary_max",
+            "description": "description",
+            "apply_url": "apply_url",
+            "published_at": "date",
+        },
+        others={"apply_url": "url"},
+        lists={"employment_type": "tags"},
+        required=True,
+    ),
 }
 
 
+def adapt(landed: DataFrame, name: str, exact: bool = True, adapters: Mapping[str, Adapter] = BUILTIN) -> DataFrame:
+    """Posting rows of one built-in feed: every readable page, whatever the others hold."""
+    known = mapping.builtin_settings(landed.sparkSession, {name: adapters[name]})
+    pages = mapping.with_records(landed, known).filter("reject is null")
+    return mapping.mapped(pages, exact).select(*POSTING)
+
+
 def dispatch(sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN) -> DataFrame:
     """Adds ``adapter`` to each source: a built-in name, ``custom`` or null (unknown)."""
     kind = F.upper(F.coalesce(F.nullif(F.col("source_type"), F.lit("")), F.lit("BUILTIN")))
@@ -165,19 +90,18 @@ def dispatch(sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN) -> D
     )
 
 
-#: Where a built-in feed keeps its records.
-RECORD_PATHS = {"himalayas": "jobs", "jobicy": "jobs", "remoteok": "$"}
-
-
-def routed(landed: DataFrame, sources: DataFrame, name: str, adapters: Mapping[str, Adapter]) -> DataFrame:
-    """Payloads the built-in adapter ``name`` serves: those of its id, unless the
-    registry gives that id another type."""
-    mine = landed.filter(F.col("source_id") == name)
+def settings(landed: DataFrame, sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN) -> DataFrame:
+    """Settings of all feeds: built-in ones, unless the registry gives their id another
+    type, and configured ones.  Built-in feeds need no registry row."""
+    out = mapping.builtin_settings(landed.sparkSession, adapters)
     if "source_type" not in sources.columns:
-        return mine
-    own = dispatch(sources.filter(F.col("source_id") == name), adapters)
-    other = own.filter(~F.col("adapter").eqNullSafe(F.lit(name))).select("source_id")
-    return mine.join(other, "source_id", "left_anti")
+        return out
+    known = dispatch(sources, adapters)
+    other = known.filter(F.col("source_id").isin(*adapters) & ~F.col("adapter").eqNullSafe(F.col("source_id")))
+    out = out.join(other.select("source_id"), "source_id", "left_anti")
+    if "api_config" in sources.columns:
+        out = out.unionByName(custom.settings(known.filter(F.col("adapter") == mapping.CUSTOM), len(adapters)))
+    return out
 
 
 def union_feeds(
@@ -186,53 +110,25 @@ def union_feeds(
     adapters: Mapping[str, Adapter] = BUILTIN,
     exact: bool = True,
     derive: bool = True,
-    limit: int | None = None,
 ) -> DataFrame:
-    """Postings of all feeds in one table, with ``source_ord`` in feed order.
-
-    Each branch filters on ``source_id``, so a landing table partitioned by that
-    column is read once in total.  :func:`rejects` has what gives no posting.
-    """
-    branches = []
-    for ord_, (name, adapter) in enumerate(adapters.items()):
-        mine = adapter(routed(landed, sources, name, adapters), exact)
-        branches.append(mine.withColumn("source_ord", F.lit(ord_)))
-    if "api_config" in sources.columns:
-        configured = dispatch(sources, adapters).filter("adapter = 'custom'")
-        mine = custom.map_records(landed, configured, limit, exact)
-        branches.append(mine.select(*POSTING).withColumn("source_ord", F.lit(len(adapters))))
-    out = branches[0]
-    for branch in branches[1:]:
-        out = out.unionByName(branch)
+    """Postings of all feeds whose run is complete, in one table, with ``source_ord`` in
+    feed order.  :func:`rejects` has the pages that could not be read."""
+    pages = mapping.with_records(landed, settings(landed, sources, adapters))
+    out = mapping.mapped(mapping.readable_pages(pages), exact).drop("adapter")
     return finalize(out) if derive else out
 
 
-def rejects(
-    landed: DataFrame,
-    sources: DataFrame,
-    adapters: Mapping[str, Adapter] = BUILTIN,
-    paths: Mapping[str, str] = RECORD_PATHS,
-) -> DataFrame:
+def rejects(landed: DataFrame, sources: DataFrame, adapters: Mapping[str, Adapter] = BUILTIN) -> DataFrame:
     """``(source_id, page_no, reason)`` of every landed page that gives no postings:
     unreadable bodies of built-in and configured feeds, and pages no adapter serves."""
-    parts = []
-    for name in adapters:
-        bodies = parse_bodies(routed(landed, sources, name, adapters))
-        missing = F.when(record_list(F.col("body"), paths.get(name, "$")).isNull(), F.lit("no_record_array"))
-        reason = F.coalesce("reject", missing)
-        parts.append(bodies.select("source_id", "page_no", reason.alias("reason")).filter("reason is not null"))
-    known = sources
-    if "api_config" in sources.columns:
-        configured = dispatch(sources, adapters).filter("adapter = 'custom'")
-        bad = custom.rejected_pages(landed, configured)
-        parts.append(bad.select("source_id", "page_no", F.col("reject").alias("reason")))
-    unserved = unknown_payloads(landed, known, adapters)
-    # Built-in feeds need no registry row.
-    parts.append(unserved.filter(~(F.col("source_id").isin(*adapters) & (F.col("reason") == "unknown_source"))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    pages = mapping.with_records(landed, settings(landed, sources, adapters), how="left")
+    types = F.lit(None).cast("string") if "source_type" not in sources.columns else F.col("source_type")
+    known = sources.groupBy("source_id").agg(F.max(types).alias("__type"))
+    unserved = F.when(F.col("__type").isNull(), F.lit("unknown_source")).otherwise(F.lit("unsupported_source_type"))
+    reason = F.when(F.col("adapter").isNull(), unserved).otherwise(F.col("reject"))
+    narrow = pages.select("source_id", "page_no", "adapter", "reject").filter("adapter is null or reject is not null")
+    judged = narrow.join(known, "source_id", "left")
+    return judged.select("source_id", "page_no", reason.alias("reason"))
 
 
 def unknown_payloads(
