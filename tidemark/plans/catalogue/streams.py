@@ -17,6 +17,7 @@ from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.catalogue.sync import postings, spec
 from tidemark.session import work_dir
 from tidemark.sources.snapshots import StateTable
+from tidemark.streaming.feed_source import ChangeFeed
 from tidemark.streaming.requests import request_stream
 from tidemark.streaming.stateful import ROCKSDB, stateful_fold
 from tidemark.streaming.sync import sync_batch, sync_stream
@@ -110,6 +111,42 @@ def stream_watch_key(spark, sf_dir):
     return watched.select("canonical_job_id", "seq", "event_name", "has_old_image", "has_new_image")
 
 
+@query(
+    "stream_feed_versions",
+    f"""{q.sync_cte()} select canonical_job_id, seq, case change_type when 'NEW' then 'INSERT' else 'MODIFY' end as event_name,
+          change_count from f where written""",
+)
+def stream_feed_versions(spark, sf_dir):
+    """The change feed through its own source: a version at a time, restarted in between;
+    a run more than there are versions reads nothing twice."""
+    _, root = synced(spark, sf_dir)
+    for _ in range(N_PARTS + 1):
+        _followed(spark, root, "all", versionsPerBatch="1")
+    events = spark.read.parquet(f"{root}/followed-all")
+    return events.select("canonical_job_id", "seq", "event_name", F.col("after.change_count").alias("change_count"))
+
+
+@query(
+    "stream_feed_key",
+    f"""{q.sync_cte()} select canonical_job_id, seq, case change_type when 'NEW' then 'INSERT' else 'MODIFY' end as event_name
+        from f where written and canonical_job_id = (select max(canonical_job_id) from j)""",
+)
+def stream_feed_key(spark, sf_dir):
+    """Events of one key: the source itself skips row groups and rows of other keys."""
+    table, root = synced(spark, sf_dir)
+    key = table.read().agg(F.max("canonical_job_id")).first()[0]
+    _followed(spark, root, "key", keyColumn="canonical_job_id", keyValue=key)
+    return spark.read.parquet(f"{root}/followed-key").select("canonical_job_id", "seq", "event_name")
+
+
+def _followed(spark, root: str, name: str, **options: str) -> None:
+    """Writes what the feed holds now into ``followed-<name>``."""
+    spark.dataSource.register(ChangeFeed)
+    schema = spark.read.parquet(f"{root}/feed").drop("v").schema
+    feed = spark.readStream.format("change_feed").schema(schema).options(path=f"{root}/feed", **options).load()
+    run_until(feed, f"{root}/followed-{name}", f"{root}/followed-{name}-checkpoint")
+
+
 _ROUTED = f"""{src.MESSAGES_SQL}, rt as (select message_id, source_id, outcome, cast(cast(message_id as bigint) % 3 + 1 as bigint) as attempts from chk)"""
 
 
