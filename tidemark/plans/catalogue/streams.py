@@ -15,11 +15,11 @@ from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sources as src
 from tidemark.plans.catalogue import sqltext as q
 from tidemark.plans.catalogue.sync import postings, spec
-from tidemark.session import work_dir
+from tidemark.session import work_dir, written
 from tidemark.sources.snapshots import StateTable
 from tidemark.streaming.feed_source import ChangeFeed
 from tidemark.streaming.requests import request_stream
-from tidemark.streaming.stateful import ROCKSDB, stateful_fold
+from tidemark.streaming.stateful import held, stateful_fold, verdicts
 from tidemark.streaming.sync import sync_batch, sync_stream
 from tidemark.streaming.watch import read_feed, run_until, watch_key
 
@@ -215,23 +215,51 @@ def stream_counters(spark, sf_dir):
 def stream_state_store(spark, sf_dir):
     """The fold with its state in the streaming state store."""
     root = work_dir(spark, "state-store")
-    rows = postings(spark, sf_dir).select(
+    rows = written(_hashed(postings(spark, sf_dir)), "hashed")
+    for i in range(N_PARTS):
+        _land(_first_part(rows, i), f"{root}/in/part={i}")
+        stateful_fold(_landed(spark, root, rows), f"{root}/out", f"{root}/checkpoint", hot_rows=50)
+    return verdicts(spark, f"{root}/out")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("canonical_job_id").alias("key"), "seq", spec().hash.alias("hash"), F.col("seq").alias("at")
     )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
 
-    def run(stream: DataFrame) -> StreamingQuery:
-        folded = stateful_fold(stream).writeStream.format("parquet")
-        folded = folded.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-        return folded.start(f"{root}/out")
-
-    try:
-        in_parts(rows, "seq", f"{root}/in", run)
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.parquet(f"{root}/out")
+
+def _land(rows: DataFrame, path: str) -> None:
+    rows.write.parquet(path)
+
+
+def _landed(spark, root: str, rows: DataFrame) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+
+
+@query(
+    "stream_state_handover",
+    f"""{q.sync_cte()} select canonical_job_id as key, cast(min(first_seen) as bigint) as first_seen, cast(max(change_count) as bigint) as changes,
+          true as same_hash from f group by 1""",
+)
+def stream_state_handover(spark, sf_dir):
+    """A stored table hands its state to the state store, which folds the other two
+    thirds; what the store holds then is read back and laid beside the whole fold."""
+    root = work_dir(spark, "handover")
+    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    table = StateTable(spark, f"{root}/state", spec().key)
+    sync_batch(_first_part(rows, 0), 0, spec(), table, root)
+    stored = table.read().select(
+        F.col("canonical_job_id").alias("key"), spec().hash.alias("hash"), "first_seen",
+        F.col("change_count").alias("changes"),
+    )
+    hashed = written(_hashed(rows), "hashed")
+    stored = written(stored, "stored")
+    for i in (1, 2):
+        _land(_first_part(hashed, i), f"{root}/in/part={i}")
+        stateful_fold(_landed(spark, root, hashed), f"{root}/out", f"{root}/checkpoint", stored)
+    last = hashed.groupBy("key").agg(F.max_by("hash", "seq").alias("__last"))
+    now = held(spark, f"{root}/checkpoint").join(last, "key")
+    return now.select("key", "first_seen", "changes", (F.col("hash") == F.col("__last")).alias("same_hash"))
 
 
 def _first_part(rows: DataFrame, part: int) -> DataFrame:
