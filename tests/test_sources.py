@@ -196,3 +196,42 @@ def test_state_table_compacts_by_itself(spark, tmp_path):
         assert table.upsert(spark.createDataFrame([(f"k{i % 3}", i)], "id string, v bigint"), i)
     assert sorted((r.id, r.v) for r in table.read().collect()) == [("k0", 3), ("k1", 4), ("k2", 5)]
     assert len(table.versions()) > 6
+
+
+def scanned_rows(df):
+    """Rows that the Parquet scans of a plan gave, after skipping row groups."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves, total = plan.collectLeaves(), 0
+    for i in range(leaves.size()):
+        node = leaves.apply(i)
+        node = node.plan() if "QueryStage" in node.nodeName() else node
+        if "Scan parquet" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    spark.conf.set("parquet.block.size", "65536")
+    table = StateTable(spark, str(tmp_path / "state"), ["id"], prefix=1)
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.col("id").alias("v"))
+    try:
+        for part in range(4):
+            # Deltas hold scattered keys: their ranges overlap, only the filters tell them apart.
+            table.upsert(rows.filter(F.col("v") % 4 == part).coalesce(1), part)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    ids = [r.id for r in rows.filter("v in (5, 17, 39999)").collect()]
+    asked = spark.createDataFrame([(i,) for i in [*ids, "none"]], "id string")
+    found = table.lookup(asked)
+    assert sorted(r.v for r in found.collect()) == [5, 17, 39999]
+    deltas = spark.read.parquet(f"{table.root}/delta").filter(F.col("id") == ids[0])
+    assert scanned_rows(deltas) <= 10_000 < 40_000
+    assert scanned_rows(spark.read.parquet(f"{table.root}/delta").filter("id = 'none'")) == 0
+    table.compact()
+    assert sorted(r.v for r in table.lookup(asked).collect()) == [5, 17, 39999]
+    # A null key, or too many keys, read the whole table and find the same rows.
+    more = asked.unionByName(spark.createDataFrame([(None,)], "id string"))
+    assert sorted(r.v for r in table.lookup(more).collect()) == [5, 17, 39999]
+    assert sorted(r.v for r in table.lookup(asked, most=1).collect()) == [5, 17, 39999]

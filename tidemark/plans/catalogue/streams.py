@@ -314,3 +314,19 @@ def state_delete(spark, sf_dir):
     table.compact()
     table.upsert(done.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("again")))
     return table.read()
+
+
+@query(
+    "state_lookup",
+    """select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 64 = 1 and o_orderstatus <> 'F'""",
+)
+def state_lookup(spark, sf_dir):
+    """Orders stored and compacted, finished ones deleted; some asked for by key."""
+    root = work_dir(spark, "lookup")
+    orders = views.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = StateTable(spark, root, ["o_orderkey"])
+    table.upsert(orders)
+    table.compact()
+    table.delete(orders.filter("o_orderstatus = 'F'"))
+    asked = orders.select("o_orderkey").filter("o_orderkey % 64 = 1")
+    return table.lookup(asked, most=asked.count())

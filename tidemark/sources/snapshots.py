@@ -10,6 +10,8 @@ Layout under ``root``::
 A version exists once its commit directory has a ``_SUCCESS`` marker: data is
 written first, the marker last, and nothing is ever overwritten in place.  A
 sync writes only the rows that changed; ``compact`` folds deltas into a base.
+Files are sorted by key and carry a Bloom filter on it, so a read for a short list
+of keys skips the row groups that cannot hold them.
 Versions count writes of the table; batches are known by ``(stream, batch)``, so
 a compaction between two micro-batches takes no number from them.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 _VERSION = "__version"
 _GONE = "__gone"
+#: Keys that a read may name; longer lists are read by a whole scan and a join.
+MOST_KEYS = 1_000
 
 
 class StateTable:
@@ -95,7 +99,8 @@ class StateTable:
         version = self.next_version()
         # Rebalancing sizes the files of each prefix and splits large prefixes.
         merged = self.read().withColumn("p", self._prefix()).hint("rebalance", "p")
-        merged.write.mode("overwrite").partitionBy("p").parquet(f"{self.root}/base/v={version}")
+        merged = merged.sortWithinPartitions("p", *self.key)
+        self._filtered(merged).partitionBy("p").parquet(f"{self.root}/base/v={version}")
         self._commit(version, version, version + 1, None, None)
         return version
 
@@ -109,10 +114,15 @@ class StateTable:
         version = 0 if last is None else last.v + 1
         base, first = (-1, version) if last is None else (last.base, min(last.first_delta, version))
         # Only this uncommitted version is overwritten, when a run is repeated.
-        rows.write.mode("overwrite").parquet(f"{self.root}/delta/{_VERSION}={version}")
+        ordered = rows.sortWithinPartitions(*self.key)
+        self._filtered(ordered).parquet(f"{self.root}/delta/{_VERSION}={version}")
         self._commit(version, base, first, batch, stream)
         return True
 
+    def _filtered(self, rows: DataFrame):
+        """A writer that adds a Bloom filter on the first key column to each row group."""
+        return rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.key[0]}", "true")
+
     def _commit(self, version: int, base: int, first_delta: int, batch: int | None, stream: str | None) -> None:
         marker = self.spark.range(1).select(
             F.lit(base).cast("bigint").alias("base"),
@@ -150,6 +160,22 @@ class StateTable:
         kept = base.join(changed.select(*self.key), self.key, "left_anti")
         return kept.unionByName(live, allowMissingColumns=True)
 
+    def read_for(self, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame | None:
+        """Rows whose key may occur in ``keys``: row groups without one of them are skipped
+        where there are at most ``most`` texts or whole numbers; else the whole table."""
+        if self._last() is None:
+            return None
+        asked = [r[0] for r in keys.select(self.key[0]).distinct().limit(most + 1).collect()]
+        plain = all(isinstance(k, (str, int)) and not isinstance(k, bool) for k in asked)
+        if len(asked) > most or not plain:
+            return self.read()
+        return self.read(keys=asked)
+
+    def lookup(self, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame | None:
+        """The stored rows of the listed keys."""
+        found = self.read_for(keys, most)
+        return None if found is None else found.join(keys.select(*self.key).distinct(), self.key, "left_semi")
+
     def _looked_up(self, part: str, keys: Sequence[str] | None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{part}")
         if keys is not None:
