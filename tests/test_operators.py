@@ -359,3 +359,31 @@ def test_event_names(spark):
         f"{KEY} string, event_name string, changed_fields array<string>, after struct<title:string,company:string,location:string,status:string>, event_id string")
     got = [r.change_type for r in changes.business_events(feed, [KEY]).collect()]
     assert got == ["NEW_JOB", "DESCRIPTION_CHANGED", "MULTIPLE_CHANGED"]
+
+
+def test_backfill_is_written_once(spark, tmp_path):
+    from tidemark.sources.snapshots import StateTable
+
+    table = StateTable(spark, str(tmp_path / "state"), [KEY])
+    assert maintenance.write_backfill(table) == {"updated": 0, "unchanged": 0}
+    rows = [("a", "Full-Time", "h1", 5), ("b", "FULL_TIME", "h2", 6), ("c", None, "h3", 7)]
+    table.upsert(spark.createDataFrame(rows, f"{KEY} string, employment_type string, content_hash string, last_changed bigint"))
+    assert maintenance.write_backfill(table) == {"updated": 2, "unchanged": 1}
+    assert maintenance.write_backfill(table) == {"updated": 0, "unchanged": 3}
+    got = sorted(tuple(r) for r in table.read().select(KEY, "employment_type", "content_hash", "last_changed").collect())
+    assert got == [("a", "FULL_TIME", "h1", 5), ("b", "FULL_TIME", "h2", 6), ("c", "OTHER", "h3", 7)]
+    # Only what changed was written.
+    assert spark.read.parquet(f"{table.root}/delta/__version=1").count() == 2
+
+
+def test_samples_and_storage_ids(spark):
+    rows = [("x", 2, '{"b":1}'), ("x", 1, '{"a":1,"c":2}'), ("y", 5, "no json")]
+    got = quality.samples(spark.createDataFrame(rows, "feed string, n int, body string"), ["feed"], "body", "n")
+    assert sorted(map(tuple, got.collect())) == [("x", '{"a":1,"c":2}', "a,c"), ("y", "no json", None)]
+    from tidemark.functions.identity import storage_id
+
+    jobs = spark.createDataFrame(
+        [("k", "j", "u"), ("", "j", "u"), (None, None, "u"), (None, "", None)], f"{KEY} string, job_id string, apply_url string"
+    ).withColumns({"source": F.lit("s"), "title": F.lit("t"), "company": F.lit("c")})
+    assert [r[0] for r in jobs.select(storage_id("job_id")).collect()] == ["k", "j", "u", "s:t:c"]
+    assert [r[0] for r in jobs.select(storage_id()).collect()] == ["k", "u", "u", "s:t:c"]

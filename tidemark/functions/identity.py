@@ -139,10 +139,11 @@ def external_id() -> Column:
     )
 
 
-def storage_id() -> Column:
-    """Key under which a posting is remembered in a saved list."""
+def storage_id(job_id: Column | str | None = None) -> Column:
+    """Key under which a posting is remembered in a saved list: its canonical id, else the
+    ``job_id`` of rows that have one, else the URL, else source, title and company."""
     return F.coalesce(
-        first_filled(KEY, "apply_url"),
+        first_filled(*[KEY, job_id, "apply_url"] if job_id is not None else [KEY, "apply_url"]),
         F.concat_ws(
             ":",
             F.coalesce(first_filled("source"), F.lit("job")),

@@ -196,3 +196,12 @@ def feed_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
 def schema_profile(records: DataFrame, by: Sequence[str], body: str) -> DataFrame:
     """The merged schema of each feed's payloads as one type text."""
     return records.groupBy(*by).agg(F.schema_of_variant_agg(F.try_parse_json(body)).alias("schema"))
+
+
+def samples(records: DataFrame, by: Sequence[str], body: str, order: str) -> DataFrame:
+    """The first record of each feed in ``order`` with its fields in order.
+
+    An aggregation that keeps one record per feed and task, not a window over a feed.
+    """
+    first = records.groupBy(*by).agg(F.min_by(body, order).alias("sample"))
+    return first.withColumn("fields", F.array_join(F.json_object_keys("sample"), ","))

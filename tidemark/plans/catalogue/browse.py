@@ -9,6 +9,8 @@ from tidemark.operators import maintenance as mn
 from tidemark.plans import views
 from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sqltext as q
+from tidemark.session import work_dir
+from tidemark.sources.snapshots import StateTable
 from tidemark.plans.catalogue.sync import final_postings
 from tidemark.session import written
 
@@ -159,6 +161,21 @@ def backfill_counts(spark, sf_dir):
     return mn.backfill_counts(orders.select(done.alias("employment_type")))
 
 
+@query(
+    "backfill_written",
+    f"""with v as ({views.duck(views.TEXT_JOBS_SQL)}), k as (select *, {q.employment('employment_type')} as kind from v)
+        select doc_id, title, kind as employment_type, (select count(*) filter (kind <> employment_type) from k) as updated,
+          (select count(*) filter (kind = employment_type) from k) as unchanged, 0 as updated_again from k""",
+)
+def backfill_written(spark, sf_dir):
+    """Postings stored as they came, back-filled in the table, and once more."""
+    table = StateTable(spark, work_dir(spark, "backfill"), ["doc_id"])
+    table.upsert(views.text_jobs(spark, sf_dir).select("doc_id", "title", "employment_type"))
+    first, second = mn.write_backfill(table), mn.write_backfill(table)
+    counts = {"updated": first["updated"], "unchanged": first["unchanged"], "updated_again": second["updated"]}
+    return table.read().withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
+
+
 @query(
     "delete_keys",
     f"with {_FINAL[5:]} select canonical_job_id, title from s where canonical_job_id not in (select canonical_job_id from j where source = 'src3')",

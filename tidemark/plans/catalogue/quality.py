@@ -110,3 +110,37 @@ def feed_profile(spark, sf_dir):
 )
 def feed_schema(spark, sf_dir):
     return ql.schema_profile(views.load(spark, sf_dir, "events"), ["event_type"], "props")
+
+
+_MIXED = """select doc_id, source, case when doc_id % 2 = 0 then concat('{"id":', doc_id, ',"size":', n_chars, ',"lang":"', lang, '"}')
+    else concat('{"id":', doc_id, ',"size":"', n_chars, '"}') end as body from documents"""
+
+
+def mixed_bodies(spark, sf_dir):
+    """Records of two shapes: the size is a number or a text, the language may be absent."""
+    docs = views.load(spark, sf_dir, "documents")
+    number = F.col("n_chars").cast("string")
+    head = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"))
+    even = F.concat(head, F.lit(',"size":'), number, F.lit(',"lang":"'), "lang", F.lit('"}'))
+    odd = F.concat(head, F.lit(',"size":"'), number, F.lit('"}'))
+    return docs.select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("body"))
+
+
+@query(
+    "feed_samples",
+    f"""select source, arg_min(body, doc_id) as sample,
+          case when min(doc_id) % 2 = 0 then 'id,size,lang' else 'id,size' end as fields from ({_MIXED}) group by 1""",
+)
+def feed_samples(spark, sf_dir):
+    return ql.samples(mixed_bodies(spark, sf_dir), ["source"], "body", "doc_id")
+
+
+@query(
+    "feed_schema_merged",
+    f"""select source, concat('OBJECT<id: BIGINT', case when bool_or(json_exists(body, '$.lang')) then ', lang: STRING' else '' end, ', size: ',
+          case when count(distinct json_type(body, '$.size') = 'VARCHAR') = 2 then 'VARIANT'
+            when bool_or(json_type(body, '$.size') = 'VARCHAR') then 'STRING' else 'BIGINT' end, '>') as schema
+        from ({_MIXED}) group by 1""",
+)
+def feed_schema_merged(spark, sf_dir):
+    return ql.schema_profile(mixed_bodies(spark, sf_dir), ["source"], "body")

@@ -171,6 +171,26 @@ def storage_ids(spark, sf_dir):
     return jobs.select("doc_id", storage_id().alias("storage_id"))
 
 
+@query(
+    "storage_ids_job",
+    f"""with v as ({views.duck(views.TEXT_JOBS_SQL)})
+        select doc_id, case doc_id % 4 when 0 then {q.canonical()} when 1 then concat('job-', doc_id) when 2 then apply_url
+          else concat(source, ':', title, ':', company) end as storage_id from v""",
+)
+def storage_ids_job(spark, sf_dir):
+    """Rows with a canonical id and a job id, a job id, a URL, or none of them."""
+    jobs = views.text_jobs(spark, sf_dir)
+    fourth = F.col("doc_id") % 4
+    jobs = jobs.withColumns(
+        {
+            "canonical_job_id": F.when(fourth == 0, canonical_id()).when(fourth == 1, F.lit("")),
+            "job_id": F.when(fourth < 2, F.concat(F.lit("job-"), F.col("doc_id").cast("string"))),
+            "apply_url": F.when(fourth < 3, F.col("apply_url")),
+        }
+    )
+    return jobs.select("doc_id", storage_id("job_id").alias("storage_id"))
+
+
 @query(
     "event_values",
     r"""select event_id,
