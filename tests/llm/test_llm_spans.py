@@ -111,6 +111,58 @@ def test_account_numbers_before_capitals_and_digits(text, want):
     assert [(s["start"], s["end"]) for s in pii.spans_of(text) if s["kind"] == "iban"] == want
 
 
+def brute_random(text, encode):
+    """The method character by character: which characters a base span covers, then each stretch."""
+    text = text or ""
+    covered = [False] * len(text)
+    for s in secrets.spans_of(text, encode):
+        if s["kind"] != "random":
+            covered[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
+    out, alphabet = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in alphabet:
+            end += 1
+        if end - at >= secrets.MIN_LENGTH:
+            low = at
+            while low < end:
+                high = low
+                while high < end and covered[high] == covered[low]:
+                    high += 1
+                value = text[low:high]
+                if not covered[low] and len(value) >= secrets.MIN_LENGTH:
+                    if not secrets.known(value, text[max(0, low - 16) : low]):
+                        if len(value) / len(encode(value)) < secrets.MAX_CHARS_PER_TOKEN:
+                            out.append((low, high))
+                low = high
+        at = end + 1
+    return out
+
+
+def test_random_spans_equal_brute_force(spark, docs_of):
+    encode = secrets.encoder(None)
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    made = [" ".join("".join(rng.choice(alphabet[: rng.choice([4, 26, 36, 67])]) for _ in range(rng.randint(5, 60))) for _ in range(6)) for _ in range(150)]
+    # Base spans inside longer stretches.
+    made += [f"x/{m[:25]}/{'0123456789abcdef' * 2}/{m[:30]}={m[:8]} token={m[:12]}/{m[12:50]}" for m in made[:60]]
+    rows = list(enumerate(made + [t for t in TEXTS if t is None or len(t) < 3_000]))
+    found = secrets.find(docs_of(rows), ["doc_id"]).collect()
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in found}
+    assert got == {i: brute_random(t, encode) for i, t in rows}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_one_case_and_the_rest_of_a_covered_stretch_are_tested():
+    encode = secrets.encoder(None)
+    lower = "qwmzkxvbnptrlqzxcvwkjhgfdpoiuytzz"
+    assert plain(secrets.spans_of(lower, encode), ("random",)) == [("random", 0, 33)]
+    path = "0123456789abcdef01234567/kJ8sQ2mZ9xV4tR7wL1pN6bY3"
+    assert plain(secrets.spans_of(path, encode), secrets.KINDS) == [("hex", 0, 24), ("random", 24, 49)]
+    assert plain(secrets.spans_of("antidisestablishmentarianism 12345678901234567890123", encode), ("random",)) == []
+
+
 def test_random_strings_but_no_digests_or_words():
     encode = secrets.encoder(None)
     assert plain(secrets.spans_of(SPACED[11], encode), ("random",)) == [("random", 4, 36)]

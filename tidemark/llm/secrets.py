@@ -2,16 +2,19 @@
 
 A byte-pair vocabulary learned on prose and code needs few tokens for words and
 many for random strings.  A candidate with few characters per token is reported
-unless it is a labelled digest, a UUID or another known identifier, or already
-lies inside a pattern's span.  A null text is empty; repeated rows give repeated
-results; the work is linear in the text.
+unless it is a labelled digest, a UUID, a plain number or another known identifier.
+Where a pattern's span covers a part of a candidate, the parts outside are tested.
+
+A null text is empty; repeated rows give repeated results; an empty table gives an
+empty one.  Texts of any length are searched whole, in time linear in the text.
+Spans that start together are listed in the order of ``KINDS``.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,6 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _INTEGRITY = re.compile(r"(?:sha(?:1|256|384|512)|md5)-[A-Za-z0-9+/]+=*\Z")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128})\Z")
 _LABEL = re.compile(r"(?:sha-?\d*|md5|digest|checksum|etag|commit|revision|blob)\W{0,4}\Z", re.I)
-_VARIED = re.compile(r"[0-9]")
 
 
 def encoder(vocabulary: str | None) -> Callable[[str], list[int]]:
@@ -57,19 +59,21 @@ def encoder(vocabulary: str | None) -> Callable[[str], list[int]]:
 
 
 def known(candidate: str, before: str) -> bool:
-    """A digest under its label, an integrity value or a UUID."""
-    if _UUID.match(candidate) or _INTEGRITY.match(candidate):
+    """A number, a digest under its label, an integrity value or a UUID."""
+    if candidate.isdigit() or _UUID.match(candidate) or _INTEGRITY.match(candidate):
         return True
     return bool(_DIGEST.match(candidate) and _LABEL.search(before))
 
 
-def _plain(candidate: str) -> bool:
-    """Only letters of one case, only digits, or one character over and over: prose and rules."""
-    return (
-        candidate.isdigit()
-        or len(set(candidate)) <= 4
-        or not (_VARIED.search(candidate) or (candidate != candidate.lower() and candidate[1:] != candidate[1:].lower()))
-    )
+def _outside(start: int, end: int, covered: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """The parts of ``start:end`` that no span from ``covered[at]`` on covers."""
+    while at < len(covered) and covered[at][0] < end:
+        if covered[at][0] > start:
+            yield start, covered[at][0]
+        start = max(start, covered[at][1])
+        at += 1
+    if start < end:
+        yield start, end
 
 
 def spans_of(text: str | None, encode: Callable[[str], list[int]]) -> list[dict]:
@@ -84,18 +88,23 @@ def spans_of(text: str | None, encode: Callable[[str], list[int]]) -> list[dict]
             found.append(("access", *m.span(), 1.0))
     for m in _HEX.finditer(text):
         found.append(("hex", *m.span(), 1.0))
-    covered = sorted((s, e) for _, s, e, _ in found)
-    at, reach = 0, -1
+    covered: list[tuple[int, int]] = []
+    for span_start, span_end in sorted((s, e) for _, s, e, _ in found):
+        if covered and span_start <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(covered[-1][1], span_end))
+        else:
+            covered.append((span_start, span_end))
+    at = 0
     for m in _CANDIDATE.finditer(text):
-        while at < len(covered) and covered[at][0] < m.end():
-            reach = max(reach, covered[at][1])
+        while at < len(covered) and covered[at][1] <= m.start():
             at += 1
-        value = m.group()
-        if reach > m.start() or _plain(value) or known(value, text[max(0, m.start() - 16) : m.start()]):
-            continue
-        tokens = len(encode(value))
-        if len(value) < MAX_CHARS_PER_TOKEN * tokens:
-            found.append(("random", *m.span(), round(tokens / len(value), 4)))
+        for low, high in _outside(*m.span(), covered, at):
+            value = text[low:high]
+            if len(value) < MIN_LENGTH or known(value, text[max(0, low - 16) : low]):
+                continue
+            tokens = len(encode(value))
+            if len(value) < MAX_CHARS_PER_TOKEN * tokens:
+                found.append(("random", low, high, round(tokens / len(value), 4)))
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [dict(zip(("kind", "start", "end", "score"), s)) for s in found]
 
@@ -131,9 +140,12 @@ def redact(
 
         return each
 
-    columns = docs.columns
-    made = map_rows(docs, [text], columns, T.StructType([T.StructField("__clean", T.StringType())]), start)
-    return made.withColumn(text, F.col("__clean")).select(*columns)
+    # Inner names keep columns that are named like the operator's own apart.
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text)
+    made = map_rows(inner, [f"__c{at}"], inner.columns, T.StructType([T.StructField("clean", T.StringType())]), start)
+    out = [F.col("clean") if i == at else F.col(c) for i, c in enumerate(inner.columns)]
+    return made.select(*out).toDF(*docs.columns)
 
 
 def has_secret(spans: Column) -> Column:
