@@ -8,7 +8,8 @@ history of every URL in global order.
 
 A null page is an empty payload, a null URL an empty one.  Rows that repeat both
 page id and payload are equal captures and share their record type; a null id
-counts as larger than any other.  An empty table gives no archive.
+counts as larger than any other.  Without capture times a page is dated by its id
+modulo ``CAPTURE_SPAN``.  An empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LEAST_BYTES = 100
 RECORDS_PER_FILE = 4_000
 #: Time of capture where the table has none: this epoch second plus the page id.
 FIRST_CAPTURE = 1_704_067_200
+#: Ids count on from it modulo this many seconds, so any id has a date with four-digit year.
+CAPTURE_SPAN = 10**9
 _END = "\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -108,7 +111,7 @@ def write_archives(
     records_per_file: int = RECORDS_PER_FILE,
 ) -> None:
     """Writes gzipped WARC files below ``path`` with Spark's text writer; each is sorted by URL key and time."""
-    time = F.coalesce(F.lit(FIRST_CAPTURE) + F.col(key) if captured is None else captured, F.lit(FIRST_CAPTURE))
+    time = F.coalesce(F.lit(FIRST_CAPTURE) + F.pmod(F.col(key), F.lit(CAPTURE_SPAN)) if captured is None else captured, F.lit(FIRST_CAPTURE))
     inner = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"), time.alias("captured"))
     rows = classified(inner)
     rows = rows.withColumn("__key", url_key(F.col("url")))
