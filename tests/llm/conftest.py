@@ -13,7 +13,7 @@ DOCS = T.StructType(
     ]
 )
 #: Extra columns named like the operators' own.
-CLASHES = ("size", "target", "copies", "node", "key", "spans", "root", "score", "sequence_id", "__key", "u")
+CLASHES = ("size", "target", "copies", "node", "key", "spans", "root", "score", "sequence_id", "__key", "u", "__h", "__rn", "__id", "__clean", "clean")
 
 
 def words(n, seed=0):

@@ -370,14 +370,14 @@ def in_tiles(members: DataFrame) -> DataFrame:
         F.array(*[F.struct((size_class - d).alias("c"), F.lit(d == 0).alias("home")) for d in (0, 1, 2)]),
     ).otherwise(F.array(F.struct(F.lit(-9).alias("c"), F.lit(True).alias("home"))))
     rows = members.withColumn("__p", F.explode(places)).select("leader", "__p.c", "node", "root", "n", "k", "__p.home")
-    # At most one row for every HOT_ROWS rows, so it can be broadcast.
+    # At most one row for every HOT_ROWS rows; Spark decides how to join them.
     large = (
         rows.filter(F.col("k") > HOT_ROWS)
         .groupBy("leader", "c")
         .agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
         .filter(F.col("own") + F.col("guests") > HOT_ROWS)
     )
-    rows = rows.join(F.broadcast(large), ["leader", "c"], "left")
+    rows = rows.join(large, ["leader", "c"], "left")
     own, guests = (F.ceil(F.col(x) / HOT_ROWS).cast("int") for x in ("own", "guests"))
     salt = F.xxhash64("node", F.lit("tile"))
     tile = F.when(F.col("home"), F.pmod(salt, own)).otherwise(own + F.pmod(salt, guests)).cast("int")
@@ -543,10 +543,13 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of the smallest id of each group only."""
-    groups = linked(docs)
+    # Inner names keep columns that are named like the operator's own apart.
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    key, text = (f"__c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    groups = linked(inner.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
+    rows = inner.join(chosen, inner[key].eqNullSafe(chosen["__id"]), "left_semi").withColumn("__h", F.xxhash64(text))
     # A row that repeats both id and text is the same document.
-    again = Window.partitionBy("doc_id", "__h").orderBy("__h")
-    rows = rows.withColumn("__h", F.xxhash64("text"))
-    return rows.withColumn("__rn", F.row_number().over(again)).filter("__rn = 1").select(*docs.columns)
+    again = Window.partitionBy(key, "__h").orderBy("__h")
+    kept = rows.withColumn("__rn", F.row_number().over(again)).filter("__rn = 1")
+    return kept.select(*inner.columns).toDF(*docs.columns)
