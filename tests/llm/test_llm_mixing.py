@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from check import rows_of
 from tidemark.llm import mixing
+from tidemark.operators.ordered import row_numbers
 
 
 def reshared(sizes):
@@ -81,3 +82,48 @@ def test_edges(edge_docs, clash_docs, no_docs, edge_rows):
         again[r["doc_id"], r["text"]] = again.get((r["doc_id"], r["text"]), 0) + 1
     assert again == {k: v for k, v in taken.items() if v}
     assert not any(not (t or "").strip() for _, t in again)
+
+
+def test_copies_follow_the_weights(spark):
+    """Mean copies per weight against the level found by trying, in a source that grows and one that shrinks."""
+    docs = spark.range(24_000).selectExpr(
+        "id as doc_id", "'a b c d' as text", "if(id % 4 = 0, 'a', 'b') as source", "array(0.5D, 1.0D, 4.0D)[cast(id % 3 as int)] as worth"
+    )
+    rows = mixing.mix(docs, ["source", "worth"], weight=F.col("worth")).collect()
+    for source in ("a", "b"):
+        own = [r for r in rows if r["source"] == source]
+        want, worths = own[0]["target"] / 4, [r["worth"] for r in own]
+        low, high = 0.0, 100.0
+        for _ in range(100):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(3.0, level * w) for w in worths) < want else (low, level)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
+        for worth in (0.5, 1.0, 4.0):
+            copies = [r["copies"] for r in own if r["worth"] == worth]
+            expected = min(3.0, level * worth)
+            assert sum(copies) / len(copies) == pytest.approx(expected, abs=0.05)
+            assert set(copies) <= {int(expected), min(3, int(expected) + 1)}
+
+
+def test_null_and_repeated_ids_are_taken_apart(spark, monkeypatch):
+    """Targets are met although ids, or ids and texts, repeat; also where repeats are numbered in ranges."""
+    rows = [(None, f"{i} " + "w " * 19, "a") for i in range(40)]
+    rows += [(7, f"{i} " + "w " * 19, "b") for i in range(40)]
+    rows += [(9, "same " * 20, "c") for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+    def taken():
+        out = {}
+        for r in mixing.mix(docs, ["source"]).collect():
+            words, _ = out.get(r["source"], (0, 0))
+            out[r["source"]] = words + r["taken"], r["target"]
+        return out
+
+    first = taken()
+    assert all(abs(words - target) <= 10 for words, target in first.values())
+    assert taken() == first
+    small = lambda *args, **named: row_numbers(*args, **named, hot_rows=7)
+    monkeypatch.setattr(mixing, "row_numbers", small)
+    assert taken() == first
+    copies = mixing.copied(docs)
+    assert copies.count() * 20 == sum(words for words, _ in first.values())

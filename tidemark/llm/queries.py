@@ -30,10 +30,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = """
-with rows as (
+with texts as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-    (('0x' || substr(md5('pareto-1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
-  from documents),
+    coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) as same from documents),
+drawn as (
+  select doc_id, source, size, case when size >= 500 then 2.0::double when size >= 50 then 1.0::double else 0.5::double end as m,
+    md5('pareto-1:' || same || ':' || row_number() over (partition by same)) as draw from texts),
+rows as (
+  select *, (('0x' || substr(draw, 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from drawn),
 sizes as (select source, sum(size)::bigint as source_size from rows group by source),
 weighed as (
   select source, source_size, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as w,
@@ -47,15 +51,23 @@ targets as (
   select source, source_size, least(cap::double,
     (select arg_min(level, (cap / w, source)) from levels where cap >= level * w) * w) as target
   from levels),
+parts as (select source, m, sum(size)::bigint as words from rows group by source, m),
+steps as (
+  select parts.source, m, (target - 3 * coalesce(sum(words) over (partition by parts.source order by m desc
+      rows between unbounded preceding and 1 preceding), 0)::double)
+    / nullif(sum(words * m) over (partition by parts.source order by m desc rows between current row and unbounded following), 0) as level
+  from parts join targets on parts.source is not distinct from targets.source),
+lifts as (select source, arg_max(level, m) as level from steps where 3 >= level * m group by source),
 shares as (
-  select doc_id, source, size, u, source_size, target,
-    case when size > 0 then least(3.0::double, target * 1.0::double / source_size::double) else 0.0::double end as e
-  from rows join targets using (source)),
+  select doc_id, rows.source, size, u, draw, source_size, target,
+    case when size > 0 then least(3.0::double, level * m) else 0.0::double end as e
+  from rows join targets on rows.source is not distinct from targets.source
+  left join lifts on rows.source is not distinct from lifts.source),
 ranked as (
   select *, floor(e)::bigint as c, e - floor(e) as p,
     case when e - floor(e) > 0 then (u * (1 - (e - floor(e)))) / ((1 - u) * (e - floor(e))) end as q from shares),
 starts as (
-  select *, coalesce(sum(case when q is not null then size else 0 end) over (partition by source order by q, doc_id
+  select *, coalesce(sum(case when q is not null then size else 0 end) over (partition by source order by q, draw
       rows between unbounded preceding and 1 preceding), 0)::double as start,
     sum(c * size) over (partition by source) as certain from ranked)
 select doc_id, size, source_size, target,
