@@ -31,14 +31,17 @@ WHOLE = -(2**62)
 _ROW_BITS = 33
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], rows: int = HOT_ROWS, name: str = "ranges") -> DataFrame:
+def in_ranges(
+    df: DataFrame, order: Sequence[str], rows: int = HOT_ROWS, name: str = "ranges", path: str | None = None, **options: str
+) -> DataFrame:
     """``df`` written in ranges of ``order`` (nulls first) of about ``rows`` rows, with
     ``SLICE`` (rising with the order) and ``AT`` (row number inside the range).
 
     The rows are written as they are first: they are computed once, although range
     partitioning reads its input twice, and their place in that table orders rows with
     equal order columns, which may lie in several ranges.  The second writing fixes the
-    ranges: every later use sees the same ones.
+    ranges: every later use sees the same ones.  ``path`` names the folder of the second
+    one, with ``options`` of the Parquet writer, for ranges that are kept.
     """
     fixed = written(df.withColumn("__tie", F.monotonically_increasing_id()), name)
     by = [F.col(c).asc_nulls_first() for c in (*order, "__tie")]
@@ -48,7 +51,11 @@ def in_ranges(df: DataFrame, order: Sequence[str], rows: int = HOT_ROWS, name: s
     numbered = numbered.withColumns(
         {SLICE: F.shiftright("__id", _ROW_BITS), AT: F.col("__id").bitwiseAND(F.lit(2**_ROW_BITS - 1))}
     )
-    return written(numbered.drop("__id", "__tie"), name)
+    numbered = numbered.drop("__id", "__tie")
+    if path is None:
+        return written(numbered, name)
+    numbered.write.mode("overwrite").options(**options).parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:

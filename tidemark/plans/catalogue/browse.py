@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as ct
 from tidemark.operators import maintenance as mn
+from tidemark.operators import page_directory, text_index
 from tidemark.plans import views
 from tidemark.plans.catalogue import query
 from tidemark.plans.catalogue import sqltext as q
@@ -93,6 +96,42 @@ def page_numbers(spark, sf_dir):
     return got.select("canonical_job_id", "row_no", "page_no")
 
 
+_SEARCHES = ("Fre", "ea", "ing the", "is and re", "worthless")
+
+
+@query(
+    "indexed_search",
+    f"""with v as ({views.duck(views.TEXT_JOBS_SQL)}) select asked, doc_id, title
+        from (select unnest({[s.lower() for s in _SEARCHES]}) as asked) join v on contains({_HAYSTACK}, asked)""",
+)
+def indexed_search(spark, sf_dir):
+    """Postings indexed in two batches, then asked for a short, some common and some rare texts."""
+    path = work_dir(spark, "text-index")
+    jobs = views.text_jobs(spark, sf_dir)
+    for batch in range(2):
+        text_index.add(jobs.filter(F.col("doc_id") % 2 == batch), path, batch, ["doc_id"])
+    found = [
+        text_index.search(spark, path, s).select(F.lit(s.lower()).alias("asked"), "doc_id", "title") for s in _SEARCHES
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(
+    "page_at",
+    f"""with {_FINAL[5:]}, numbered as (select canonical_job_id, title, row_number() over (order by canonical_job_id) as row_no,
+            cast(ceil(count(*) over () / 25.0) as bigint) as n from s)
+        select canonical_job_id, title, row_no, cast(ceil(row_no / 25.0) as bigint) as page_no from numbered
+        where cast(ceil(row_no / 25.0) as bigint) in (1, n // 2, n)""",
+)
+def page_at(spark, sf_dir):
+    """The first, a middle and the last page, and the empty one after it."""
+    path = work_dir(spark, "pages")
+    page_directory.store(stored(spark, sf_dir).select("canonical_job_id", "title"), path, range_rows=1_000)
+    last = page_directory.pages_in(spark, path, 25)
+    pages = [page_directory.read_page(spark, path, n, 25) for n in (1, last // 2, last, last + 1)]
+    return functools.reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query(
     "lookup_keys",
     f"""with {_FINAL[5:]}, ask as (select seq, case when seq % 7 = 0 then '' when seq % 5 = 0 then concat('x', canonical_job_id) else canonical_job_id end as k from j)
