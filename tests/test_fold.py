@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.identity import tracked_hash
 from tidemark.operators import fold as fd
-from tidemark.operators.ordered import row_numbers
+from tidemark.operators import ordered
+from tidemark.operators.ordered import AT, SLICE, in_ranges, row_numbers
 
 SCHEMA = "seq bigint, k string, a string, b double, note string"
 STATE = "k string, a string, b double, first_seen bigint, last_changed bigint, change_count bigint"
@@ -123,3 +124,17 @@ def test_row_numbers(spark):
         assert {p[2] for p in part} == {len(part)}
     plain = sorted((r.id, r.row_no) for r in row_numbers(df, ["id"], hot_rows=9).collect())
     assert [p[1] for p in plain] == list(range(1, 101))
+
+
+def test_small_ranges_share_a_task_and_wide_rows_do_not(spark, monkeypatch):
+    ids = spark.range(3_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).repartition(3)
+    small = in_ranges(ids, ["id"], 10)
+    assert len(small.inputFiles()) == 1
+    got = [tuple(r) for r in small.orderBy(SLICE, AT).select("id", SLICE, AT).collect()]
+    assert [r[0] for r in got] == list(range(3_000)) and len({r[1] for r in got}) == 300
+    assert [r[2] for r in got] == [i % 10 for i in range(3_000)]
+    # Rows that fit one range by their number are dealt by their bytes.
+    monkeypatch.setattr(ordered, "TASK_BYTES", 100_000, raising=False)
+    wide = in_ranges(ids, ["id"])
+    assert len(wide.inputFiles()) >= 4
+    assert [r.id for r in wide.orderBy(SLICE, AT).collect()] == list(range(3_000))

@@ -2,9 +2,10 @@
 
 A window partitioned by a key puts all rows of the key into one task.  The
 helpers here bound that: the rows of keys with more than ``hot_rows`` rows are
-dealt into ranges of their full order (key and every order column) by Spark's
-range partitioning and written once, so each range has a fixed number and about
-``hot_rows`` rows.  Windows then run over ``(key, range)``, and what one range
+dealt into ranges of their full order (key and every order column) and written
+once, so each range has a fixed number and at most ``hot_rows`` rows.  Spark's range
+partitioning deals them to tasks by rows and bytes, and each task cuts its sorted rows
+into ranges, so small ranges need no more tasks, files or samples.  Windows then run over ``(key, range)``, and what one range
 leaves behind is carried along the key as one row per range.  Cold keys stay in
 one range and need no carry.  The number of ranges follows the rows, and rows with
 equal order columns, or equal in all columns, are dealt like others.
@@ -22,6 +23,9 @@ from tidemark.session import written
 
 #: Rows one window group may hold before its key is dealt into ranges.
 HOT_ROWS = 1_000_000
+#: Rows a task sorts where ranges are smaller, and stored bytes where rows are wide.
+TASK_ROWS = 100_000
+TASK_BYTES = 32 * 2**20
 SLICE = "__slice"
 #: Row number inside a range, from 0.
 AT = "__at_row"
@@ -34,9 +38,11 @@ _ROW_BITS = 33
 def in_ranges(
     df: DataFrame, order: Sequence[str], rows: int = HOT_ROWS, name: str = "ranges", path: str | None = None, **options: str
 ) -> DataFrame:
-    """``df`` written in ranges of ``order`` (nulls first) of about ``rows`` rows, with
+    """``df`` written in ranges of ``order`` (nulls first) of at most ``rows`` rows, with
     ``SLICE`` (rising with the order) and ``AT`` (row number inside the range).
 
+    A task holds several small ranges, or a part of what would be one range of wide rows.
+
     The rows are written as they are first: they are computed once, although range
     partitioning reads its input twice, and their place in that table orders rows with
     equal order columns, which may lie in several ranges.  The second writing fixes the
@@ -45,12 +51,11 @@ def in_ranges(
     """
     fixed = written(df.withColumn("__tie", F.monotonically_increasing_id()), name)
     by = [F.col(c).asc_nulls_first() for c in (*order, "__tie")]
-    cut = fixed.repartitionByRange(max(1, -(-fixed.count() // max(rows, 1))), *by).sortWithinPartitions(*by)
+    cut = fixed.repartitionByRange(_tasks(fixed, rows), *by).sortWithinPartitions(*by)
     # The id is documented as the partition above and the row number below these bits.
-    numbered = cut.withColumn("__id", F.monotonically_increasing_id())
-    numbered = numbered.withColumns(
-        {SLICE: F.shiftright("__id", _ROW_BITS), AT: F.col("__id").bitwiseAND(F.lit(2**_ROW_BITS - 1))}
-    )
+    place = F.col("__id").bitwiseAND(F.lit(2**_ROW_BITS - 1))
+    numbered = cut.withColumn("__id", F.monotonically_increasing_id()).withColumn(AT, place % max(rows, 1))
+    numbered = numbered.withColumn(SLICE, F.col("__id") - F.col(AT)).select(*fixed.columns, SLICE, AT, "__id")
     numbered = numbered.drop("__id", "__tie")
     if path is None:
         return written(numbered, name)
@@ -58,6 +63,15 @@ def in_ranges(
     return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
+def _tasks(stored: DataFrame, rows: int) -> int:
+    """Tasks that put stored rows in order, by their number and the size of their files."""
+    files = stored.groupBy("_metadata.file_path").agg(
+        F.count(F.lit(1)).alias("__n"), F.max("_metadata.file_size").alias("__bytes")
+    )
+    n, size = files.agg(F.sum("__n"), F.sum("__bytes")).first()
+    return max(1, -(-(n or 0) // max(rows, TASK_ROWS)), -(-(size or 0) // TASK_BYTES))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows; at most ``count / hot_rows`` of them."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
