@@ -235,3 +235,18 @@ def test_a_lookup_skips_row_groups(spark, tmp_path):
     more = asked.unionByName(spark.createDataFrame([(None,)], "id string"))
     assert sorted(r.v for r in table.lookup(more).collect()) == [5, 17, 39999]
     assert sorted(r.v for r in table.lookup(asked, most=1).collect()) == [5, 17, 39999]
+
+
+def test_a_long_list_of_keys_stays_out_of_the_plan(spark, tmp_path, capsys):
+    table = StateTable(spark, str(tmp_path / "state"), ["id"])
+    rows = spark.range(3_000).withColumn("v", F.col("id") * 2)
+    table.upsert(rows)
+    table.compact()
+    table.delete(rows.filter("id % 3 = 0"))
+    asked = rows.select("id").filter("id % 2 = 1").unionByName(spark.range(5_000, 5_010))
+    found = table.lookup(asked, most=asked.count())
+    assert sorted(r.id for r in found.collect()) == [i for i in range(3_000) if i % 2 and i % 3]
+    capsys.readouterr()
+    found.explain(True)
+    plan = capsys.readouterr().out
+    assert " IN (" not in plan and "INSET" not in plan

@@ -162,9 +162,12 @@ class StateTable:
 
     def read_for(self, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame | None:
         """Rows whose key may occur in ``keys``: row groups without one of them are skipped
-        where there are at most ``most`` texts or whole numbers; else the whole table."""
+        where there are at most ``most`` texts or whole numbers; else the whole table.
+
+        A plan never names more than ``MOST_KEYS``: it would grow with the list, on the driver."""
         if self._last() is None:
             return None
+        most = min(most, MOST_KEYS)
         asked = [r[0] for r in keys.select(self.key[0]).distinct().limit(most + 1).collect()]
         plain = all(isinstance(k, (str, int)) and not isinstance(k, bool) for k in asked)
         if len(asked) > most or not plain:
