@@ -250,3 +250,16 @@ def test_a_long_list_of_keys_stays_out_of_the_plan(spark, tmp_path, capsys):
     found.explain(True)
     plan = capsys.readouterr().out
     assert " IN (" not in plan and "INSET" not in plan
+
+
+def test_pages_are_mapped_in_several_tasks_whatever_the_join_streams(spark):
+    noise = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(400)])
+    pages = spark.range(60).select(
+        F.lit("api").alias("source_id"),
+        F.col("id").alias("page_no"),
+        F.concat(F.lit('{"data":{"jobs":[{"t":"x","n":"'), noise, F.lit('"}]}}')).alias("payload"),
+    )
+    found = custom.with_records(F.broadcast(pages), config(spark, FLAT, records_path="data.jobs", source="api").coalesce(1))
+    rows = found.select("page_no", F.size("records").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.page_no, r.n) for r in rows) == [(i, 1) for i in range(60)]
+    assert len({r.task for r in rows}) > 1

@@ -98,8 +98,13 @@ def builtin_settings(spark: SparkSession, adapters: Mapping[str, Adapter]) -> Da
 
 
 def with_records(landed: DataFrame, settings: DataFrame, max_bytes: int | None = None, how: str = "inner") -> DataFrame:
-    """Parsed pages with their settings and the array of records, or a reject reason."""
-    joined = parse_bodies(landed.join(settings, "source_id", how), max_bytes)
+    """Parsed pages with their settings and the array of records, or a reject reason.
+
+    The pages are dealt out after the join, whichever side Spark sends around in it: else
+    the few rows of the settings may decide how many tasks parse and map all pages.
+    """
+    joined = landed.join(settings, "source_id", how).repartition("source_id", "page_no")
+    joined = parse_bodies(joined, max_bytes)
     joined = joined.withColumn("records", record_list(F.col("body"), F.col("records_path")))
     missing = F.when(F.col("records").isNull(), F.lit("no_record_array"))
     return joined.withColumn("reject", F.coalesce("reject", missing))
