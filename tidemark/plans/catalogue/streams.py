@@ -245,7 +245,7 @@ def stream_state_handover(spark, sf_dir):
     """A stored table hands its state to the state store, which folds the other two
     thirds; what the store holds then is read back and laid beside the whole fold."""
     root = work_dir(spark, "handover")
-    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    rows = written(postings(spark, sf_dir).withColumn("status", F.lit("OPEN")), "postings")
     table = StateTable(spark, f"{root}/state", spec().key)
     sync_batch(_first_part(rows, 0), 0, spec(), table, root)
     stored = table.read().select(
@@ -263,7 +263,7 @@ def stream_state_handover(spark, sf_dir):
 
 
 def _first_part(rows: DataFrame, part: int) -> DataFrame:
-    """A third of the postings by sequence number."""
+    """A third of the stored postings by sequence number."""
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     width = (high - low) // N_PARTS + 1
     return rows.filter(F.floor((F.col("seq") - low) / width) == part)
@@ -277,7 +277,7 @@ _STATE_SQL = f"""{q.sync_cte()} select canonical_job_id, seq, title, change_coun
 def state_compact_between_batches(spark, sf_dir):
     """Three batches with a compaction after the second: none is lost or written twice."""
     root = work_dir(spark, "compact")
-    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    rows = written(postings(spark, sf_dir).withColumn("status", F.lit("OPEN")), "postings")
     table = StateTable(spark, f"{root}/state", spec().key)
     for i in range(N_PARTS):
         sync_batch(_first_part(rows, i), i, spec(), table, root)
@@ -290,7 +290,7 @@ def state_compact_between_batches(spark, sf_dir):
 def replay_batch(spark, sf_dir):
     """Every batch is delivered twice; the second delivery changes nothing."""
     root = work_dir(spark, "replay")
-    rows = postings(spark, sf_dir).withColumn("status", F.lit("OPEN"))
+    rows = written(postings(spark, sf_dir).withColumn("status", F.lit("OPEN")), "postings")
     table = StateTable(spark, f"{root}/state", spec().key)
     for i in range(N_PARTS):
         for _ in range(2):
