@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_sources import scanned_rows
-from tidemark.operators import page_directory, text_index
+from tidemark.operators import ordered, page_directory, text_index
 
 ROWS = "id bigint, text string"
 
@@ -43,6 +43,16 @@ def test_a_search_skips_blocks_without_its_trigrams(spark, tmp_path):
     assert scanned_rows(rest) < 3_000
 
 
+def test_long_texts_are_stored_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_BYTES", 100_000, raising=False)
+    path = str(tmp_path / "index")
+    rows = spark.range(4_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    text_index.add(rows, path, 0, ["id"], F.lower("text"))
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) >= 4
+    asked = rows.filter("id = 1234").first().text[20:60]
+    assert [r.id for r in text_index.search(spark, path, asked, F.lower("text")).collect()] == [1234]
+
+
 def test_an_empty_index_finds_nothing(spark, tmp_path):
     path = str(tmp_path / "index")
     text_index.add(spark.createDataFrame([], ROWS), path, 0, ["id"], F.lower("text"))
