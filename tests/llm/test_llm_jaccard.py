@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard
+from tidemark.llm import common, jaccard
 
 SPACE = " \t\n\v\f\r"
 
@@ -159,3 +159,72 @@ def test_one_of_each_group_stays(edge_docs, clash_docs):
     assert kept.columns == clash_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([1, 3, 4, 5, None, 6, 7, 8, 10], key=str)
+
+
+def random_texts(count, words, seed=5):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) for _ in range(count)]
+
+
+def test_no_wide_table_is_left_and_shuffle_files_go(spark, docs_of, monkeypatch, tmp_path):
+    texts = random_texts(300, 200)
+    docs = docs_of(list(enumerate(texts + [t + " more" for t in texts[::3]])))
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    switch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    switched, real = [], jaccard.materialise
+
+    def seen(df, label):
+        switched.append(spark.conf.get(switch))
+        return real(df, label)
+
+    monkeypatch.setattr(jaccard, "materialise", seen)
+    before = spark.conf.get(switch)
+    groups = jaccard.linked(docs)
+    # Tables of prefixes (400 bytes a document) and of whole sets (1,600) are gone.
+    labels = {f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()}
+    assert not labels & {"whole-sets", "live", "paired-sets"} and "known" in labels
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 600 * 400
+    assert len({r["component_id"] for r in groups.collect()}) == 300
+    assert set(switched) == {"true"} and spark.conf.get(switch) == before
+
+
+def test_brief_bitmaps_are_small_and_never_lose_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 64, 129, 500, 3000):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        long = jaccard.bitmap(base)
+        brief = jaccard.folded(long[None, :], len(long) >> jaccard.FOLDS)
+        assert brief.nbytes <= max(16, n / 4) and long.nbytes <= max(64, n)
+        for _ in range(20):
+            other = base.copy()
+            change = rng.random(len(base)) < 0.4 * rng.random()
+            other[change] = rng.integers(0, 2**63, change.sum()).astype(np.uint64)
+            apart = len(np.setxor1d(base, other))
+            bits = jaccard.bitmap(np.unique(other))[None, :]
+            for words in (len(long), len(brief[0])):
+                differ = jaccard.folded(long[None, :], words) ^ jaccard.folded(bits, words)
+                assert np.bitwise_count(differ).sum() <= apart
+            both = len(np.intersect1d(base, other))
+            linked = 100 * both >= 75 * (2 * n - both)
+            assert linked == (apart <= jaccard.most_apart(len(base), len(other)))
+
+
+def test_long_bitmaps_are_shuffled_for_rows_with_a_candidate_only(spark, docs_of, monkeypatch):
+    """One common line lets all texts meet; only the near copies behind it need more than a brief look."""
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 50)
+    monkeypatch.setattr(jaccard, "FREQUENT", 10_000)
+    tables, real = {}, jaccard.materialise
+
+    def kept(df, label):
+        tables[label] = real(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    line = " ".join(f"t{i}" for i in range(12))
+    texts = [f"{line} {t}" for t in random_texts(200, 120)]
+    texts += [t[:-4] + " one two" for t in texts[::40]]
+    rows = list(enumerate(texts))
+    assert got(jaccard.linked(docs_of(rows))) == brute(rows)
+    assert tables["members"].count() > 100
+    assert tables["left-rows"].count() < 20

@@ -5,10 +5,16 @@ that are alike enough share one of the first shingles of their common order, so
 nodes meet under those shingles only.  A shingle is led by the node under it that
 shares its shingles with most others, and what meets under any shingle of one
 leader forms a block.  A large block is cut by set size and into tiles of bounded
-rows, and each pair of tiles is walked by itself.  In a block, a signature tree holds in each inner node the OR
+rows, and each pair of tiles is walked by itself.  A set's bitmap tells where an odd
+number of its shingles falls, so two sets differ in one shingle at least for each
+bit that differs.  In a block, a signature tree holds in each inner node the AND and the OR
 of its sets' bitmaps and the range of their sizes; two trees are walked together,
-and a pair of nodes is left as soon as the largest overlap that bitmaps and sizes
-allow is too small.  What is left is counted exactly on the whole sets.
+and a pair of nodes is left as soon as bitmaps differ in more bits than linked sets
+of these sizes can.  What is left is counted exactly on the whole sets.
+
+The disk holds wide columns where they are needed only: a first walk uses bitmaps that
+are folded to a fourth and leaves few rows for the whole ones, tables with prefixes or whole
+sets are deleted once they are used, and shuffle files go with each step.
 
 Two rounds keep large groups of near copies from being paired off: the first
 compares each node with its leaders, the second walks only between sets that are
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import materialise, slices
+from tidemark.llm.common import materialise, short_lived, slices, without_leftovers
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -44,11 +50,13 @@ PERCENT = 75
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 20_000, 16, 20_000
 #: Nodes of a block above which it is also split by set size, and rows of a tile
 #: into which the size classes of such a block are cut.
-HOT_ROWS = 2_000
+HOT_ROWS = 8_000
 #: Bits of the filter that picks the texts to be counted exactly.  A full filter
 #: lets more texts pass and never loses one.
 FILTER_BITS = 1 << 25
 FANOUT = 16
+#: Bits of the bitmap of a small set, and how often a brief one is folded in half.
+LEAST_BITS, FOLDS = 512, 2
 #: Bytes of bitmaps compared in one step, and words remembered with their hashes.
 STEP_BYTES = 1 << 24
 WORDS = 200_000
@@ -92,11 +100,6 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def least_overlap(a, b):
-    """Common shingles that sets of ``a`` and ``b`` shingles need for a link."""
-    return -((-PERCENT * (a + b)) // (100 + PERCENT))
-
-
 def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles of the set, frequent ones last: alike sets share one of them."""
     n = len(found)
@@ -109,19 +112,27 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return found[:length]
 
 
+def most_apart(a, b):
+    """Shingles that are in one only of two linked sets of ``a`` and ``b`` shingles, at most."""
+    return (a + b) * (100 - PERCENT) // (100 + PERCENT)
+
+
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Eight to sixteen bits per shingle, as 64-bit words; 64 at least."""
-    bits = 1 << max(6, int(8 * len(found) - 1).bit_length())
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(found >> _U(32)).astype(np.int64) & (bits - 1)] = 1
-    return np.packbits(out, bitorder="little").view(_U)
+    """Four to eight bits per shingle, as 64-bit words; ``LEAST_BITS`` at least.
+
+    A bit is set where an odd number of shingles falls, so the bits in which two
+    bitmaps differ are never more than the shingles in which their sets do.
+    """
+    bits = max(LEAST_BITS, 1 << int(4 * len(found) - 1).bit_length())
+    out = np.bincount((found >> _U(32)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((out & 1).astype(np.uint8), bitorder="little").view(_U)
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Rows of bitmaps folded onto ``words`` words: a bit is set if any bit that falls on it is."""
+    """Rows of bitmaps folded onto ``words`` words: a bit is set if an odd number of those that fall on it is."""
     while bits.shape[1] > words:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = bits[:, :half] ^ bits[:, half:]
     return bits
 
 
@@ -137,6 +148,7 @@ SETS = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
         T.StructField("bits", T.BinaryType()),
+        T.StructField("brief", T.BinaryType()),
     ]
 )
 
@@ -165,14 +177,14 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One narrow row per document; ``prefix`` and ``bits`` only where a task meets a set first."""
+    """One narrow row per document; ``prefix``, ``bits`` and ``brief`` only where a task meets a set first."""
     schema = to_arrow_schema(SETS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, met = _Words(), set()
         for batch in batches:
             for piece in slices(batch):
-                nodes, sizes, firsts, bits = [], [], [], []
+                nodes, sizes, firsts, bits, briefs = [], [], [], [], []
                 for text in piece.column(1).to_pylist():
                     found = shingles(text, words)
                     node = node_of(found) if len(found) else None
@@ -181,8 +193,10 @@ def sets_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     nodes.append(node)
                     sizes.append(len(found))
                     firsts.append(prefix(found, frequent).view(np.int64) if new else None)
-                    bits.append(bitmap(found).tobytes() if new else None)
-                yield _batch(schema, piece.column(0), piece.column(2), nodes, sizes, firsts, bits)
+                    long = bitmap(found) if new else None
+                    bits.append(long.tobytes() if new else None)
+                    briefs.append(folded(long[None, :], len(long) >> FOLDS).tobytes() if new else None)
+                yield _batch(schema, piece.column(0), piece.column(2), nodes, sizes, firsts, bits, briefs)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, SETS)
 
@@ -238,22 +252,20 @@ class Signatures:
     group: np.ndarray
     size: np.ndarray
     home: np.ndarray
-    levels: list[tuple]  # leaves first: (OR bitmaps, least size, largest size, largest slack)
+    levels: list[tuple]  # leaves first: (AND of bitmaps, OR of bitmaps, least size, largest size)
 
     @classmethod
     def build(cls, node, group, size, home, bits) -> Signatures:
-        # Slack: how many shingles of a set may share a bit with another one.
-        slack = size - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        levels = [(bits, size, size, slack)]
-        while len(levels[-1][1]) > FANOUT:
-            b, low, high, s = levels[-1]
+        levels = [(bits, bits, size, size)]
+        while len(levels[-1][2]) > FANOUT:
+            every, some, low, high = levels[-1]
             cut = np.arange(0, len(low), FANOUT)
             levels.append(
                 (
-                    np.bitwise_or.reduceat(b, cut, axis=0),
+                    np.bitwise_and.reduceat(every, cut, axis=0),
+                    np.bitwise_or.reduceat(some, cut, axis=0),
                     np.minimum.reduceat(low, cut),
                     np.maximum.reduceat(high, cut),
-                    np.maximum.reduceat(s, cut),
                 )
             )
         return cls(node, group, size, home, levels)
@@ -264,34 +276,39 @@ class Signatures:
 
 
 def walk(a: Signatures, b: Signatures, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of leaf pairs whose largest possible overlap suffices; dual traversal from the tops."""
+    """Places of leaf pairs whose bitmaps differ little enough; dual traversal from the tops."""
     top = max(len(a.levels), len(b.levels)) - 1
     last_a, last_b = len(a.levels) - 1, len(b.levels) - 1
-    i, j = np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij")
+    i, j = np.meshgrid(np.arange(len(a.levels[-1][2])), np.arange(len(b.levels[-1][2])), indexing="ij")
     stack = [(top, i.ravel(), j.ravel())]
-    most = max(FANOUT, STEP_BYTES // (8 * a.levels[0][0].shape[1]))
+    # An inner pair makes FANOUT ** 2 pairs of places below it.
+    leaf, inner = (max(FANOUT, STEP_BYTES // (8 * x)) for x in (max(8, a.levels[0][0].shape[1]), max(FANOUT**2, a.levels[0][0].shape[1])))
     while stack:
         level, i, j = stack.pop()
-        if len(i) > most:
+        if len(i) > (inner if level else leaf):
             half = len(i) // 2
             stack += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
             continue
         if same:
             keep = i <= j if level else i < j
             i, j = i[keep], j[keep]
-        ba, low_a, high_a, slack_a = a.levels[min(level, last_a)]
-        bb, low_b, high_b, slack_b = b.levels[min(level, last_b)]
+        every_a, some_a, low_a, high_a = a.levels[min(level, last_a)]
+        every_b, some_b, low_b, high_b = b.levels[min(level, last_b)]
         fits = (100 * high_a[i] >= PERCENT * low_b[j]) & (100 * high_b[j] >= PERCENT * low_a[i])
         i, j = i[fits], j[fits]
-        common = np.bitwise_count(ba[i] & bb[j]).sum(axis=1).astype(np.int64)
-        fits = common + np.minimum(slack_a[i], slack_b[j]) >= least_overlap(low_a[i], low_b[j])
+        if level:
+            # Bits that all sets of one side have and none of the other.
+            differ = (every_a[i] & ~some_b[j]) | (every_b[j] & ~some_a[i])
+        else:
+            differ = every_a[i] ^ every_b[j]
+        fits = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most_apart(high_a[i], high_b[j])
         i, j = i[fits], j[fits]
         if not len(i):
             continue
         if level == 0:
             yield i, j
             continue
-        i, j = _children(i, level, last_a, len(a.levels[min(level - 1, last_a)][1])), _children(j, level, last_b, len(b.levels[min(level - 1, last_b)][1]))
+        i, j = _children(i, level, last_a, len(a.levels[min(level - 1, last_a)][2])), _children(j, level, last_b, len(b.levels[min(level - 1, last_b)][2]))
         left = np.repeat(i, j.shape[1], axis=1).ravel()
         right = np.tile(j, (1, i.shape[1])).ravel()
         real = (left >= 0) & (right >= 0)
@@ -317,7 +334,7 @@ def candidates(node, group, size, home, bits: list[bytes], side=None) -> Iterato
         trees = {}
         for width in np.unique(widths[rows]).tolist():
             at = rows[widths[rows] == width]
-            at = at[np.lexsort((size[at], group[at]))]
+            at = at[np.lexsort((group[at], size[at]))]
             block = np.frombuffer(b"".join([bits[k] for k in at]), dtype=_U).reshape(len(at), width)
             trees[width] = Signatures.build(node[at], group[at], size[at], home[at], block)
         return trees
@@ -390,25 +407,39 @@ def in_tiles(members: DataFrame) -> DataFrame:
     return rows.select("leader", "c", "s", "t", side.alias("side"), "node", "root", "n", "home")
 
 
-def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Candidate links between nodes of different groups; ``grouped`` has ``node`` and ``root``."""
-    schema = to_arrow_schema(PAIR)
-    rows = blocks.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("k"))
-    rows = rows.join(mixed.filter("a != b").select("leader", "k"), "leader")
-    members = materialise(rows.join(nodes.select("node", "n"), "node").select("leader", "node", "root", "n", "k"), "members")
-    rows = in_tiles(members).join(nodes.select("node", "bits"), "node")
+ROW = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("leader", "c", "s", "t", "side", "node", "root", "n")]
+    + [T.StructField("home", T.BooleanType())]
+)
+
+
+def walked(rows: DataFrame, bits: DataFrame, pairs: bool) -> DataFrame:
+    """Candidate pairs among the rows of each block or pair of tiles, or else the rows that have one.
+
+    ``bits`` has a bitmap of each node; ``rows`` is a table of :data:`ROW`.
+    """
+    out = to_arrow_schema(PAIR if pairs else ROW)
     place = ["leader", "c", "s", "t"]
-    rows = rows.select(*place, "side", "node", "root", "n", "home", "bits")
-    ordered = rows.repartition(*place).sortWithinPartitions(*place)
+    joined = rows.join(bits.toDF("node", "bits"), "node").select(*[f.name for f in ROW], "bits")
+    ordered = joined.repartition(*place).sortWithinPartitions(*place)
 
-    def pairs(here: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(here: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
         node, root, n, side = (table.column(c).to_numpy() for c in ("node", "root", "n", "side"))
         home = table.column("home").to_numpy().astype(bool)
         _, _, s, t = here
-        for u, v in candidates(node, root, n, home, table.column("bits").to_pylist(), side if s < t else None):
-            yield _batch(schema, np.maximum(u, v), np.minimum(u, v))
+        found = candidates(node, root, n, home, table.column("bits").to_pylist(), side if s < t else None)
+        if pairs:
+            for u, v in found:
+                yield _batch(out, np.maximum(u, v), np.minimum(u, v))
+            return
+        # A node is in one row of a group.
+        order = np.argsort(node)
+        met = np.zeros(len(node), dtype=bool)
+        for u, v in found:
+            met[order[np.searchsorted(node, np.concatenate([u, v]), sorter=order)]] = True
+        if met.any():
+            yield from table.select(out.names).filter(pa.array(met)).cast(out).combine_chunks().to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -421,14 +452,30 @@ def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> Data
             for low, high in zip(cuts, cuts[1:]):
                 here = tuple(keys[low].tolist())
                 if here != last and held:
-                    yield from pairs(last, held)
+                    yield from group(last, held)
                     held = []
                 held.append(batch.slice(low, high - low))
                 last = here
         if held:
-            yield from pairs(last, held)
+            yield from group(last, held)
 
-    return ordered.mapInArrow(run, PAIR).distinct()
+    return ordered.mapInArrow(run, PAIR if pairs else ROW)
+
+
+def cross_pairs(blocks: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Candidate links between nodes of different groups; ``grouped`` has ``node`` and ``root``.
+
+    Leaders are left out of their own blocks: :func:`star_pairs` has all their pairs.
+    A first walk over brief bitmaps leaves the rows that may be linked at all; long
+    bitmaps are shuffled for these only.
+    """
+    rows = blocks.filter("node != leader").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("leader").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("k"))
+    rows = rows.join(mixed.filter("a != b").select("leader", "k"), "leader")
+    members = materialise(rows.join(nodes.select("node", "n"), "node").select("leader", "node", "root", "n", "k"), "members")
+    rows = in_tiles(members).select(*[F.col(f.name).cast(f.dataType) for f in ROW])
+    left = materialise(walked(rows, nodes.select("node", "brief"), False), "left-rows")
+    return walked(left, nodes.select("node", "bits"), True).distinct()
 
 
 def star_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -450,9 +497,7 @@ def star_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b, na, nb, x, y in zip(u, v, nu, nv, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 x, y = np.frombuffer(x, dtype=_U)[None, :], np.frombuffer(y, dtype=_U)[None, :]
                 width = min(x.shape[1], y.shape[1])
-                x, y = folded(x, width), folded(y, width)
-                slack = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-                if int(np.bitwise_count(x & y).sum()) + slack >= least_overlap(na, nb):
+                if int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()) <= most_apart(na, nb):
                     keep_u.append(max(a, b))
                     keep_v.append(min(a, b))
             yield _batch(schema, keep_u, keep_v)
@@ -461,13 +506,13 @@ def star_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike enough.
+    """The pairs whose whole sets are alike enough, as a written table.
 
     The texts are read again and only those of paired nodes are parsed: a filter
     of fixed size, made of hashes of their texts, goes to every task.
     """
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = sets.filter(F.col("prefix").isNotNull()).join(ends, "node", "left_semi").select("th")
+    wanted = sets.filter("first").join(ends, "node", "left_semi").select("th")
     place = F.pmod("th", F.lit(FILTER_BITS)) + 1  # bucket numbers count from 1
     # At most FILTER_BITS / 32768 rows of 4 KB.
     rows = (
@@ -504,28 +549,39 @@ def counted(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     texts = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("__bit"))
     full = texts.mapInArrow(run, out)
-    full = materialise(full.join(ends, "node", "left_semi"), "paired-sets").dropDuplicates(["node"])
+    full, discard = short_lived(full.join(ends, "node", "left_semi"), "paired-sets")
+    full = full.dropDuplicates(["node"])
     one = full.select(F.col("node").alias("u"), F.col("s").alias("su"))
     two = full.select(F.col("node").alias("v"), F.col("s").alias("sv"))
     both = pairs.join(one, "u").join(two, "v")
     common = F.size(F.array_intersect("su", "sv"))
     either = F.size("su") + F.size("sv") - common
-    return both.filter(100 * common >= PERCENT * either).select("u", "v")
+    links = materialise(both.filter(100 * common >= PERCENT * either).select("u", "v"), "counted")
+    discard()
+    return links
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
+    with without_leftovers(docs.sparkSession):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
-    sets = materialise(sets_of(texts, frequent_shingles(texts)), "sets")
-    live = materialise(live_rows(sets), "live")
-    firsts = sets.filter(F.col("prefix").isNotNull())
+    whole, discard_whole = short_lived(sets_of(texts, frequent_shingles(texts)), "whole-sets")
+    live, discard_live = short_lived(live_rows(whole), "live")
+    firsts = whole.filter(F.col("prefix").isNotNull())
     nodes = materialise(
-        firsts.join(live.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"]),
+        firsts.join(live.select("node").distinct(), "node", "left_semi").select("node", "n", "bits", "brief").dropDuplicates(["node"]),
         "nodes",
     )
     blocks = materialise(blocks_of(live), "blocks")
+    discard_live()
+    sets = materialise(whole.select("doc_id", "th", "node", "n", F.col("prefix").isNotNull().alias("first")), "sets")
+    discard_whole()
     stars = materialise(star_pairs(blocks, nodes).distinct(), "stars")
-    first = materialise(counted(texts, sets, stars), "first-links")
+    first = counted(texts, sets, stars)
     grouped = components(first)
     others = cross_pairs(blocks, nodes, grouped).join(stars, ["u", "v"], "left_anti")
     second = counted(texts, sets, materialise(others, "crosses"))
