@@ -228,3 +228,34 @@ def test_long_bitmaps_are_shuffled_for_rows_with_a_candidate_only(spark, docs_of
     assert got(jaccard.linked(docs_of(rows))) == brute(rows)
     assert tables["members"].count() > 100
     assert tables["left-rows"].count() < 20
+
+
+def shuffled_bytes(df):
+    """Bytes written by the exchanges of a query that was run."""
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+            return
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            yield from walk(node.plan())
+            return
+        size = node.metrics().get("shuffleBytesWritten")
+        if size.isDefined() and node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            yield size.get().value()
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_texts_that_stay_are_not_shuffled(docs_of):
+    texts = random_texts(200, 300)
+    rows = [*enumerate(texts), (200, texts[0]), (7, texts[7]), (9, "another text under a known id"), (None, texts[3]), (None, "none"), (None, "none")]
+    kept = jaccard.deduplicated(docs_of(rows))
+    found = kept.collect()
+    # Old id 3 goes with its copy without an id or not, as the component's least id says.
+    assert sorted((r["doc_id"], r["text"]) for r in found if r["doc_id"] is not None) == sorted([*enumerate(texts), (9, rows[202][1])])
+    assert [r["text"] for r in found if r["doc_id"] is None and r["text"] == "none"] == ["none"]
+    assert shuffled_bytes(kept) < sum(map(len, texts)) / 10

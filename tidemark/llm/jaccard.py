@@ -14,7 +14,8 @@ of these sizes can.  What is left is counted exactly on the whole sets.
 
 The disk holds wide columns where they are needed only: a first walk uses bitmaps that
 are folded to a fourth and leaves few rows for the whole ones, tables with prefixes or whole
-sets are deleted once they are used, and shuffle files go with each step.
+sets are deleted once they are used, shuffle files go with each step, and
+``deduplicated`` shuffles texts only of rows it may have to drop.
 
 Two rounds keep large groups of near copies from being paired off: the first
 compares each node with its leaders, the second walks only between sets that are
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -598,14 +599,38 @@ def _linked(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group only."""
+    """``docs`` with the document of the smallest id of each group only.
+
+    Most rows have an id of their own that stays.  A filter of fixed size, made of
+    hashes of all other ids, lets them pass where they are read; the rows it holds
+    back, some of them by chance, are joined and compared.
+    """
     # Inner names keep columns that are named like the operator's own apart.
     inner = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     key, text = (f"__c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     groups = linked(inner.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = inner.join(chosen, inner[key].eqNullSafe(chosen["__id"]), "left_semi").withColumn("__h", F.xxhash64(text))
+    ids = groups.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__stays"), F.count(F.lit(1)).alias("__k")
+    )
+    with without_leftovers(docs.sparkSession):
+        doubtful = materialise(ids.filter("__k > 1 or not __stays").select("__id", "__stays"), "doubtful-ids")
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("bigint")), F.lit(FILTER_BITS))
+
+    # At most FILTER_BITS / 64 rows of two numbers, so it can be broadcast.
+    places = doubtful.select(place(F.col("__id")).alias("__at"))
+    words = places.select(F.shiftright("__at", 6).alias("__word"), (F.col("__at") % 64).cast("int").alias("__bit"))
+    words = words.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    rows = inner.withColumn("__at", place(F.col(key))).withColumn("__word", F.shiftright("__at", 6))
+    rows = rows.join(F.broadcast(words), "__word", "left")
+    whole_id = F.col(key).eqNullSafe(F.col(key).cast("bigint"))
+    passes = whole_id & (F.coalesce(F.getbit("__bits", (F.col("__at") % 64).cast("int")), F.lit(0)) == 0)
+    held = rows.filter(~passes).select(*inner.columns)
+    held = held.join(doubtful, held[key].eqNullSafe(doubtful["__id"]), "left")
+    held = held.filter(F.coalesce("__stays", whole_id)).withColumn("__h", F.xxhash64(text))
     # A row that repeats both id and text is the same document.
     again = Window.partitionBy(key, "__h").orderBy("__h")
-    kept = rows.withColumn("__rn", F.row_number().over(again)).filter("__rn = 1")
-    return kept.select(*inner.columns).toDF(*docs.columns)
+    held = held.withColumn("__rn", F.row_number().over(again)).filter("__rn = 1")
+    kept = rows.filter(passes).select(*inner.columns).union(held.select(*inner.columns))
+    return kept.toDF(*docs.columns)
