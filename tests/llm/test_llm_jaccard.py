@@ -255,7 +255,6 @@ def test_texts_that_stay_are_not_shuffled(docs_of):
     rows = [*enumerate(texts), (200, texts[0]), (7, texts[7]), (9, "another text under a known id"), (None, texts[3]), (None, "none"), (None, "none")]
     kept = jaccard.deduplicated(docs_of(rows))
     found = kept.collect()
-    # Old id 3 goes with its copy without an id or not, as the component's least id says.
     assert sorted((r["doc_id"], r["text"]) for r in found if r["doc_id"] is not None) == sorted([*enumerate(texts), (9, rows[202][1])])
     assert [r["text"] for r in found if r["doc_id"] is None and r["text"] == "none"] == ["none"]
     assert shuffled_bytes(kept) < sum(map(len, texts)) / 10
